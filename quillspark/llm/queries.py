@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from . import mixing, packed_ids, pattern_packing, quality, substring_dedup, suffix_dedup
+from . import fingerprints, mixing, near_dedup, packed_ids, pattern_packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -15,15 +15,22 @@ def _pipeline(spark, sf_dir):
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
     "op2_pattern_packing": pattern_packing.op2,
+    "op3_warc": warc.op3,
+    "op4_fingerprints": fingerprints.op4,
     "op5_quality_rules": quality.op5,
     "op6_packed_ids": packed_ids.op6,
+    "op7_near_dedup": near_dedup.op7,
+    "op8_url_filter": url_filter.op8,
     "op9_mixing": mixing.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "pipeline": _pipeline,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op7_near_dedup": near_dedup.op7,
+    "op8_url_filter": url_filter.op8,
     "op9_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
