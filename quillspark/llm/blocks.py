@@ -31,7 +31,7 @@ from .base import corpus_size, eights, mix, spans, word_bounds, word_hashes
 BLOCK_BYTES = 8 << 20
 FILTER_BYTES = 64 << 20
 #: Occurrences from which a gram hash is sent on by single windows.
-HOT = 200_000
+HOT = 30_000
 NO_ID = -(1 << 63)
 
 

@@ -18,6 +18,8 @@ LENGTH = 50
 STOP = 0xFF
 #: Bytes whose suffixes are sorted at once. So many stay in a core's cache, which counts more than fewer calls.
 MOST = 400_000
+#: Bytes of strings with one sub key that are still sorted at once: place and two ranks fit into 64 bits.
+MOST_ALONE = (1 << 21) - 1
 
 
 def sort_suffixes(text: np.ndarray, length: int) -> np.ndarray:
@@ -110,9 +112,9 @@ def _earlier(strings: list[bytes], doc: np.ndarray, length: int) -> list[np.ndar
     return [out[a : a + n - length] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
-def matcher(length: int = LENGTH, most: int = MOST):
+def matcher(length: int = LENGTH, most: int = MOST, most_alone: int = MOST_ALONE):
     """Strings with different sub keys share no window, so a large bin is matched in parts of at most `most` bytes; what
-    has one sub key and more bytes than that is matched by single windows, by classes of their checksums."""
+    has one sub key and more than `most_alone` bytes is matched by single windows, by classes of their checksums."""
 
     def run(strings, sub, doc, at):
         out: list = [None] * len(strings)
@@ -128,16 +130,20 @@ def matcher(length: int = LENGTH, most: int = MOST):
             held += n
         parts.append(np.concatenate(part))
         for ids in parts:
-            if size[ids].sum() <= most or len({int(x) for x in sub[ids]}) > 1:
+            if size[ids].sum() <= most_alone or len({int(x) for x in sub[ids]}) > 1:
                 for k, bits in zip(ids.tolist(), _earlier([strings[k] for k in ids], doc[ids], length), strict=True):
                     out[k] = bits
                 continue
-            for k in ids.tolist():
-                out[k] = np.zeros(len(strings[k]) - length + 1, dtype=bool)
-            classes = int((size[ids] - length).sum() * (length + 1) // most) + 1
-            for c in range(classes):
-                mine = [(k, o, w) for k in ids.tolist() for o in range(len(out[k])) if zlib.crc32(w := strings[k][o : o + length]) % classes == c]
-                for (k, o, _), bits in zip(mine, _earlier([w for _, _, w in mine], doc[[k for k, _, _ in mine]], length) if mine else [], strict=True):
+            n = size[ids] - length
+            for k, windows in zip(ids.tolist(), n.tolist(), strict=True):
+                out[k] = np.zeros(windows, dtype=bool)
+            classes = int(n.sum() * (length + 1) // most) + 1
+            held: list[list] = [[] for _ in range(classes)]
+            for k, windows in zip(ids.tolist(), n.tolist(), strict=True):
+                for o in range(windows):
+                    held[zlib.crc32(strings[k][o : o + length]) % classes].append((k, o))
+            for mine in filter(None, held):
+                for (k, o), bits in zip(mine, _earlier([strings[k][o : o + length] for k, o in mine], doc[[k for k, _ in mine]], length), strict=True):
                     out[k][o] = bits[0]
         return out
 
