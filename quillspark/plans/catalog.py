@@ -1,10 +1,615 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, for those that SQL can express, the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions import text as X
+from ..operators import compare, concept, evaluate, extract, roles, usage, verify, windows
+from ..sources import articles, shards
+from ..streaming import incremental
+from . import inputs as I
+from .inputs import rows, tidy
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- concept layer ----
+
+ANN = I.ANNOTATIONS.format(words=I.SPARK_WORDS)
+ANN_SQL = I.ANNOTATIONS.format(words=I.DUCK_WORDS)
+DICT, DICT_SQL = I.DICTIONARY.format(annotations=ANN), I.DICTIONARY.format(annotations=ANN_SQL)
+SURFACES_SQL = f"""SELECT surface, entity_type, count(*) AS frequency, count(DISTINCT doc_id) AS n_docs, avg(score) AS avg_score, avg(length) AS avg_length, min(length) AS min_length, max(length) AS max_length,
+  min(identifier) AS identifier_known, count(*) FILTER (identifier IS NULL) AS n_missing_id, count(identifier) AS n_with_id FROM ({ANN_SQL}) AS a WHERE entity_type <> 'de' GROUP BY surface, entity_type"""
+
+
+def _surfaces(spark, d):
+    return concept.unique_surfaces(rows(spark, d, ANN), drop_types=("de",))
+
+
+@query(f"SELECT * REPLACE (round(avg_score, 6) AS avg_score, round(avg_length, 6) AS avg_length) FROM ({SURFACES_SQL})")
+def unique_surfaces(spark, d):
+    return _surfaces(spark, d)
+
+
+@query(f"SELECT count(*) AS n_annotations, count(DISTINCT doc_id) AS n_docs, count(DISTINCT (surface, entity_type)) AS n_unique, round(count(DISTINCT (surface, entity_type)) / count(*), 6) AS compression_ratio FROM ({ANN_SQL})")
+def corpus_counts(spark, d):
+    return concept.corpus_counts(rows(spark, d, ANN))
+
+
+@query(f"SELECT entity_type, count(*) AS n_unique, CAST(sum(frequency) AS BIGINT) AS n_total, round(avg(frequency), 6) AS avg_frequency, max(frequency) AS max_frequency FROM ({SURFACES_SQL}) GROUP BY 1")
+def type_stats(spark, d):
+    return concept.type_stats(_surfaces(spark, d))
+
+
+@query(f"SELECT CASE WHEN length(surface) <= 3 THEN '01-03' WHEN length(surface) <= 6 THEN '04-06' WHEN length(surface) <= 10 THEN '07-10' WHEN length(surface) <= 20 THEN '11-20' ELSE '21+' END AS bucket, count(*) AS n_unique, CAST(sum(frequency) AS BIGINT) AS n_total FROM ({SURFACES_SQL}) GROUP BY 1")
+def length_buckets(spark, d):
+    return concept.length_buckets(_surfaces(spark, d))
+
+
+@query(f"SELECT surface, entity_type, frequency FROM ({SURFACES_SQL}) ORDER BY frequency DESC, surface, entity_type LIMIT 20")
+def top_surfaces(spark, d):
+    return concept.top_surfaces(_surfaces(spark, d)).select("surface", "entity_type", "frequency")
+
+
+INJECTED_SQL = f"""SELECT a.surface, a.entity_type, a.doc_id, a.length, a.score, coalesce(a.identifier, d.identifier) AS identifier, CASE WHEN a.identifier IS NOT NULL THEN 'phase1_short_linker' WHEN d.identifier IS NOT NULL THEN 'phase3b_contextfree_linker' ELSE 'unlinked' END AS identifier_source
+  FROM ({ANN_SQL}) AS a LEFT JOIN ({DICT_SQL}) AS d ON a.surface = d.surface AND a.entity_type = d.entity_type"""
+
+
+@query(f"SELECT surface, entity_type, doc_id, identifier, identifier_source FROM ({INJECTED_SQL})")
+def id_injection(spark, d):
+    return concept.inject_ids(rows(spark, d, ANN), rows(spark, d, DICT)).select("surface", "entity_type", "doc_id", "identifier", "identifier_source")
+
+
+@query(f"SELECT identifier_source, count(*) AS n, count(identifier) AS n_with_id FROM ({INJECTED_SQL}) GROUP BY 1")
+def injection_summary(spark, d):
+    return concept.injection_summary(concept.inject_ids(rows(spark, d, ANN), rows(spark, d, DICT)))
+
+
+@query(f"SELECT entity_type, CASE WHEN identifier LIKE 'NCBIGene:%' THEN 'gene' WHEN identifier LIKE 'MESH:%' THEN 'mesh' WHEN identifier LIKE 'NCBITaxon:%' THEN 'taxon' WHEN identifier IS NULL THEN 'none' ELSE 'other' END AS kind, count(*) AS n FROM ({ANN_SQL}) GROUP BY 1, 2")
+def id_kinds(spark, d):
+    return concept.id_kinds(rows(spark, d, ANN))
+
+
+@query(f"SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL}) WHERE entity_type = 'en' UNION ALL SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL}) WHERE entity_type = 'fr'")
+def dictionary_merge(spark, d):
+    full = rows(spark, d, DICT)
+    return concept.merge_dictionaries([full.filter("entity_type = 'en'"), full.filter("entity_type = 'fr'")])
+
+
+TOKENS = "SELECT DISTINCT surface FROM (SELECT {each} AS surface FROM documents WHERE lang = 'en' UNION ALL SELECT * FROM (VALUES ('cox.cox'), ('Cox cox'), ('a.a'), ('abc1Then'), ('geneThese'), ('fooBarbaz'), ('.x,'), ('--gene.;'), ('p53'), ('.a'))) AS t WHERE surface <> ''"
+
+
+@query(f"""WITH t AS ({TOKENS.format(each="unnest(string_split(regexp_replace(text, '[^ -~]+', ' ', 'g'), ' '))")}),
+a AS (SELECT surface, regexp_extract(surface, '^(\\w+)[.\\s]+(\\w+)$', 1) AS w1, regexp_extract(surface, '^(\\w+)[.\\s]+(\\w+)$', 2) AS w2, length(regexp_extract(surface, '(?s)^(.*?\\d)[A-Z][a-z]', 1)) AS digit, regexp_extract(surface, '(?s)^(.*?[a-z][a-z][a-z])[A-Z][a-z][a-z]', 1) AS head FROM t),
+b AS (SELECT *, CASE WHEN digit > 0 THEN substr(surface, 1, digit) WHEN head <> '' AND regexp_matches(substr(surface, length(head) + 1), '^(?:{"|".join(X.GLUED_TAILS)})') THEN head ELSE surface END AS split FROM a),
+c AS (SELECT *, regexp_replace(split, '[.,;:]+$', '') AS tail FROM b), d AS (SELECT *, regexp_replace(tail, '^[.,;:\\-]+', '') AS both_ends FROM c),
+e AS (SELECT surface, CASE WHEN w1 <> '' AND lower(w1) = lower(w2) THEN CASE WHEN length(w1) >= 2 THEN 'dup_word' ELSE 'none' END WHEN length(trim(both_ends)) <= 1 OR both_ends = surface THEN 'none' WHEN digit > 0 THEN 'num_upper_split' WHEN length(split) < length(surface) THEN 'lower_upper_split' WHEN length(tail) < length(split) THEN 'trailing_punct' ELSE 'leading_punct' END AS rule, w1, tail, both_ends FROM d)
+SELECT surface, CASE rule WHEN 'none' THEN surface WHEN 'dup_word' THEN w1 ELSE both_ends END AS clean, CAST(CASE WHEN rule IN ('none', 'dup_word') THEN 0 ELSE length(tail) - length(both_ends) END AS BIGINT) AS cut_left, CAST(CASE rule WHEN 'none' THEN 0 WHEN 'dup_word' THEN length(surface) - length(w1) ELSE length(surface) - length(tail) END AS BIGINT) AS cut_right, rule FROM e""")
+def clean_surface(spark, d):
+    t = rows(spark, d, TOKENS.format(each="explode(split(regexp_replace(text, '[^ -~]+', ' '), ' '))"))
+    return t.withColumn("c", X.clean_surface(F.col("surface"))).select("surface", F.col("c.surface").alias("clean"), F.col("c.left").alias("cut_left"), F.col("c.right").alias("cut_right"), "c.rule")
+
+
+@query(f"SELECT flag, count(*) AS n FROM (SELECT CASE WHEN a.identifier IS NULL AND d.identifier IS NULL THEN 'both_none' WHEN a.identifier IS NOT NULL AND d.identifier IS NULL THEN 'ctx_only' WHEN a.identifier IS NULL THEN 'free_only' WHEN a.identifier = d.identifier THEN 'agree' ELSE 'differ' END AS flag FROM (SELECT DISTINCT surface, entity_type, identifier FROM ({ANN_SQL})) a LEFT JOIN ({DICT_SQL}) d ON a.surface = d.surface AND a.entity_type = d.entity_type) GROUP BY 1")
+def linker_compare(spark, d):
+    a = rows(spark, d, ANN).select("surface", "entity_type", F.col("identifier").alias("context_id")).distinct()
+    return concept.compare_linkers(a, rows(spark, d, DICT)).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT category, count(*) AS n FROM (SELECT CASE WHEN (position('.' IN s) > 0 AND NOT regexp_matches(s, '\\d\\.\\d')) OR regexp_matches(s, '^(background|the|and|with|of|in|by)\\w{4,}') THEN 'span_broken' WHEN length(s) <= 2 THEN 'fragment' WHEN regexp_matches(s, '""" + "|".join(X.PROTEIN_WORDS) + """') THEN 'protein_like'
+ WHEN regexp_matches(r, '^[A-Z][A-Z0-9]{1,7}$') THEN 'gene_symbol' WHEN regexp_matches(s, '(?:ase|ases)(?:\\s|$)') THEN 'protein_like' ELSE 'other' END AS category FROM (SELECT p_brand AS r, lower(p_name) AS s FROM part UNION ALL SELECT upper(p_type), lower(p_type) FROM part UNION ALL SELECT 'TP53', 'tp53' UNION ALL SELECT 'x', 'insulin receptor' UNION ALL SELECT 'y', 'lipase a' UNION ALL SELECT 'q', 'a.b')) GROUP BY 1""")
+def gene_categories(spark, d):
+    t = rows(spark, d, "SELECT p_brand AS surface, lower(p_name) AS norm, CAST(NULL AS STRING) AS identifier FROM part UNION ALL SELECT upper(p_type), lower(p_type), NULL FROM part UNION ALL SELECT 'TP53', 'tp53', NULL UNION ALL SELECT 'x', 'insulin receptor', NULL UNION ALL SELECT 'y', 'lipase a', NULL UNION ALL SELECT 'q', 'a.b', NULL")
+    return concept.gene_report(t).select("category", "n")
+
+
+# ---- passages and articles ----
+
+
+@query(f"""SELECT doc_id, passage_idx, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY passage_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM ({I.TURNS})""")
+def passage_offsets(spark, d):
+    return concept.with_offsets(rows(spark, d, I.TURNS)).select("doc_id", "passage_idx", "offset")
+
+
+@query(f"SELECT doc_id, md5(string_agg(text, ' ' ORDER BY passage_idx)) AS digest FROM ({I.TURNS}) GROUP BY doc_id")
+def full_text(spark, d):
+    return concept.full_text(concept.with_offsets(rows(spark, d, I.TURNS))).select("doc_id", F.md5("full_text").alias("digest"))
+
+
+@query(f"SELECT count(*) AS ok, CAST(0 AS BIGINT) AS ng FROM ({I.TURNS})")
+def offset_round_trip(spark, d):
+    p = concept.with_offsets(rows(spark, d, I.TURNS))
+    a = p.select("doc_id", F.col("text").alias("surface"), "offset", F.length("text").alias("length"))
+    return concept.offset_round_trip(a, concept.full_text(p))
+
+
+ARTICLE = "SELECT concat('x/', CAST(p_partkey AS STRING), '.xml') AS path, concat('<article><front><article-meta><article-id pub-id-type=\"pmc\">', CAST(p_partkey AS STRING), '</article-id><title-group><article-title>About  <i>', p_name, '</i></article-title></title-group><abstract><title>A</title><p>', p_type, '</p></abstract></article-meta></front><body><sec sec-type=\"intro\"><title>T</title><p>One ', p_brand, '</p><sec><p>two</p></sec><fig id=\"f\"><caption>Cap</caption></fig></sec></body></article>') AS content FROM part"
+
+
+@query("""WITH p AS (SELECT 'PMC' || p_partkey AS doc_id, ['About ' || p_name, p_type, 'One ' || p_brand || ' two', 'Cap'] AS t, ['title', 'abstract', 'introduction', 'fig_caption'] AS k FROM part)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS passage_idx, k[i] AS passage_type, CAST(coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS "offset", t[i] AS text FROM p, (SELECT unnest([1, 2, 3, 4]) AS i)""")
+def article_passages(spark, d):
+    f = rows(spark, d, ARTICLE).withColumn("content", F.col("content").cast("binary"))
+    return articles.passage_rows(articles.parse_articles(f))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'methods' WHEN 1 THEN 'introduction' WHEN 2 THEN 'results' ELSE 'body' END AS section FROM part")
+def section_class(spark, d):
+    t = rows(spark, d, "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Materials|Methods' END AS sec_type, CASE p_size % 4 WHEN 1 THEN 'Introduction and methods' WHEN 2 THEN 'Our results' ELSE p_name END AS title FROM part")
+    return t.select("p_partkey", X.section_type(F.col("sec_type"), F.col("title")).alias("section"))
+
+
+# ---- extraction ----
+
+
+@query(f"""WITH t AS ({I.ACCESSION_TEXT}), e AS (SELECT doc_id, text, unnest([{{'db': 'geo_series', 's': 'GSE' || (doc_id + 1000)}}, {{'db': 'bioproject', 's': 'PRJNA' || doc_id}}, {{'db': 'chembl_compound', 's': 'CHEMBL' || doc_id}}, {{'db': 'pfam', 's': CASE WHEN doc_id < 100000 THEN 'PF' || lpad(CAST(doc_id AS VARCHAR), 5, '0') END}}, {{'db': 'refseq_rna', 's': CASE WHEN doc_id < 1000000 THEN 'NM_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.1' END}}]) AS x FROM t)
+SELECT doc_id, x.db AS db, x.s AS surface, CAST(strpos(text, x.s) - 1 AS BIGINT) AS "offset", CAST(length(x.s) AS BIGINT) AS length, x.db || ':' || x.s AS identifier, CASE WHEN x.db = 'bioproject' THEN 'http://identifiers.org/bioproject/' || x.s ELSE x.db || ':' || x.s END AS curie FROM e WHERE x.s IS NOT NULL""")
+def regex_extract(spark, d):
+    return extract.extract(rows(spark, d, I.ACCESSION_TEXT)).select("doc_id", "db", "surface", "offset", "length", "identifier", "curie")
+
+
+@query("SELECT doc_id, 'pdb' AS db, '1abc' AS surface, 'pdb:1ABC' AS identifier, 'context' AS confidence FROM documents UNION ALL SELECT doc_id, 'ec', 'EC 1.2.3.4', 'eccode:1.2.3.4', 'high' FROM documents UNION ALL SELECT doc_id, 'go', 'GO:0000001', 'GO:0000001', 'high' FROM documents")
+def hand_extract(spark, d):
+    t = rows(spark, d, "SELECT doc_id, concat('PDB entry 1abc, EC 1.2.3.4 and GO:0000001; ', repeat('x', 90), ' 2xyz') AS text FROM documents")
+    return extract.extract(t, extract.hand_patterns(), longest_first=False).select("doc_id", "db", "surface", "identifier", "confidence")
+
+
+@query()
+def overlap_resolve(spark, d):
+    h = rows(spark, d, "SELECT l_orderkey AS doc_id, CAST(l_partkey % 100 AS INT) AS `offset`, CAST(l_quantity AS INT) AS length, CASE WHEN l_returnflag = 'A' THEN 'high' ELSE 'context' END AS confidence, l_suppkey * 10 + l_linenumber AS pattern_no FROM lineitem")
+    return extract.resolve_native(h, ["doc_id"])
+
+
+@query("SELECT t.l_orderkey AS doc_id, CAST(t.l_linenumber AS BIGINT) AS t_start, CAST(a.l_linenumber AS BIGINT) AS a_start FROM lineitem t JOIN lineitem a ON t.l_orderkey = a.l_orderkey WHERE a.l_linenumber < t.l_linenumber + 2 AND a.l_linenumber + 1 > t.l_linenumber")
+def interval_overlap(spark, d):
+    t = rows(spark, d, "SELECT l_orderkey AS doc_id, l_linenumber AS t_start, l_linenumber + 2 AS t_end FROM lineitem")
+    a = rows(spark, d, "SELECT l_orderkey AS doc_id, l_linenumber AS a_start, l_linenumber + 1 AS a_end FROM lineitem")
+    return concept.overlapping(t, a).select("doc_id", "t_start", "a_start")
+
+
+_GATE_SQL = "CASE WHEN trim(s) = '' THEN 'empty' WHEN db IN ('togovar') THEN 'excluded' " + " ".join(f"WHEN db = '{n}' THEN CASE WHEN regexp_full_match(trim(s), '{p}') THEN '{ {'soft': 'soft-needs-downstream', 'pass': 'pass-structure', 'hard': 'pass'}[k] }' ELSE '{f'floor<{f}' if k == 'hard' else 'structure'}' END" for n, p, k, f in rules.GATE) + " ELSE 'no-rule' END"
+GATED_SQL = f"SELECT db, identifier, reason IN ('pass', 'pass-structure', 'soft-needs-downstream', 'no-rule') AS gate_pass, reason AS gate_reason FROM (SELECT db, identifier, {_GATE_SQL} AS reason FROM (SELECT *, CASE WHEN contains(identifier, ':') THEN substr(identifier, strpos(identifier, ':') + 1) ELSE identifier END AS s FROM ({I.GATE_IDS})))"
+
+
+def _gated(spark, d):
+    return rows(spark, d, I.GATE_IDS).withColumn("g", X.gate(F.col("db"), F.col("identifier"))).select("db", "identifier", "g.*")
+
+
+@query(GATED_SQL)
+def digit_floor_gate(spark, d):
+    return _gated(spark, d)
+
+
+@query(f"SELECT db, count(*) AS n, count(*) FILTER (gate_pass) AS n_pass, count(*) FILTER (NOT gate_pass) AS n_fail, coalesce(array_to_string(list_sort(list(DISTINCT identifier) FILTER (NOT gate_pass))[1:8], ','), '') AS samples FROM ({GATED_SQL}) GROUP BY db")
+def gate_report(spark, d):
+    return usage.gate_report(_gated(spark, d))
+
+
+# ---- identifier layer ----
+
+
+@query(f"SELECT DISTINCT db, surface FROM ({I.HITS})")
+def candidates(spark, d):
+    return usage.candidates(rows(spark, d, I.HITS.replace('"offset"', "`offset`")))
+
+
+@query(f"""SELECT doc_id, db, surface, "offset", confidence FROM ({I.HITS}) WHERE confidence = 'high'""")
+def mentions(spark, d):
+    return usage.mentions(_hits(spark, d), high_only=True)
+
+
+def _hits(spark, d):
+    return rows(spark, d, I.HITS.replace('"offset"', "`offset`"))
+
+
+def _base(spark, d):
+    return usage.confirmed_mentions(usage.mentions(_hits(spark, d)), rows(spark, d, I.VERIFIED), rules.db_classes(spark))
+
+
+_CLASS_SQL = "CASE " + " ".join(f"WHEN dataset IN ({', '.join(repr(x) for x in dbs.split())}) THEN '{c}'" for c, dbs in rules.DATABASES_BY_CLASS.items()) + " ELSE 'out_of_scope' END"
+BASE_SQL = f"SELECT m.doc_id, v.dataset, v.id, {_CLASS_SQL.replace('dataset IN', 'v.dataset IN')} AS class, v.oracle, m.confidence FROM ({I.HITS}) AS m JOIN (SELECT * FROM ({I.VERIFIED}) WHERE status = 'confirmed') AS v ON m.db = v.dataset AND m.surface = v.id"
+
+
+@query(f"SELECT dataset, id, max(class) AS class, max(oracle) AS oracle, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs FROM ({BASE_SQL}) GROUP BY dataset, id")
+def usage_by_entry(spark, d):
+    return usage.by_entry(_base(spark, d))
+
+
+@query(f"SELECT dataset, max(class) AS class, count(DISTINCT id) AS n_unique_entries, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs FROM ({BASE_SQL}) GROUP BY dataset")
+def usage_by_db(spark, d):
+    return usage.by_db(_base(spark, d))
+
+
+@query(f"SELECT doc_id, count(DISTINCT id) AS n_entries, count(DISTINCT dataset) AS n_dbs, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS dbs FROM ({BASE_SQL}) GROUP BY doc_id")
+def usage_by_doc(spark, d):
+    return usage.by_doc(_base(spark, d))
+
+
+@query(f"SELECT doc_id, dataset, id, max(class) AS class, max(oracle) AS oracle, min(confidence) AS confidence, count(*) AS n_in_doc FROM ({BASE_SQL}) GROUP BY ALL")
+def usage_long(spark, d):
+    return usage.long_form(_base(spark, d))
+
+
+ORACLE["usage_long"] = f"SELECT doc_id, dataset, id, max(class) AS class, max(oracle) AS oracle, min(confidence) AS confidence, count(*) AS n_in_doc FROM ({BASE_SQL}) GROUP BY doc_id, dataset, id"
+
+
+@query(f"SELECT class, count(DISTINCT dataset) AS n_dbs, count(DISTINCT (dataset, id)) AS n_entries, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs FROM ({BASE_SQL}) GROUP BY class")
+def usage_by_class(spark, d):
+    return usage.by_class(_base(spark, d))
+
+
+_YEAR_CLASSES = {"n_deposit_rec": "deposited_research_record", "n_deposit_ent": "deposited_entity_registry", "n_curated": "curated_entity_registry", "n_derived": "derived_curated"}
+YEAR_SQL = f"SELECT y.year, count(DISTINCT m.doc_id) AS n_docs_total, count(DISTINCT b.doc_id) AS n_docs_anydata, {', '.join(f'''count(DISTINCT CASE WHEN b.class = '{c}' THEN b.doc_id END) AS {k}''' for k, c in _YEAR_CLASSES.items())} FROM (SELECT DISTINCT doc_id FROM ({I.HITS})) AS m JOIN (SELECT DISTINCT * FROM ({I.YEARS}) WHERE year <> 'NA') AS y ON m.doc_id = y.doc_id LEFT JOIN (SELECT DISTINCT doc_id, class FROM ({BASE_SQL})) AS b ON m.doc_id = b.doc_id GROUP BY y.year"
+
+
+@query(YEAR_SQL)
+def usage_by_year(spark, d):
+    return usage.by_year(_hits(spark, d), _base(spark, d), rows(spark, d, I.YEARS))
+
+
+@query(f"WITH y AS ({YEAR_SQL}), r AS (SELECT year, n_docs_anydata / n_docs_total AS rate FROM y WHERE n_docs_total >= 50) SELECT min(year) AS first_year, max(year) AS last_year, round(min_by(rate, year), 6) AS first_rate, round(max_by(rate, year), 6) AS last_rate, round(max_by(rate, year) - min_by(rate, year), 6) AS delta FROM r")
+def usage_trend(spark, d):
+    return usage.trend(usage.by_year(_hits(spark, d), _base(spark, d), rows(spark, d, I.YEARS)))
+
+
+@query(f"WITH t AS (SELECT count(DISTINCT doc_id) AS n_total FROM ({I.HITS})), b AS (SELECT class, count(DISTINCT doc_id) AS n_docs FROM ({BASE_SQL}) GROUP BY class UNION ALL SELECT 'any', count(DISTINCT doc_id) FROM ({BASE_SQL})) SELECT class, n_docs, n_total, round(n_docs / n_total, 6) AS rate FROM b, t")
+def usage_rates(spark, d):
+    return usage.rates(_hits(spark, d), _base(spark, d))
+
+
+@query(f"SELECT oracle, status, count(*) AS n FROM ({I.VERIFIED}) GROUP BY 1, 2")
+def oracle_counts(spark, d):
+    return usage.oracle_counts(rows(spark, d, I.VERIFIED))
+
+
+@query(f"SELECT db, category, count(*) AS n_rows, count(DISTINCT surface) AS n_surfaces, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (confidence = 'high') AS n_high FROM ({I.HITS}) GROUP BY 1, 2")
+def db_profile(spark, d):
+    return usage.profile(_hits(spark, d), "db", "category")
+
+
+@query(f"SELECT DISTINCT dataset FROM ({I.VERIFIED}) WHERE dataset NOT IN ({', '.join(repr(x) for x in sorted(rules.CLASS_OF))})")
+def unclassified(spark, d):
+    return usage.unclassified(rows(spark, d, I.VERIFIED), rules.db_classes(spark))
+
+
+@query(f"""SELECT accession_id, CASE WHEN p <> '' THEN p WHEN f <> '' THEN f ELSE 'NA' END AS year, CASE WHEN p <> '' THEN 'primary' WHEN f <> '' THEN 'fallback' END AS mode FROM (SELECT accession_id, regexp_extract(article_citation, '\\.\\s((?:19|20)\\d{{2}})\\b', 1) AS p, regexp_extract(article_citation, '\\b((?:19|20)\\d{{2}})\\b', 1) AS f FROM ({I.CITATIONS}))""")
+def year_extract(spark, d):
+    return rows(spark, d, I.CITATIONS).select("accession_id", X.year_of(F.col("article_citation")).alias("y")).select("accession_id", "y.*")
+
+
+@query(f"WITH y AS (SELECT year FROM ({I.YEARS}) WHERE year <> 'NA'), l AS (SELECT list(year ORDER BY year) AS v FROM y) SELECT year, count(*) AS n, (SELECT v[CAST(len(v) // 2 + 1 AS INTEGER)] FROM l) AS middle_year FROM y GROUP BY year")
+def year_histogram(spark, d):
+    return usage.year_histogram(rows(spark, d, I.YEARS))
+
+
+# ---- existence checks ----
+
+CANDIDATES = f"SELECT DISTINCT dataset, id FROM ({I.VERIFIED}) AS c"
+
+
+@query("WITH c AS (" + CANDIDATES + "), k AS (SELECT *, CAST(regexp_extract(id, '[0-9]+') AS INTEGER) AS n FROM c) SELECT dataset, id, CASE WHEN n % 2 = 0 OR n % 3 = 0 THEN 'confirmed' ELSE 'pending' END AS status, CASE WHEN n % 2 = 0 THEN 'togoid_label' WHEN n % 3 = 0 THEN 'rdfportal_native' ELSE '-' END AS oracle FROM k")
+def t2_combine(spark, d):
+    c = rows(spark, d, CANDIDATES)
+    n = F.regexp_extract("id", "[0-9]+", 0).cast("int")
+    return verify.combine_graphs(c, c.filter(n % 2 == 0), c.filter(n % 3 == 0))
+
+
+@query(f"SELECT dataset, id, CASE WHEN hit AND n % 5 <> 0 THEN CASE WHEN n % 2 = 0 THEN 'confirmed' ELSE 'absent' END ELSE status END AS status, CASE WHEN hit AND n % 5 <> 0 THEN 'ncbi_eutils' ELSE oracle END AS oracle FROM (SELECT *, CAST(regexp_extract(id, '[0-9]+') AS INTEGER) AS n, status = 'pending' AND dataset IN ('geo_series', 'bioproject') AS hit FROM ({I.VERIFIED}))")
+def t3_merge(spark, d):
+    v = rows(spark, d, I.VERIFIED)
+    n = F.regexp_extract("id", "[0-9]+", 0).cast("int")
+    answers = v.select("dataset", "id", F.when(n % 5 == 0, "error").when(n % 2 == 0, "confirmed").otherwise("absent").alias("answer"))
+    return verify.merge_answers(v, answers, spark.createDataFrame([("geo_series",), ("bioproject",)], "dataset string"))
+
+
+@query(f"SELECT dataset, count(*) AS n_pending, CASE WHEN dataset IN ('geo_series', 'bioproject') THEN 'routed' ELSE 'held' END AS route FROM ({I.VERIFIED}) WHERE status = 'pending' GROUP BY dataset")
+def t3_route_report(spark, d):
+    return verify.route_report(rows(spark, d, I.VERIFIED), spark.createDataFrame([("geo_series",), ("bioproject",)], "dataset string"))
+
+
+@query(f"SELECT DISTINCT db, CASE WHEN db IN ('uniprot', 'go') THEN db WHEN db = 'newdb' THEN 'go' END AS resolved, CASE WHEN db IN ('pfam', 'uniprot') THEN 'T2b' WHEN db IN ('go', 'newdb') THEN 'T2a' ELSE 'MISS' END AS verdict FROM ({I.HITS})")
+def resolve_routes(spark, d):
+    one = lambda v, c: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    return verify.resolve_routes(_hits(spark, d).select("db").distinct(), one(["uniprot", "go"], "db"), spark.createDataFrame([("newdb", "go")], "db string, target string"), one(["pfam", "uniprot"], "dataset"))
+
+
+LAYERED_SQL = f"SELECT db, surface, CASE WHEN n % 3 = 0 AND NOT contains(surface, '.') THEN 'verified_exact' WHEN n % 3 = 0 THEN 'verified_normalized' ELSE 'unverified' END AS existence_status FROM (SELECT DISTINCT db, surface, CAST(regexp_extract(surface, '[0-9]+') AS INTEGER) AS n FROM ({I.HITS}))"
+
+
+def _layered(spark, d):
+    c = usage.candidates(_hits(spark, d))
+    n = F.regexp_extract("surface", "[0-9]+", 0).cast("int")
+    known = c.filter(n % 3 == 0).select("db", F.regexp_extract("surface", r"^[^.]*", 0).alias("id"))
+    return verify.layered(c, known)
+
+
+@query(LAYERED_SQL)
+def layered_verify(spark, d):
+    return _layered(spark, d)
+
+
+@query(f"SELECT db, count(*) FILTER (existence_status = 'verified_exact') AS verified_exact, count(*) FILTER (existence_status = 'verified_normalized') AS verified_normalized, count(*) FILTER (existence_status = 'unverified') AS unverified, CAST(0 AS BIGINT) AS skipped_unsafe FROM ({LAYERED_SQL}) GROUP BY db")
+def existence_pivot(spark, d):
+    return verify.status_pivot(_layered(spark, d))
+
+
+@query(f"SELECT h.doc_id, h.db, h.surface, CASE WHEN h.db <> 'newdb' THEN l.existence_status END AS existence_status FROM ({I.HITS}) AS h LEFT JOIN ({LAYERED_SQL}) AS l ON h.db = l.db AND h.surface = l.surface")
+def existence_write_back(spark, d):
+    return verify.write_back(_hits(spark, d), _layered(spark, d).filter("db <> 'newdb'")).select("doc_id", "db", "surface", "existence_status")
+
+
+@query(f"SELECT DISTINCT db, CASE WHEN db IN ('go', 'hgnc') THEN 'matched' ELSE 'hits_only' END AS side FROM ({I.HITS}) UNION ALL SELECT 'other', 'verifier_only'")
+def key_alignment(spark, d):
+    return verify.key_alignment(_hits(spark, d), spark.createDataFrame([("go",), ("hgnc",), ("other",)], "db string"))
+
+
+@query(f"SELECT db, surface AS id, CASE WHEN CAST(regexp_extract(surface, '[0-9]+') AS INTEGER) < 100 THEN 'confirmed' ELSE 'absent' END AS answer FROM (SELECT DISTINCT db, surface FROM ({I.HITS}))")
+def batched_lookup(spark, d):
+    return verify.look_up(usage.candidates(_hits(spark, d)).withColumnRenamed("surface", "id"), lambda db, ids: {i: "confirmed" for i in ids if int(i[2:].split(".")[0]) < 100}, batch=50)
+
+
+# ---- windows and roles ----
+
+
+@query(f"SELECT doc_id, dataset, id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, dataset, id ORDER BY flat_table, CASE WHEN gen_cue THEN 0 WHEN use_cue THEN 1 ELSE 2 END, position) AS r FROM ({I.WINDOWS})) WHERE r = 1")
+def best_window(spark, d):
+    return windows.best_window(rows(spark, d, I.WINDOWS)).select("doc_id", "dataset", "id", "position")
+
+
+@query(f"SELECT doc_id, dataset, id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, dataset, id ORDER BY 2 * CAST(gen_cue AS INTEGER) + CAST(use_cue AS INTEGER) DESC, position) AS r FROM ({I.WINDOWS})) WHERE r = 1")
+def top_scored_window(spark, d):
+    return windows.top_scored(rows(spark, d, I.WINDOWS)).select("doc_id", "dataset", "id", "position")
+
+
+def _duck_plain(k):
+    return f"regexp_matches(coalesce(translate(window_text, '«»', ''), ''), '(?i){rules.CUES[k]}')"
+
+
+def _duck_cue(k):
+    return f"coalesce(matched, false) AND {_duck_plain(k)}"
+
+
+ROLL_SQL = f"""SELECT doc_id, dataset, id, {', '.join(f'bool_or({_duck_cue(k)}) AS {k}' for k in roles.SIGNALS)}, bool_or(matched AND flat_table) AS flat_table, count(*) FILTER (matched) AS n_win, bool_or(matched) AS matched, arg_max(class, position) AS class, arg_max(n_in_doc, position) AS n_in_doc,
+  coalesce(arg_min(section_type, position) FILTER (matched AND {_duck_cue('gen_dep')}), arg_min(section_type, position) FILTER (matched)) AS section_type FROM ({I.WINDOWS}) GROUP BY doc_id, dataset, id"""
+
+
+@query(f"SELECT doc_id, position, {', '.join(f'{_duck_plain(k)} AS {k}' for k in roles.SIGNALS)} FROM ({I.WINDOWS})")
+def role_signals(spark, d):
+    return rows(spark, d, I.WINDOWS).withColumns(X.signals(F.col("window_text"))).select("doc_id", "position", *roles.SIGNALS)
+
+
+@query(ROLL_SQL)
+def role_rollup(spark, d):
+    return roles.roll_up(rows(spark, d, I.WINDOWS))
+
+
+_FAMILIES = ", ".join(f"'{x}'" for x in rules.DOMAIN_FAMILIES)
+PRELIM_SQL = f"""SELECT * , CASE WHEN NOT matched THEN 'no_window' WHEN class = 'out_of_scope' THEN 'out_of_scope' WHEN ref AND lower(dataset) IN ({_FAMILIES}) THEN 'domain_family' WHEN ref AND flat_table THEN 'flat_table' WHEN ref AND ref_use THEN 'ref_resource_use' WHEN ref AND use_acq THEN 'ref_reuse_ambiguous' WHEN ref THEN 'default_to_llm'
+  WHEN dep AND use_acq AND gen_dep THEN 'gen_use_conflict' WHEN dep AND gen_dep THEN 'gen_dep' WHEN dep AND das AND NOT use_acq THEN 'das_backed' WHEN dep AND use_acq THEN 'use_acq' WHEN dep AND avail THEN 'avail_ambiguous' WHEN dep THEN 'no_cue' ELSE 'unknown_class:' || class END AS note
+  FROM (SELECT *, class IN ('curated_entity_registry', 'derived_curated') AS ref, class IN ('deposited_research_record', 'deposited_entity_registry') AS dep FROM ({ROLL_SQL}))"""
+ROUTE_SQL = f"""SELECT doc_id, dataset, id, class, note, CASE note WHEN 'domain_family' THEN 'mentioned' WHEN 'flat_table' THEN 'mentioned' WHEN 'ref_resource_use' THEN 'used' ELSE '' END AS role,
+  CASE WHEN note IN ('no_window', 'out_of_scope', 'domain_family', 'flat_table', 'ref_resource_use') THEN '' WHEN note = 'ref_reuse_ambiguous' THEN 'use' WHEN note IN ('gen_dep', 'das_backed') THEN 'generated' WHEN note = 'use_acq' THEN 'used' ELSE 'none' END AS prior,
+  CASE WHEN note = 'no_window' THEN 'no_window' WHEN note = 'out_of_scope' THEN 'skip' WHEN note IN ('domain_family', 'flat_table', 'ref_resource_use') THEN 'rule' ELSE 'llm_pending' END AS role_source, note NOT IN ('no_window', 'out_of_scope', 'domain_family', 'flat_table', 'ref_resource_use') AS to_llm FROM ({PRELIM_SQL})"""
+
+
+def _routed(spark, d):
+    return roles.prelim(roles.roll_up(rows(spark, d, I.WINDOWS)))
+
+
+@query(ROUTE_SQL)
+def role_route(spark, d):
+    return _routed(spark, d).select("doc_id", "dataset", "id", "class", "note", "role", "prior", "role_source", "to_llm")
+
+
+@query(f"SELECT class, role_source, note, count(*) AS n FROM ({ROUTE_SQL}) GROUP BY ALL")
+def role_outcomes(spark, d):
+    return roles.outcome_counts(_routed(spark, d))
+
+
+ORACLE["role_outcomes"] = f"SELECT class, role_source, note, count(*) AS n FROM ({ROUTE_SQL}) GROUP BY class, role_source, note"
+_ANSWER = "CASE WHEN length(doc_id) % 2 = 0 THEN 'used' ELSE 'generated' END"
+
+
+@query(f"SELECT doc_id, dataset, id, class, CASE WHEN NOT to_llm THEN role WHEN id = 'E0' THEN 'missing' ELSE {_ANSWER} END AS role, CASE WHEN NOT to_llm THEN 'rule' ELSE 'llm' END AS role_source, CASE WHEN to_llm AND id <> 'E0' THEN '0.9' ELSE '' END AS role_confidence, CASE WHEN NOT to_llm THEN note WHEN id = 'E0' THEN 'id_not_in_output' ELSE prior END AS note FROM ({ROUTE_SQL}) WHERE to_llm OR role <> ''")
+def role_merge(spark, d):
+    r = _routed(spark, d)
+    said = r.filter("to_llm and id <> 'E0'").groupBy("doc_id").agg(F.collect_list(F.struct("id", F.expr(_ANSWER).alias("role"), F.lit("span").alias("evidence_span"), F.lit("0.9").alias("confidence"))).alias("results")).withColumn("error", F.lit(None).cast("string"))
+    return roles.merge_roles(r, said).select("doc_id", "dataset", "id", "class", "role", "role_source", "role_confidence", "note")
+
+
+@query(f"SELECT l.doc_id, count(*) AS n_entities, CASE WHEN bool_or(class = 'deposited_research_record') THEN 'upper' ELSE 'lower' END AS tier, CAST(least(2048, 120 + 60 * count(*)) AS BIGINT) AS max_tokens, string_agg(id, ',' ORDER BY dataset, id) AS ids FROM ({ROUTE_SQL}) AS l WHERE to_llm GROUP BY l.doc_id")
+def payload_chunks(spark, d):
+    p = roles.payloads(roles.llm_rows(_routed(spark, d)), windows.best_window(rows(spark, d, I.WINDOWS)), per_chunk=20)
+    return p.select("doc_id", "n_entities", "tier", "max_tokens", F.array_join("expected_ids", ",").alias("ids"))
+
+
+@query()
+def context_windows(spark, d):
+    t = rows(spark, d, "SELECT doc_id, text, CAST(length(text) DIV 2 AS INT) AS within, 5 AS length FROM documents")
+    return windows.build_windows(t)
+
+
+@query("SELECT doc_id, CAST(length(text) >= 40 AND length(text) - length(replace(text, ' ', '')) < 0.06 * length(text) AND list_max(list_transform(string_split(text, ' '), lambda x: length(x))) > 34 AS BOOLEAN) AS flat FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, repeat('ab12', 20))")
+def flat_tables(spark, d):
+    return rows(spark, d, "SELECT doc_id, text FROM documents UNION ALL SELECT -1, repeat('ab12', 20)").select("doc_id", X.flat_table(F.col("text")).alias("flat"))
+
+
+# ---- evaluation ----
+
+
+@query(f"SELECT coalesce(gold, 'total') AS gold, count(*) FILTER (pred = 'generated') AS \"generated\", count(*) FILTER (pred = 'used') AS used, count(*) FILTER (pred = 'mentioned') AS mentioned, count(*) AS total FROM ({I.PAIRS}) GROUP BY ROLLUP (gold)")
+def confusion(spark, d):
+    return evaluate.confusion(rows(spark, d, I.PAIRS))
+
+
+@query(f"""WITH p AS ({I.PAIRS}), c AS (SELECT r AS role, count(*) FILTER (gold = r AND pred = r) AS tp, count(*) FILTER (gold = r) AS g, count(*) FILTER (pred = r) AS n FROM p, (SELECT unnest(['generated', 'used', 'mentioned']) AS r) GROUP BY r),
+s AS (SELECT role, coalesce(tp / nullif(n, 0), 0) AS p, coalesce(tp / nullif(g, 0), 0) AS r, g FROM c), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM s)
+SELECT role, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, g AS support, round((SELECT count(*) FILTER (gold = pred) / count(*) FROM p), 6) AS accuracy, round(avg(f) OVER (), 6) AS macro_f1 FROM f""")
+def role_scores(spark, d):
+    return evaluate.scores(rows(spark, d, I.PAIRS))
+
+
+@query(f"SELECT source, class, count(*) FILTER (gold = pred) AS n_ok, count(*) AS n, count(*) < 10 AS small FROM ({I.PAIRS}) GROUP BY source, class")
+def accuracy_by_class(spark, d):
+    return evaluate.accuracy_by(rows(spark, d, I.PAIRS), "source", "class")
+
+
+@query(f"SELECT count(*) AS n_swaps FROM ({I.PAIRS}) WHERE (gold = 'generated' AND pred = 'used') OR (gold = 'used' AND pred = 'generated')")
+def role_swaps(spark, d):
+    return evaluate.swaps(rows(spark, d, I.PAIRS))
+
+
+@query(f"SELECT bin, count(*) FILTER (gold = pred) AS n_ok, count(*) AS n, count(*) < 10 AS small FROM (SELECT *, CASE WHEN c < 0.8 THEN '<0.8' WHEN c < 0.9 THEN '<0.9' WHEN c < 1.0 THEN '<1.0' ELSE '>=1.0' END AS bin FROM (SELECT *, TRY_CAST(nullif(confidence, '') AS DOUBLE) AS c FROM ({I.PAIRS})) WHERE c IS NOT NULL) GROUP BY bin")
+def confidence_bins(spark, d):
+    return evaluate.confidence_bins(rows(spark, d, I.PAIRS))
+
+
+STRATA = f"SELECT concat(source, ':', class, ':', pred) AS stratum, count(*) AS stock FROM ({I.PAIRS}) AS p GROUP BY concat(source, ':', class, ':', pred)"
+ALLOC_SQL = f"WITH s AS ({STRATA}), a AS (SELECT *, 100 * stock / sum(stock) OVER () AS raw FROM s), b AS (SELECT *, floor(raw) AS base FROM a), c AS (SELECT *, 100 - sum(base) OVER () AS left_over, row_number() OVER (ORDER BY raw - base DESC, stratum) AS k FROM b) SELECT stratum, stock, CAST(least(stock, greatest(base + CASE WHEN k <= left_over THEN 1 ELSE 0 END, 5)) AS BIGINT) AS n_draw FROM c"
+
+
+@query(ALLOC_SQL)
+def strata_allocation(spark, d):
+    return evaluate.allocate(rows(spark, d, STRATA), 100, least=5)
+
+
+@query(f"SELECT stratum, CAST(n_draw AS BIGINT) AS n FROM ({ALLOC_SQL}) WHERE n_draw > 0")
+def strata_draw(spark, d):
+    p = rows(spark, d, I.PAIRS).withColumn("stratum", F.concat_ws(":", "source", "class", "pred"))
+    return evaluate.draw(p, evaluate.allocate(rows(spark, d, STRATA), 100, least=5), "sample_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+
+
+FOUND = "SELECT l_orderkey AS doc_id, l_partkey AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'deposit' ELSE 'reference' END AS grp FROM lineitem WHERE l_returnflag <> 'N'"
+TRUTH = "SELECT l_orderkey AS doc_id, l_partkey AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'deposit' ELSE 'reference' END AS grp FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag <> 'R'"
+
+
+@query(f"WITH f0 AS (SELECT DISTINCT * FROM ({FOUND})), t0 AS (SELECT DISTINCT * FROM ({TRUTH})), dd AS (SELECT doc_id FROM f0 INTERSECT SELECT doc_id FROM t0), f AS (SELECT * FROM f0 WHERE doc_id IN (FROM dd)), t AS (SELECT * FROM t0 WHERE doc_id IN (FROM dd)), b AS (SELECT * FROM f INTERSECT SELECT * FROM t) SELECT grp, n_found, n_truth, coalesce(n_both, 0) AS n_both, round(coalesce(n_both, 0) / n_found, 6) AS precision, round(coalesce(n_both, 0) / n_truth, 6) AS recall FROM (SELECT grp, count(*) AS n_found FROM f GROUP BY grp) JOIN (SELECT grp, count(*) AS n_truth FROM t GROUP BY grp) USING (grp) LEFT JOIN (SELECT grp, count(*) AS n_both FROM b GROUP BY grp) USING (grp)")
+def scoped_scores(spark, d):
+    return evaluate.scoped(rows(spark, d, FOUND), rows(spark, d, TRUTH))
+
+
+@query(f"SELECT grp, count(*) AS n FROM ({TRUTH}) AS t WHERE NOT EXISTS (SELECT 1 FROM ({FOUND}) AS f WHERE f.doc_id = t.doc_id AND f.id = t.id) GROUP BY grp ORDER BY n DESC, grp LIMIT 10")
+def missed_groups(spark, d):
+    return evaluate.missed(rows(spark, d, FOUND), rows(spark, d, TRUTH), "grp")
+
+
+@query(f"SELECT sample_id FROM ({I.PAIRS}) WHERE sample_id NOT IN (SELECT sample_id FROM ({I.PAIRS}) WHERE class = 'rare')")
+def heldout_exclusion(spark, d):
+    p = rows(spark, d, I.PAIRS)
+    return evaluate.without_gold(p, p.filter("class = 'rare'"), ["sample_id"]).select("sample_id")
+
+
+@query("SELECT CAST(user_id % 4 AS BIGINT) AS worker, count(*) AS n_docs, round(sum(value), 4) AS elapsed, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_skipped FROM events GROUP BY 1")
+def worker_totals(spark, d):
+    r = rows(spark, d, "SELECT user_id % 4 AS worker, 1 AS n_docs, 1 AS n_chars, 1 AS n_annotations, value AS elapsed, CASE WHEN event_type = 'error' THEN 'skipped' ELSE 'ok' END AS status FROM events")
+    return evaluate.run_totals(r).select("worker", "n_docs", F.round("elapsed", 4).alias("elapsed"), "n_ok", "n_skipped")
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max FROM events")
+def throughput_stats(spark, d):
+    return evaluate.throughput(rows(spark, d, "SELECT value FROM events"), "value")
+
+
+# ---- comparisons and catalogs ----
+
+OURS = "SELECT l_orderkey AS doc_id, concat(' Part', CAST(l_partkey % 7 AS STRING)) AS surface, CASE WHEN l_suppkey % 2 = 0 THEN 'gene' ELSE 'disease' END AS entity_type, concat('NCBIGene:', CAST(l_partkey % 5 AS STRING)) AS identifier FROM lineitem WHERE l_linenumber <= 3"
+THEIRS = "SELECT l_orderkey AS doc_id, concat('part', CAST(l_partkey % 7 AS STRING)) AS surface, CASE WHEN l_suppkey % 2 = 0 THEN 'gene' ELSE 'disease' END AS entity_type, concat(CAST(l_partkey % 4 AS STRING), ';99') AS identifier FROM lineitem WHERE l_linenumber >= 2"
+
+
+@query(f"WITH a AS (SELECT DISTINCT doc_id, lower(trim(surface)) AS s, entity_type FROM ({OURS})), b AS (SELECT DISTINCT doc_id, lower(trim(surface)) AS s, entity_type FROM ({THEIRS})), j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.s AS x, b.s AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.s = b.s AND a.entity_type = b.entity_type) SELECT doc_id, count(x) AS n_ours, count(y) AS n_theirs, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_both FROM j GROUP BY doc_id")
+def strict_compare(spark, d):
+    return compare.strict_compare(rows(spark, d, OURS), rows(spark, d, THEIRS))
+
+
+@query(f"SELECT a.entity_type, count(*) AS n, count(*) FILTER (a.i = b.i) AS n_agree FROM (SELECT DISTINCT doc_id, lower(trim(surface)) AS s, entity_type, split_part(identifier, ':', 2) AS i FROM ({OURS})) a JOIN (SELECT DISTINCT doc_id, surface AS s, entity_type, split_part(identifier, ';', 1) AS i FROM ({THEIRS})) b ON a.doc_id = b.doc_id AND a.s = b.s AND a.entity_type = b.entity_type GROUP BY 1")
+def id_agreement(spark, d):
+    return compare.id_agreement(rows(spark, d, OURS).withColumn("surface", compare.normal_surface("surface")), rows(spark, d, THEIRS))
+
+
+@query()
+def surface_match(spark, d):
+    return compare.match_surfaces(rows(spark, d, OURS), rows(spark, d, THEIRS))
+
+
+@query()
+def nearest_label(spark, d):
+    return compare.nearest_label(rows(spark, d, "SELECT DISTINCT p_name AS name FROM part"), ["small ring", "large bolt", "medium gear"])
+
+
+@query("SELECT DISTINCT p_brand AS name, 'ours' AS side, contains(p_brand, '2') AS overlap FROM part UNION ALL SELECT DISTINCT 'x' || p_brand, 'theirs', contains(p_brand, '2') FROM part")
+def catalog_alignment(spark, d):
+    p = rows(spark, d, "SELECT DISTINCT p_brand AS b FROM part")
+    none = F.lit(None).cast("string")
+    ours = p.select(F.col("b").alias("dataset"), X.token_set(none, F.col("b"), none).alias("tokens"))
+    theirs = p.select(F.concat(F.lit("x"), "b").alias("db"), F.when(F.contains("b", F.lit("2")), F.col("b")).otherwise("nothing alike").alias("token"), F.col("b").alias("name"))
+    return compare.align_catalogs(ours, theirs)
+
+
+@query("SELECT p_type AS class, count(*) FILTER (p_size % 3 = 0) AS source_only, count(*) FILTER (p_size % 3 = 1) AS overlap, count(*) FILTER (p_size % 3 = 2) AS target_only FROM part GROUP BY p_type")
+def class_matrix(spark, d):
+    return compare.class_matrix(rows(spark, d, "SELECT p_type AS class, CASE p_size % 3 WHEN 0 THEN 'source_only' WHEN 1 THEN 'overlap' ELSE 'target_only' END AS bucket FROM part"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 'deposit' WHEN contains(lower(p_name), 'small') THEN 'reference' ELSE 'other' END AS grp FROM part")
+def repository_groups(spark, d):
+    return rows(spark, d, "SELECT p_partkey, p_name FROM part").select("p_partkey", compare.first_group(F.col("p_name"), {"deposit": ["ring"], "reference": ["small"]}).alias("grp"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'A' || p_partkey END AS no_version, upper(p_name) AS capitals, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS db_key, 'GO_' || p_partkey AS ontology, regexp_matches(p_name, '^[A-Za-z0-9_.\-:]+$') AS iri_safe, CAST(floor((length(p_name) + 3) / 4) AS BIGINT) AS tokens, 'NCBIGene:' || p_partkey AS linked, '10.1/x' || p_partkey AS doi FROM part""")
+def text_scalars(spark, d):
+    t = rows(spark, d, "SELECT p_partkey, p_name, p_brand, CASE WHEN p_size % 2 = 0 THEN concat('A', CAST(p_partkey AS STRING), '.', CAST(p_size AS STRING)) ELSE concat('A', CAST(p_partkey AS STRING)) END AS v FROM part")
+    k = F.col("p_partkey").cast("string")
+    return t.select("p_partkey", X.without_version(F.col("v")).alias("no_version"), X.in_capitals(F.col("p_name")).alias("capitals"), X.db_key(F.col("p_brand")).alias("db_key"), X.ontology_id(F.lit("go"), F.concat(F.lit("GO:"), k)).alias("ontology"), X.safe_for_iri(F.col("p_name")).alias("iri_safe"), X.estimated_tokens(F.col("p_name")).alias("tokens"), X.link_id(F.concat(k, F.lit("/name")), F.lit("gene")).alias("linked"), X.doi_key(F.concat(F.lit("https://doi.org/10.1/X"), k)).alias("doi"))
+
+
+@query(r"SELECT event_id, length(props) - length(replace(props, '_', '')) AS n, CAST(0 AS BIGINT) AS n_tokens FROM events UNION ALL SELECT -1, 3, 2")
+def underscore_census(spark, d):
+    t = rows(spark, d, "SELECT event_id, props FROM events UNION ALL SELECT -1, 'a_b c_d_ x'")
+    return t.select("event_id", X.underscore_census(F.col("props")).alias("u")).select("event_id", F.col("u.n").alias("n"), F.col("u.n_tokens").alias("n_tokens"))
+
+
+@query("SELECT 'f' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path, lpad(CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 500 AS VARCHAR), 6, '0') AS shard_id FROM part")
+def shard_plan(spark, d):
+    return shards.plan(rows(spark, d, "SELECT concat('f', lpad(CAST(p_partkey AS STRING), 9, '0')) AS path FROM part"))
+
+
+@query("SELECT DISTINCT doc_id, length(text) AS n FROM documents")
+def incremental_run(spark, d):
+    from ..sources.places import scratch
+
+    out = scratch(spark, f"incremental-{uuid.uuid4().hex}")
+    landed = rows(spark, d, "SELECT doc_id, text FROM documents")
+    for _ in range(2):  # every document is delivered twice
+        landed.write.mode("append").parquet(f"{out}/landing")
+    incremental.run_new(spark, f"{out}/landing", landed.schema, lambda df: df.select("doc_id", F.length("text").cast("long").alias("n")), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+FLAGSHIP_TEXT = I.ACCESSION_TEXT
+
+
+def flagship(spark, d):
+    """Texts with accessions to usage counts: extract, gate, candidates, existence by a table, confirmed mentions, entries."""
+    hits = extract.extract(rows(spark, d, I.ACCESSION_TEXT))
+    gated = hits.withColumn("g", X.gate(F.col("db"), F.col("surface"))).filter("g.gate_pass").drop("g")
+    known = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).cast("int") % 2 == 0)
+    verified = verify.combine_graphs(usage.candidates(gated).withColumnsRenamed({"db": "dataset", "surface": "id"}), known.withColumnsRenamed({"db": "dataset", "surface": "id"}), known.limit(0).withColumnsRenamed({"db": "dataset", "surface": "id"}))
+    return usage.by_entry(usage.confirmed_mentions(usage.mentions(gated), verified, rules.db_classes(spark)))
+
+
+QUERIES["flagship"] = lambda spark, d: tidy(flagship(spark, d))
