@@ -29,8 +29,6 @@ QUERIES = {
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
-    "op7_near_dedup": near_dedup.op7,
-    "op8_url_filter": url_filter.op8,
     "op9_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
