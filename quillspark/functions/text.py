@@ -38,7 +38,7 @@ def local_id(identifier: Column) -> Column:
 
 def gate(db: Column, identifier: Column) -> Column:
     """struct(gate_pass, gate_reason) of an identifier, by the shape that its database's local ids have."""
-    s = F.trim(local_id(identifier))
+    s = F.regexp_replace(local_id(identifier), r"^\s+|\s+$", "")
 
     def verdict(ok, reason):
         return F.struct(F.lit(ok).alias("gate_pass"), F.lit(reason).alias("gate_reason"))

@@ -54,9 +54,9 @@ def heldout(rows: DataFrame, floors: dict[str, int], quotas: dict[str, int], cap
                 full = soft and r.dataset in caps and by_db.get(r.dataset, 0) >= caps[r.dataset]
                 if r.Index not in taken and not full and by_class.get(r.stratum, 0) < quotas.get(r.stratum, 0):
                     take(r)
-        return f.loc[[i for i in f.index if i in taken]]
+        return f.loc[[i for i in f.index if i in taken]].drop(columns="__all")
 
-    return rows.groupBy(F.lit(0)).applyInPandas(pick, rows.schema)
+    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(pick, rows.schema)
 
 
 def agreement_subset(rows: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:

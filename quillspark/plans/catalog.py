@@ -613,3 +613,5 @@ def flagship(spark, d):
 
 
 QUERIES["flagship"] = lambda spark, d: tidy(flagship(spark, d))
+ORACLE["flagship"] = f"""SELECT dataset, id, {_CLASS_SQL} AS class, 'togoid_label' AS oracle, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs
+  FROM (SELECT doc_id, db AS dataset, surface AS id FROM ({ORACLE["regex_extract"]})) WHERE CAST(regexp_extract(id, '(\\d)(?:\\.\\d+)?$', 1) AS INTEGER) % 2 = 0 GROUP BY dataset, id"""
