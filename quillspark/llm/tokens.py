@@ -6,11 +6,21 @@ import re
 
 import numpy as np
 
-#: Characters whose Unicode classes are old and settled; a text with any other is encoded as a whole, not word by word.
-_SETTLED = re.compile("[^\x00-ͯͰ-ӿ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]")
+#: Characters of which re and the tokenizer agree whether they are letters, digits or white space, as their classes are old and
+#: settled and none is a number other than 0-9; a text with any other is encoded as a whole, not match by match.
+_SETTLED = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u036f\u0370-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+#: The tokenizer's own pre-tokenizer pattern in the terms of re, for such texts: letters, digits, other signs, white space.
+_MATCHES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CACHED = 300_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level model names each byte: itself where it is printable, else the next one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids. Equal to tokenizers' encode(text, add_special_tokens=False).
 
@@ -20,18 +30,19 @@ class Encoder:
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        encode = self.model.encode
+        self.find = _MATCHES.findall
+        tokenize, letters = self.model.model.tokenize, _byte_letters()
 
         class Cache(dict):
-            def __missing__(self, word):
+            def __missing__(self, match):
                 if len(self) >= _CACHED:
                     self.clear()
-                found = self[word] = np.array(encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                # the model alone: a match needs no splitting, offsets or special tokens
+                tokens = tokenize(match.encode().decode("latin-1").translate(letters))
+                found = self[match] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
                 return found
 
         self.cached = Cache().__getitem__
