@@ -128,3 +128,20 @@ def offset_round_trip(annotations: DataFrame, texts: DataFrame) -> DataFrame:
 def overlapping(tokens: DataFrame, annotations: DataFrame) -> DataFrame:
     """Pairs of a token and an annotation of the same document whose code points overlap: (doc_id, t_start, t_end, a_start, a_end)."""
     return tokens.join(annotations, "doc_id").filter("a_start < t_end and a_end > t_start")
+
+
+def kept_tokens(before: DataFrame, after: DataFrame, pattern: str = r"(\w+_\w+)") -> DataFrame:
+    """By document, the tokens of a kind that a step lost or made: (doc_id, token, n_before, n_after) where the counts differ."""
+    def count(df, name):
+        return df.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias(name))
+
+    return count(before, "n_before").join(count(after, "n_after"), ["doc_id", "token"], "full").na.fill(0, ["n_before", "n_after"]).filter("n_before <> n_after")
+
+
+def long_enough(docs: DataFrame, least: int = 500, text: str = "text") -> DataFrame:
+    return docs.filter(F.length(text) >= least)
+
+
+def of_top_documents(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """Rows of the first n distinct documents in order."""
+    return rows.join(rows.select(key).distinct().orderBy(key).limit(n), key, "left_semi")

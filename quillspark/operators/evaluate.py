@@ -138,3 +138,8 @@ def run_totals(runs: DataFrame) -> DataFrame:
 
 def throughput(runs: DataFrame, measure: str) -> DataFrame:
     return runs.agg(F.avg(measure).alias("mean"), F.median(measure).alias("median"), F.min(measure).alias("min"), F.max(measure).alias("max"))
+
+
+def corpus_hours(chars_per_second: float, workers: int, corpus_chars: float = 1.8e11) -> float:
+    """Hours that a corpus of so many characters takes."""
+    return corpus_chars / (chars_per_second * workers) / 3600

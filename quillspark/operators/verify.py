@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterable
 from typing import Protocol
@@ -135,3 +136,36 @@ def key_alignment(hits: DataFrame, verifier: DataFrame) -> DataFrame:
     """Databases of both sides: matched, hits_only or verifier_only."""
     a, b = hits.select("db").distinct().withColumn("_a", F.lit(True)), verifier.select("db").distinct().withColumn("_b", F.lit(True))
     return a.join(b, "db", "full").select("db", F.when(F.col("_a") & F.col("_b"), "matched").when(F.col("_a"), "hits_only").otherwise("verifier_only").alias("side"))
+
+
+def scrape_routes(text: str) -> list[tuple[str, str]]:
+    """(database, target) pairs of a routing table that stands in a source text as "a": "b" lines."""
+    return list(dict.fromkeys(re.findall(r"""["']([A-Za-z0-9_]+)["']\s*:\s*["']([A-Za-z0-9_.\-]+)["']""", text)))
+
+
+def probe_databases(hits: DataFrame, probe: Callable[[str], bool]) -> DataFrame:
+    """Databases by volume, with whether a label graph answers for each: one question for each distinct database."""
+    volume = hits.groupBy("db").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("surface").alias("n_surfaces"))
+
+    def run(frames):
+        for f in frames:
+            answers = []
+            for db in f["db"]:
+                try:
+                    answers.append(bool(probe(db)))
+                except Exception:
+                    answers.append(False)
+            yield f.assign(covered=answers)
+
+    return volume.repartition("db").mapInPandas(run, "db string, n long, n_surfaces long, covered boolean").orderBy(F.desc("n"), "db")
+
+
+def diagnose(present: DataFrame, expected: DataFrame) -> DataFrame:
+    """Why an expected (db, graph, ns, id) isn't found among present (graph, ns, id, place): found, graph_mismatch, object_only,
+    wrong_namespace or missing."""
+    p = present.select("graph", "ns", "id", "place")
+    j = expected.join(p.select("id", F.col("graph").alias("g"), F.col("ns").alias("m"), "place"), "id", "left")
+    same_ns, same_graph = F.col("m") == F.col("ns"), F.col("g") == F.col("graph")
+    why = F.when(same_ns & same_graph & (F.col("place") == "subject"), 0).when(same_ns & (F.col("place") == "subject"), 1).when(same_ns, 2).when(F.col("m").isNotNull(), 3).otherwise(4)
+    names = F.array(*map(F.lit, ("found", "graph_mismatch", "object_only", "wrong_namespace", "missing")))
+    return j.groupBy("db", "id").agg(F.get(names, F.min(why)).alias("reason"))

@@ -89,3 +89,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def summary(df: DataFrame) -> str:
     """The one row of an aggregate as JSON."""
     return df.toJSON().first()
+
+
+def first_readable(spark: SparkSession, *folders: str) -> DataFrame:
+    """Shards of the first folder that has any."""
+    for i, folder in enumerate(folders):
+        try:
+            return read_shards(spark, folder)
+        except Exception:
+            if i + 1 == len(folders):
+                raise
+    raise ValueError("no folder given")
