@@ -13,6 +13,8 @@ from .base import corpus_size, mix, table
 
 GRAM, WIDTH = 16, 32
 BUCKET_BYTES = 16 << 20
+#: Buckets whose first ids are broadcast, 16 bytes each.
+MOST_SENT = 100_000
 
 
 def grams(points: np.ndarray, gram: int) -> np.ndarray:
@@ -89,13 +91,16 @@ def compare_neighbours(docs: DataFrame, gram: int = GRAM, width: int = WIDTH) ->
     n, size = corpus_size(rows)
     r = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
     low, high = float(r["a"] or 0), float(r["z"] or 0)
-    each = max(1.0, (high - low + 1) / max(1, min(n, -(-size // BUCKET_BYTES))))
+    buckets = max(1, min(n, -(-size // BUCKET_BYTES)))
+    each = max(1.0, (high - low + 1) / buckets)
     rows = rows.withColumn("bucket", F.greatest(F.floor((F.col("k").cast("double") - low) / each), F.lit(-1)).cast("long"))
     # the first document of each bucket, again, at the end of the bucket before it
     heads = rows.groupBy("bucket").agg(F.min("k").alias("k"))
     order = Window.partitionBy().orderBy("bucket")
     whole = Window.partitionBy()
     heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(whole))).select("before", F.col("k").alias("head"))
+    # one short row a bucket: sent to all tasks where that is small, so that texts aren't shuffled to find a few of them
+    heads = F.broadcast(heads) if buckets <= MOST_SENT else heads.hint("merge")
     ends = rows.join(heads, F.col("k") == F.col("head")).groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("end"), F.lit(0).cast("long").alias("k"), "text", F.col("before").alias("bucket"))
     stream = rows.select("doc_id", F.lit(0).alias("end"), "k", "text", "bucket").union(ends).repartition("bucket").sortWithinPartitions("bucket", "end", "k", "text")
 
