@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .base import table, written
 from .pattern_packing import CAPACITY, END
-from .tokens import Encoder, cut
+from .tokens import cut, shared_encoder
 
 #: Ids that are packed together, about: 16 MB of them in memory.
 GROUP_IDS = 4_000_000
@@ -95,7 +95,7 @@ def pack_ids(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
         return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def run(batches):
-        encoder, tail = Encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
+        encoder, tail = shared_encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
         todo, held, n, task = [], 0, 0, TaskContext.get().partitionId()
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

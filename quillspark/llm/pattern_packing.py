@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import table, written
-from .tokens import Encoder, cut
+from .tokens import cut, shared_encoder
 
 CAPACITY = 1024
 END = 2
@@ -25,7 +25,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     empty and have the end id alone; rows with the same doc_id are separate documents."""
 
     def run(batches):
-        encoder, tail = Encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
+        encoder, tail = shared_encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -55,6 +57,15 @@ class Encoder:
         return b"".join(map(self.cached, self.find(text)))
 
 
+def shared_encoder(path: str | None = None) -> Encoder:
+    """The encoder of this Python process: a worker that runs several tasks keeps what it has encoded."""
+    state = sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker")).__dict__
+    key = f"encoder {path}"
+    if key not in state:
+        state[key] = Encoder(path)
+    return state[key]
+
+
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: one, or pieces of `most` after a first one that may be shorter."""
     if n <= most:
