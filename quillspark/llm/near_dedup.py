@@ -226,18 +226,19 @@ def classes(docs: DataFrame, like: Likeness, group: int = GROUP) -> DataFrame:
     members = members.withColumn("tiles", F.when(F.col("n") <= group, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", "node", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").cast("binary").alias("text"))
-    found = members.join(texts, "node").groupBy("component", "first", "second").applyInArrow(verify(like), "u long, v long")
+    # texts always meet their members by a shuffle: at any size but a tiny one the members are too many to broadcast
+    found = members.join(texts.hint("merge"), "node").groupBy("component", "first", "second").applyInArrow(verify(like), "u long, v long")
     linked = components(found)
     class_of = known.join(reps.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left").select("doc_id", "n_shingles", "rep")
     out = class_of.join(linked, F.col("rep") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, like: Likeness | None = None) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Columns of docs."""
     kept = classes(docs.select("doc_id", "text"), like or Likeness()).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return docs.hint("merge").join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
