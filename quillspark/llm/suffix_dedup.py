@@ -120,15 +120,14 @@ def matcher(length: int = LENGTH, most: int = MOST, most_alone: int = MOST_ALONE
         out: list = [None] * len(strings)
         size = np.array([len(s) + 1 for s in strings], dtype=np.int64)
         order = np.argsort(sub, kind="stable")
-        parts, part, held = [], [], 0
-        for group in np.split(order, np.flatnonzero(np.diff(sub[order])) + 1):
-            n = int(size[group].sum())
-            if part and held + n > most:
-                parts.append(np.concatenate(part))
-                part, held = [], 0
-            part.append(group)
-            held += n
-        parts.append(np.concatenate(part))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(sub[order]) > 0)))  # of each sub key
+        held = np.concatenate(([0], np.cumsum(size[order])))
+        upto, parts, k = np.append(held[first[1:]], held[-1]), [], 0
+        while k < len(first):
+            # as many sub keys as fit, one at least
+            last = max(k, int(np.searchsorted(upto, held[first[k]] + most, side="right")) - 1)
+            parts.append(order[first[k] : first[last + 1] if last + 1 < len(first) else len(order)])
+            k = last + 1
         for ids in parts:
             if size[ids].sum() <= most_alone or len({int(x) for x in sub[ids]}) > 1:
                 for k, bits in zip(ids.tolist(), _earlier([strings[k] for k in ids], doc[ids], length), strict=True):
