@@ -29,6 +29,7 @@ def test_ids_equal_the_tokenizer():
     t, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.Encoder()
     r = random.Random(1)
     texts = TEXTS + ["".join(r.choices("ab '\n\t1é.,!?s  t", k=40)) for _ in range(300)]
+    texts += ["".join(r.choices(["ab", " c", "'s", "\n", " d.", "\t", "\xa0", " 12", ",", "É", " "], k=30)) for _ in range(600)]
     for x in texts:
         assert np.frombuffer(e.ids(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids
     assert e.ids(None) == b""
@@ -363,7 +364,8 @@ def test_sql_of_operators(spark, sf):
     from quillspark.llm.queries import ORACLE, QUERIES
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "pages"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLE.items():
         df = QUERIES[name](spark, sf)
         r = c.sql(sql)
