@@ -61,9 +61,9 @@ def heldout(rows: DataFrame, floors: dict[str, int], quotas: dict[str, int], cap
 
 def agreement_subset(rows: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
     """A share of the rows, rounded half to even, at least one."""
-    n = rows.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share)).cast("int").alias("n"))
+    n = rows.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share)).cast("int").alias("n")).scalar()
     w = Window.partitionBy().orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return rows.withColumn("_k", F.row_number().over(w)).crossJoin(n).filter("_k <= n").drop("_k", "n")  # n is one row
+    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
 def without_gold(rows: DataFrame, gold: DataFrame, keys=("doc_id",)) -> DataFrame:

@@ -25,6 +25,7 @@ class Pattern:
     confidence: str
     context: tuple[str, ...]
     name: Callable[[str], tuple[str, str, str] | None]
+    marked: bool = False  # whether each match has a capital, a digit, an underscore or a colon
 
 
 def _catalog_name(db: str, uri: str | None):
@@ -51,36 +52,64 @@ def _hand_name(db: str, prefix: str):
 
 
 def catalog_patterns(rows=rules.CATALOG_PATTERNS) -> list[Pattern]:
-    return [Pattern(db, category, regex, "high", (), _catalog_name(db, uri)) for db, category, regex, uri in rows]
+    return [Pattern(db, category, regex, "high", (), _catalog_name(db, uri), True) for db, category, regex, uri in rows]
 
 
 def hand_patterns(rows=rules.HAND_PATTERNS) -> list[Pattern]:
-    return [Pattern(db, "", regex, confidence, words, _hand_name(db, prefix)) for db, regex, prefix, confidence, words in rows]
+    return [Pattern(db, "", regex, confidence, words, _hand_name(db, prefix), True) for db, regex, prefix, confidence, words in rows]
+
+
+#: What a regex may match white space with.
+_MAY_SPAN = re.compile(r"(?<!\\)(?:\\\\)*(?: |\\[sWD]|\[\^|\.(?![^\[]*\]))")
+_WORD = re.compile(r"\S*[A-Z0-9_:]\S*")
 
 
 class Extractor:
     """Finds identifiers in one text. Matches are ordered by offset, then (if longest_first) by length, then confidence, then
     by the order of the patterns; each is kept if it overlaps none before it. Sorted by offset, that means it starts where
-    the last kept one has ended."""
+    the last kept one has ended.
+
+    Prose is passed over quickly: a marked pattern that can't match white space is only tried inside words that have such a
+    mark, and there only if any of these patterns matches; the others are tried on the whole text.
+    """
 
     def __init__(self, patterns: list[Pattern], longest_first: bool = True):
         self.patterns, self.longest_first = patterns, longest_first
         self.compiled: list[re.Pattern] | None = None
 
+    def _compile(self) -> None:
+        self.compiled = [re.compile(p.regex) for p in self.patterns]
+        within = [p.marked and not _MAY_SPAN.search(p.regex) for p in self.patterns]
+        self.inside, self.across = ([k for k, w in enumerate(within) if w == flag] for flag in (True, False))
+        self.any = re.compile("|".join(f"(?:{self.patterns[k].regex})" for k in self.inside)) if self.inside else None
+
+    def _matches(self, text: str) -> Iterator[tuple[int, int, int]]:
+        for k in self.across:
+            for m in self.compiled[k].finditer(text):
+                yield k, *m.span()
+        if self.any:
+            for w in _WORD.finditer(text):
+                a, z = w.span()
+                if self.any.search(text, a, z):
+                    for k in self.inside:
+                        for m in self.compiled[k].finditer(text, a, z):
+                            yield k, *m.span()
+
     def __call__(self, text: str | None) -> list[tuple]:
         if self.compiled is None:
-            self.compiled, self.any = [re.compile(p.regex) for p in self.patterns], re.compile("|".join(f"(?:{p.regex})" for p in self.patterns))
-        if not text or not self.any.search(text):
+            self._compile()
+        if not text:
             return []
-        low, found = text.lower(), []
-        for k, (p, rx) in enumerate(zip(self.patterns, self.compiled, strict=True)):
-            for m in rx.finditer(text):
-                a, z = m.span()
-                if p.confidence == "context" and not any(w in low[max(0, a - rules.CONTEXT) : z + rules.CONTEXT] for w in p.context):
+        low, found = None, []
+        for k, a, z in self._matches(text):
+            p = self.patterns[k]
+            if p.confidence == "context":
+                low = text.lower() if low is None else low
+                if not any(w in low[max(0, a - rules.CONTEXT) : z + rules.CONTEXT] for w in p.context):
                     continue
-                named = p.name(m[0])
-                if named:
-                    found.append(((a, -(z - a) if self.longest_first else 0, p.confidence != "high", k), (named[0], p.db, p.category, named[1], named[2], a, z - a, p.confidence)))
+            named = p.name(text[a:z])
+            if named:
+                found.append(((a, -(z - a) if self.longest_first else 0, p.confidence != "high", k), (named[0], p.db, p.category, named[1], named[2], a, z - a, p.confidence)))
         kept, end = [], 0
         for _, hit in sorted(found, key=lambda x: x[0]):
             if hit[5] >= end:
@@ -91,8 +120,7 @@ class Extractor:
 
 def extract(passages: DataFrame, patterns: list[Pattern] | None = None, longest_first: bool = True, text: str = "text") -> DataFrame:
     """passages with one row for each identifier: surface, db, category, identifier, curie, offset (in the passage, from 0),
-    length, confidence, and its number in the passage. Null texts and texts without any give no rows; the JVM drops texts
-    that no pattern can match before Python sees them."""
+    length, confidence, and its number in the passage. Null texts and texts without any give no rows."""
     extractor = Extractor(patterns or catalog_patterns(), longest_first)
 
     @F.pandas_udf(HITS)
@@ -100,9 +128,7 @@ def extract(passages: DataFrame, patterns: list[Pattern] | None = None, longest_
         for t in texts:
             yield pd.Series([extractor(x) for x in t])
 
-    # every pattern ends in letters and digits that have a digit or a capital run; texts with neither can't match
-    maybe = passages.filter(F.col(text).rlike(r"\d|[A-Z]{5}|_|tRNA"))
-    out = maybe.withColumn("_hits", find(text)).select(*passages.columns, F.posexplode("_hits").alias("hit_no", "_h"))
+    out = passages.withColumn("_hits", find(text)).select(*passages.columns, F.posexplode("_hits").alias("hit_no", "_h"))
     return out.select(*passages.columns, "hit_no", "_h.*")
 
 

@@ -60,10 +60,10 @@ def by_year(mentions: DataFrame, base: DataFrame, doc_years: DataFrame) -> DataF
 
 def rates(mentions: DataFrame, base: DataFrame) -> DataFrame:
     """Share of documents (of those with any mention) that have a confirmed reference of each class, and of any."""
-    total = mentions.agg(F.count_distinct("doc_id").alias("n_total"))
+    total = mentions.agg(F.count_distinct("doc_id")).scalar()
     each = base.groupBy("class").agg(F.count_distinct("doc_id").alias("n_docs"))
     either = base.agg(F.lit("any").alias("class"), F.count_distinct("doc_id").alias("n_docs"))
-    return each.unionByName(either).crossJoin(total).withColumn("rate", F.coalesce(F.try_divide("n_docs", "n_total"), F.lit(0.0)))  # total is one row
+    return each.unionByName(either).withColumn("n_total", total).withColumn("rate", F.coalesce(F.try_divide("n_docs", "n_total"), F.lit(0.0)))
 
 
 def oracle_counts(verified: DataFrame) -> DataFrame:
