@@ -145,3 +145,10 @@ def long_enough(docs: DataFrame, least: int = 500, text: str = "text") -> DataFr
 def of_top_documents(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """Rows of the first n distinct documents in order."""
     return rows.join(rows.select(key).distinct().orderBy(key).limit(n), key, "left_semi")
+
+
+def linker_impact(compared: DataFrame, by) -> DataFrame:
+    """Counts of the five flags by a bucket (a column, such as the type or a length bucket), and the share that agrees."""
+    flags = ("agree", "both_none", "ctx_only", "free_only", "differ")
+    out = compared.groupBy(by.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("flag") == f).alias(f) for f in flags))
+    return out.withColumn("share", (F.col("agree") + F.col("both_none")) / F.col("n"))

@@ -143,3 +143,24 @@ def throughput(runs: DataFrame, measure: str) -> DataFrame:
 def corpus_hours(chars_per_second: float, workers: int, corpus_chars: float = 1.8e11) -> float:
     """Hours that a corpus of so many characters takes."""
     return corpus_chars / (chars_per_second * workers) / 3600
+
+
+def stratum(role, prior):
+    """What a pre-pass row is sampled as: its role, else what its prior says, else mentioned."""
+    r, p = F.trim(F.coalesce(role, F.lit(""))), F.trim(F.coalesce(prior, F.lit("")))
+    return F.when(r.isin("used", "mentioned"), r).when(p == "generated", "generated").when(p.isin("used", "use"), "used").otherwise("mentioned")
+
+
+def sample_distinct(rows: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n distinct keys, those of the smallest hash: reruns agree."""
+    return rows.select(*keys).distinct().orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
+def sorted_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))
+
+
+def markdown(rows: DataFrame) -> str:
+    """A small report table as Markdown."""
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(str(v).replace("|", "\\|") for v in r) + " |" for r in rows.collect()])

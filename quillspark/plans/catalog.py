@@ -118,6 +118,12 @@ def gene_categories(spark, d):
     return concept.gene_report(t).select("category", "n")
 
 
+@query(f"WITH c AS (SELECT a.surface, CASE WHEN a.identifier IS NULL AND d.identifier IS NULL THEN 'both_none' WHEN a.identifier IS NOT NULL AND d.identifier IS NULL THEN 'ctx_only' WHEN a.identifier IS NULL THEN 'free_only' WHEN a.identifier = d.identifier THEN 'agree' ELSE 'differ' END AS flag FROM (SELECT DISTINCT surface, entity_type, identifier FROM ({ANN_SQL})) a LEFT JOIN ({DICT_SQL}) d ON a.surface = d.surface AND a.entity_type = d.entity_type) SELECT CASE WHEN length(surface) <= 3 THEN '01-03' WHEN length(surface) <= 6 THEN '04-06' WHEN length(surface) <= 10 THEN '07-10' WHEN length(surface) <= 20 THEN '11-20' ELSE '21+' END AS bucket, count(*) AS n, count(*) FILTER (flag = 'agree') AS agree, count(*) FILTER (flag = 'both_none') AS both_none, count(*) FILTER (flag = 'ctx_only') AS ctx_only, count(*) FILTER (flag = 'free_only') AS free_only, count(*) FILTER (flag = 'differ') AS differ, round(count(*) FILTER (flag IN ('agree', 'both_none')) / count(*), 6) AS share FROM c GROUP BY 1")
+def linker_impact(spark, d):
+    a = rows(spark, d, ANN).select("surface", "entity_type", F.col("identifier").alias("context_id")).distinct()
+    return concept.linker_impact(concept.compare_linkers(a, rows(spark, d, DICT)), X.length_bucket(F.length("surface")))
+
+
 # ---- passages and articles ----
 
 
@@ -525,6 +531,31 @@ def throughput_stats(spark, d):
     return evaluate.throughput(rows(spark, d, "SELECT value FROM events"), "value")
 
 
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'used' WHEN 1 THEN 'generated' WHEN 2 THEN 'used' ELSE 'mentioned' END AS stratum FROM part")
+def prepass_strata(spark, d):
+    t = rows(spark, d, "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN ' used' ELSE '' END AS role, CASE p_size % 5 WHEN 1 THEN 'generated' WHEN 2 THEN 'use' WHEN 3 THEN 'none' END AS prior FROM part")
+    return t.select("p_partkey", evaluate.stratum(F.col("role"), F.col("prior")).alias("stratum"))
+
+
+@query(f"SELECT dataset, list_sort(list(DISTINCT status)) AS \"values\" FROM ({I.VERIFIED}) GROUP BY dataset")
+def sorted_sets(spark, d):
+    return evaluate.sorted_sets(rows(spark, d, I.VERIFIED), "dataset", "status")
+
+
+@query(f"SELECT least(50, count(*)) AS n FROM (SELECT DISTINCT db, surface FROM ({I.HITS}))")
+def distinct_sample(spark, d):
+    return evaluate.sample_distinct(_hits(spark, d), ["db", "surface"], 50).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, 'GSE' || (doc_id + 1000) AS surface FROM documents")
+def extraction_in_sql(spark, d):
+    from ..sources.patterns import register_extractor
+
+    register_extractor(spark)
+    rows(spark, d, I.ACCESSION_TEXT).createOrReplaceTempView("accession_texts")
+    return spark.sql("SELECT doc_id, surface FROM accession_texts, LATERAL extract_identifiers(text) WHERE db = 'geo_series'")
+
+
 # ---- comparisons and catalogs ----
 
 OURS = "SELECT l_orderkey AS doc_id, concat(' Part', CAST(l_partkey % 7 AS STRING)) AS surface, CASE WHEN l_suppkey % 2 = 0 THEN 'gene' ELSE 'disease' END AS entity_type, concat('NCBIGene:', CAST(l_partkey % 5 AS STRING)) AS identifier FROM lineitem WHERE l_linenumber <= 3"

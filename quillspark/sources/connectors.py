@@ -201,3 +201,20 @@ def known_table(df: DataFrame, most: int = 1_000_000) -> TableLookup:
     if len(rows) > most:
         raise ValueError(f"more than {most} known ids: join them instead")
     return TableLookup({(r["db"], r["id"]) for r in rows})
+
+
+def backend_url(endpoint: str | None, rule: str, target: str) -> str | None:
+    """The endpoint behind a portal: where the rule (a regex with one group) matches, the target with the group in it."""
+    m = re.search(rule, endpoint or "")
+    return target.format(group=m[1]) if m else endpoint
+
+
+def smoke(endpoints: dict[str, str | None], send: Transport = http) -> dict[str, str]:
+    """OK, NG or skip for each endpoint: one question each; no endpoint is skipped."""
+    out = {}
+    for db, url in endpoints.items():
+        try:
+            out[db] = "skip" if not url else "OK" if SparqlLookup(url, "", send).ask() else "NG"
+        except (OSError, ValueError):
+            out[db] = "NG"
+    return out

@@ -250,3 +250,25 @@ def test_incremental(spark, tmp_path):
     run()
     run()
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_loaded_catalog():
+    from quillspark.sources.patterns import load_catalog
+
+    text = "safe:\n  a: {pattern: '\\bA\\d+\\b', uri: 'http://x/', category: C}\n  bad: {pattern: '('}\ncontext_required:\n  b: {pattern: '\\bB\\d\\b'}\n"
+    got, skipped = load_catalog(text)
+    assert [p.db for p in got] == ["a"] and skipped == ["bad"]
+    assert extract.Extractor(got)("see A12")[0][:5] == ("A12", "a", "C", "a:A12", "http://x/A12")
+    got, _ = load_catalog(text, True, {"b": ["beta"]})
+    assert [h[0] for h in extract.Extractor(got)("beta B1")] == ["B1"] and extract.Extractor(got)("B1") == []
+
+
+def test_endpoints():
+    assert connectors.backend_url("https://p.org/geo/sparql", r"p\.org/([a-z]+)/sparql", "https://b/{group}") == "https://b/geo"
+    assert connectors.backend_url(None, "x(y)", "") is None
+    send = lambda url, data, headers: (200, b'{"boolean": true}') if url == "up" else (404, b"")
+    assert connectors.smoke({"a": "up", "b": None, "c": "down"}, send) == {"a": "OK", "b": "skip", "c": "NG"}
+
+
+def test_reports(spark):
+    assert evaluate.markdown(spark.createDataFrame([("a|b", 1)], "x string, n int")) == "| x | n |\n|---|---|\n| a\\|b | 1 |"
