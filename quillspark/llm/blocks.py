@@ -75,19 +75,31 @@ def _runs(m: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_bytes(texts: list[bytes], window: int, gram: int = 16, step: int = 1 << 18) -> Cut:
-    """Units are bytes; grams are 16 bytes, read as two eights."""
+    """Units are bytes; grams are 16 bytes, read as two eights. Hashes are held for a step of bytes at a time."""
     data = b"".join(texts)
-    lens = np.array([len(t) for t in texts], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(lens)))
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
     buf = np.frombuffer(data + b"\0" * (window + gram), dtype=np.uint8)
-    valid = np.arange(window, len(data) + window, dtype=np.int32) <= np.repeat(first[1:].astype(np.int32), lens)
-    view, keys = eights(buf), np.empty(len(data), dtype=np.uint64)
+    view, starts, keys, last = eights(buf), [], [], None
     for a in range(0, len(data), step):
-        z = min(a + step, len(data)) + window - gram
+        end = min(a + step, len(data))
+        z = end + window - gram
         h = mix(view[a:z] * np.uint64(0xD6E8FEB86659FD93) ^ (view[a + 8 : z + 8] * np.uint64(0xA0761D6478BD642F) >> np.uint64(3)) + view[a + 8 : z + 8])
-        keys[a : a + step] = sliding_min(h, window - gram + 1)
-    start, n = _runs(keys, valid) if len(data) else (np.zeros(0, dtype=np.int64),) * 2
-    return Cut(data, first, None, None, window, start, n, keys[start], np.ones_like(start))
+        m = sliding_min(h, window - gram + 1)
+        new = np.ones(len(m), dtype=bool)
+        new[1:] = m[1:] != m[:-1]
+        new[0] = last is None or m[0] != last
+        new[first[np.searchsorted(first, a) : np.searchsorted(first, end)] - a] = True
+        last, at = m[-1], np.flatnonzero(new)
+        starts.append(at + a)
+        keys.append(m[at])
+    if not starts:
+        none = np.zeros(0, dtype=np.int64)
+        return Cut(data, first, None, None, window, none, none, np.zeros(0, dtype=np.uint64), none)
+    start, key = np.concatenate(starts), np.concatenate(keys)
+    # a run ends at the next one, or behind its document's last window
+    n = np.minimum(np.append(start[1:], len(data)), first[np.searchsorted(first, start, side="right")] - (window - 1)) - start
+    some = n > 0
+    return Cut(data, first, None, None, window, start[some], n[some], key[some], np.ones(int(some.sum()), dtype=np.int64))
 
 
 def cut_words(texts: list[bytes], window: int, gram: int = 4) -> Cut:
@@ -310,7 +322,7 @@ def earlier_windows(cut: Cut, s: Strings, answers: dict[int, tuple[bytes, bytes]
         lead &= s.place_at == s.at[s.string]
     np.add.at(out, s.unit[~lead], 1)
     np.add.at(out, s.unit[~lead] + s.n[~lead], -1)
-    mask = np.cumsum(out)[:size] > 0
+    mask = np.cumsum(out, dtype=np.int32, out=out)[:size] > 0
     total = np.concatenate(([0], np.cumsum(bits)))
     o, k = offset[s.string[lead]], s.n[lead]
     some = total[o + k] > total[o]
@@ -321,9 +333,10 @@ def earlier_windows(cut: Cut, s: Strings, answers: dict[int, tuple[bytes, bytes]
 
 def covered(windows: np.ndarray, width: int) -> np.ndarray:
     """Units inside a marked window. Marked windows never reach beyond their document."""
-    c = np.concatenate(([0], np.cumsum(windows)))
-    hi = np.arange(1, len(windows) + 1)
-    return c[hi] > c[np.maximum(hi - width, 0)]
+    c = np.cumsum(windows, dtype=np.int32)
+    out = c > 0
+    out[width:] = c[width:] > c[:-width]
+    return out
 
 
 #: finish(ids, texts, cut, covered units) -> the rows of a block.
