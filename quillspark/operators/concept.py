@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Where an identifier came from.
+FROM_TAGGER, FROM_DICTIONARY, UNLINKED = "phase1_short_linker", "phase3b_contextfree_linker", "unlinked"
+# End of fixed values.
+
 
 def explode_documents(docs: DataFrame) -> DataFrame:
     """Nested documents to annotation rows: the first identifier or null, ids as they are."""
@@ -81,7 +85,7 @@ def inject_ids(annotations: DataFrame, dictionary: DataFrame) -> DataFrame:
     for each (surface, entity_type); the optimizer picks the join, as the dictionary grows with the corpus."""
     d = dictionary.select("surface", "entity_type", F.col("identifier").alias("_found"))
     out = annotations.join(d, ["surface", "entity_type"], "left")
-    source = F.when(F.col("identifier").isNotNull(), "phase1_short_linker").when(F.col("_found").isNotNull(), "phase3b_contextfree_linker").otherwise("unlinked")
+    source = F.when(F.col("identifier").isNotNull(), FROM_TAGGER).when(F.col("_found").isNotNull(), FROM_DICTIONARY).otherwise(UNLINKED)
     return out.withColumn("identifier_source", source).withColumn("identifier", F.coalesce("identifier", "_found")).select(*annotations.columns, "identifier_source")
 
 

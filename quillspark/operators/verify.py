@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Names of the oracles in the verified table, and of the service that settles pending rows.
+BY_LABEL, BY_SUBJECT, BY_SERVICE = "togoid_label", "rdfportal_native", "ncbi_eutils"
+# End of fixed values.
+
 
 class Lookup(Protocol):
     """Answers for a batch of ids of one database: id -> confirmed, absent or error."""
@@ -81,11 +85,11 @@ def combine_graphs(candidates: DataFrame, label_hits: DataFrame, native_hits: Da
     a = label_hits.select("dataset", "id").distinct().withColumn("_a", F.lit(True))
     b = native_hits.select("dataset", "id").distinct().withColumn("_b", F.lit(True))
     out = candidates.join(a, ["dataset", "id"], "left").join(b, ["dataset", "id"], "left")
-    oracle = F.when(F.col("_a"), "togoid_label").when(F.col("_b"), "rdfportal_native").otherwise("-")
+    oracle = F.when(F.col("_a"), BY_LABEL).when(F.col("_b"), BY_SUBJECT).otherwise("-")
     return out.select("dataset", "id", F.when(F.col("_a") | F.col("_b"), "confirmed").otherwise("pending").alias("status"), oracle.alias("oracle"))
 
 
-def merge_answers(verified: DataFrame, answers: DataFrame, routed: DataFrame, oracle: str = "ncbi_eutils") -> DataFrame:
+def merge_answers(verified: DataFrame, answers: DataFrame, routed: DataFrame, oracle: str = BY_SERVICE) -> DataFrame:
     """verified with pending rows of routed datasets settled by answers (dataset, id, answer); errors stay pending."""
     a = answers.filter("answer in ('confirmed', 'absent')").select("dataset", "id", "answer")
     r = routed.select("dataset").distinct().withColumn("_routed", F.lit(True))

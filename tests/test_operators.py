@@ -272,3 +272,40 @@ def test_endpoints():
 
 def test_reports(spark):
     assert evaluate.markdown(spark.createDataFrame([("a|b", 1)], "x string, n int")) == "| x | n |\n|---|---|\n| a\\|b | 1 |"
+
+
+def test_nested_documents(spark):
+    ann = "array<struct<id:string,text:string,offset:bigint,length:int,entity_type:string,identifiers:array<string>,score:double,source:string>>"
+    docs = spark.createDataFrame(
+        [("PMC1", "1", None, {"year": "2001"}, [(0, "TP53 é", {"section_type": "title"}, [("T1", "TP53", 0, 4, "gene", ["a", "b"], 0.5, "x"), ("T2", "é", 5, 1, "gene", [], None, "x")]), (7, "body text", {"section_type": "methods"}, [])]), ("PMC2", None, None, {}, [])],
+        f"id string, pmid string, doi string, infon map<string,string>, passages array<struct<offset:bigint,text:string,infon:map<string,string>,annotations:{ann}>>",
+    )
+    got = concept.explode_documents(docs).collect()
+    assert [(r.ann_id, r.identifier, r.passage_type) for r in got] == [("T1", "a", "title"), ("T2", None, "title")]
+    rows = {r.doc_id: r for r in concept.document_rows(docs).collect()}
+    assert (rows["PMC1"].total_chars, rows["PMC1"].n_passages, rows["PMC1"].n_annotations, rows["PMC1"].has_body) == (15, 2, 2, True)
+    assert (rows["PMC2"].total_chars, rows["PMC2"].n_annotations, rows["PMC2"].has_body) == (0, 0, False)
+    assert articles.to_bioc(docs).count() == 2
+
+
+def test_scope_and_paths(spark):
+    e = spark.createDataFrame([("d", "geo_series", "a", "deposited_research_record"), ("d", "go", "b", "out_of_scope"), ("d", "pfam", "c", "derived_curated")], "doc_id string, dataset string, id string, class string")
+    assert [r.id for r in windows.in_scope(e, classes=["derived_curated"]).collect()] == ["c"]
+    assert [r.id for r in windows.in_scope(e, datasets=["geo"]).collect()] == ["a"]
+    m = spark.createDataFrame([("d", "pfam", "x", None, "c"), ("d", "pfam", "x", "y", None), ("d", "go", "b", "b", "b")], "doc_id string, db string, surface string, curie string, identifier string")
+    assert [(r.dataset, r.id) for r in windows.member_mentions(m, e.filter("dataset = 'pfam'")).collect()] == [("pfam", "c")]
+    p = spark.createDataFrame([("PMC1234567",), ("PMC12",), ("x",)], "d string").select(windows.article_path(F.col("d"))).collect()
+    assert [r[0] for r in p] == ["PMC001xxxxxx/PMC1234567.xml", "PMC000xxxxxx/PMC12.xml", None]
+
+
+def test_catalog_sides(spark):
+    n = spark.createDataFrame([("a", "x"), ("b", None)], "dataset string, other string")
+    got = {r.dataset: tuple(r.c) for r in n.select("dataset", compare.dataset_class(F.col("dataset"), {"a": "data"}, {"b": "ontology"}).alias("c")).collect()}
+    assert got == {"a": ("data", False), "b": ("ontology", True)}
+    pairs = spark.createDataFrame([("1", "d1", 1), ("1", "d2", 2)], "pmid string, doi string, position int")
+    assert [tuple(r) for r in compare.crosswalk(spark.createDataFrame([("1",), ("2",)], "pmid string"), pairs).collect()] == [("1", "d2")]
+    raw = spark.createDataFrame([("d", "x", "X", 1), ("d", "x", "x!", 2)], "doc_id string, norm string, surface string, position int")
+    assert compare.raw_surfaces(spark.createDataFrame([("d", "x"), ("d", "z")], "doc_id string, norm string"), raw).filter("norm = 'x'").first().surface == "x!"
+    f = spark.createDataFrame([("s3://b/uniprot.part1.csv.gz",), ("s3://b/uniprot_2.csv",), ("s3://b/pdb.csv",)], "path string")
+    assert sorted(r.db for r in tables.source_databases(f).collect()) == ["pdb", "uniprot"]
+    assert tables.source_databases(spark.createDataFrame([("a",), ("a",)], "DB string"), "db").count() == 1
