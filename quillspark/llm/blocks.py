@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .base import corpus_size, eights, mix, spans, word_bounds, word_hashes
 
 BLOCK_BYTES = 8 << 20
+#: Blocks that a small corpus has too, so that its tasks are many enough to be even.
+LEAST_BLOCKS = 64
 FILTER_BYTES = 64 << 20
 #: Occurrences from which a gram hash is sent on by single windows.
 HOT = 30_000
@@ -348,7 +350,7 @@ def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, fi
     it starts earlier in the same document. Null texts are empty; a null id comes before all others; rows with the same
     id don't repeat one another by bytes, nor, at the same place, by words."""
     n, size = corpus_size(docs)
-    plan = Plan(max(1, -(-size // block_bytes)), max(1, -(-size // FILTER_BYTES)), max(1, -(-size // bin_bytes)), window, words, hot)
+    plan = Plan(max(1, -(-size // block_bytes), min(LEAST_BLOCKS, n // 64)), max(1, -(-size // FILTER_BYTES)), max(1, -(-size // bin_bytes)), window, words, hot)
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     asked = rows.groupBy("block").applyInArrow(ask(plan), _spark(ASK))
     told = asked.groupBy("bin").applyInArrow(tell(plan), _spark(TOLD))

@@ -17,6 +17,8 @@ from .components import components
 
 #: Members of a candidate group that one task compares; larger groups are dealt out in pairs of tiles of half as many.
 GROUP = 4096
+#: Shingles of a group that one task compares, likewise: long documents make smaller groups.
+GROUP_SHINGLES = 8_000_000
 HASHES = 200
 
 
@@ -207,7 +209,7 @@ def verify(like: Likeness):
     return run
 
 
-def classes(docs: DataFrame, like: Likeness, group: int = GROUP) -> DataFrame:
+def classes(docs: DataFrame, like: Likeness, group: int = GROUP, shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     Documents with equal shingle sets are one class, known by its smallest id: only that one is banded and compared.
@@ -216,14 +218,17 @@ def classes(docs: DataFrame, like: Likeness, group: int = GROUP) -> DataFrame:
     linked with nothing; rows with the same id count as one document; a null id is kept and linked with nothing.
     """
     known = written(sketches(docs, like), "sketches")
-    reps = known.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    # written, so that what joins it meets a plain exchange, which is split where one class has very many documents
+    reps = written(known.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "classes")
     bands = reps.select("rep", F.explode("bands").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
     near = components(bands.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")))
-    sizes = near.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n"))
-    members = near.unionByName(sizes.select(F.col("component").alias("node"), "component")).join(sizes, "component")
-    half = group // 2
-    members = members.withColumn("tiles", F.when(F.col("n") <= group, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    members = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()).join(reps.select(F.col("rep").alias("node"), "size"), "node")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    members = members.join(sizes, "component")
+    whole = (F.col("n") <= group) & (F.col("total") <= shingles)
+    tiles = F.greatest(F.ceil(F.col("n") / (group // 2)), F.ceil(F.col("total") / (shingles // 2)))
+    members = members.withColumn("tiles", F.when(whole, F.lit(1)).otherwise(F.least(tiles, F.col("n"))).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", "node", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").cast("binary").alias("text"))
     # texts always meet their members by a shuffle: at any size but a tiny one the members are too many to broadcast

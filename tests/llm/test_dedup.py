@@ -113,8 +113,8 @@ def test_near_duplicates_against_brute_force(rows):
     data = near_corpus()
     for words, num in ((3, 85), (5, 80)):
         want = brute.near_dedup(data, words, num)
-        for group in (4096, 16):  # whole groups, and groups dealt out in tiles
-            got = near_dedup.classes(rows(data), near_dedup.Likeness(words=words, num=num), group)
+        for group, size in ((4096, 10**6), (16, 10**6), (4096, 900)):  # whole groups, and groups dealt out in tiles
+            got = near_dedup.classes(rows(data), near_dedup.Likeness(words=words, num=num), group, size)
             assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == want
     kept = near_dedup.keep_first(rows(data))
     assert kept.columns == rows(data).columns
