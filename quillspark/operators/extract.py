@@ -61,7 +61,7 @@ def hand_patterns(rows=rules.HAND_PATTERNS) -> list[Pattern]:
 
 #: What a regex may match white space with.
 _MAY_SPAN = re.compile(r"(?<!\\)(?:\\\\)*(?: |\\[sWD]|\[\^|\.(?![^\[]*\]))")
-_WORD = re.compile(r"\S*[A-Z0-9_:]\S*")
+_WORD = re.compile(r"\S*[A-Z\d_:]\S*")
 
 
 class Extractor:

@@ -166,13 +166,12 @@ def section_class(spark, d):
 @query(f"""WITH t AS ({I.ACCESSION_TEXT}), e AS (SELECT doc_id, text, unnest([{{'db': 'geo_series', 's': 'GSE' || (doc_id + 1000)}}, {{'db': 'bioproject', 's': 'PRJNA' || doc_id}}, {{'db': 'chembl_compound', 's': 'CHEMBL' || doc_id}}, {{'db': 'pfam', 's': CASE WHEN doc_id < 100000 THEN 'PF' || lpad(CAST(doc_id AS VARCHAR), 5, '0') END}}, {{'db': 'refseq_rna', 's': CASE WHEN doc_id < 1000000 THEN 'NM_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.1' END}}]) AS x FROM t)
 SELECT doc_id, x.db AS db, x.s AS surface, CAST(strpos(text, x.s) - 1 AS BIGINT) AS "offset", CAST(length(x.s) AS BIGINT) AS length, x.db || ':' || x.s AS identifier, CASE WHEN x.db = 'bioproject' THEN 'http://identifiers.org/bioproject/' || x.s ELSE x.db || ':' || x.s END AS curie FROM e WHERE x.s IS NOT NULL""")
 def regex_extract(spark, d):
-    return extract.extract(rows(spark, d, I.ACCESSION_TEXT)).select("doc_id", "db", "surface", "offset", "length", "identifier", "curie")
+    return extract.extract(rows(spark, d, I.DOCUMENT_TEXT)).select("doc_id", "db", "surface", "offset", "length", "identifier", "curie")
 
 
 @query("SELECT doc_id, 'pdb' AS db, '1abc' AS surface, 'pdb:1ABC' AS identifier, 'context' AS confidence FROM documents UNION ALL SELECT doc_id, 'ec', 'EC 1.2.3.4', 'eccode:1.2.3.4', 'high' FROM documents UNION ALL SELECT doc_id, 'go', 'GO:0000001', 'GO:0000001', 'high' FROM documents")
 def hand_extract(spark, d):
-    t = rows(spark, d, "SELECT doc_id, concat('PDB entry 1abc, EC 1.2.3.4 and GO:0000001; ', repeat('x', 90), ' 2xyz') AS text FROM documents")
-    return extract.extract(t, extract.hand_patterns(), longest_first=False).select("doc_id", "db", "surface", "identifier", "confidence")
+    return extract.extract(rows(spark, d, I.HAND_TEXT), extract.hand_patterns(), longest_first=False).select("doc_id", "db", "surface", "identifier", "confidence")
 
 
 @query()
@@ -552,7 +551,7 @@ def extraction_in_sql(spark, d):
     from ..sources.patterns import register_extractor
 
     register_extractor(spark)
-    rows(spark, d, I.ACCESSION_TEXT).createOrReplaceTempView("accession_texts")
+    rows(spark, d, I.DOCUMENT_TEXT).createOrReplaceTempView("accession_texts")
     return spark.sql("SELECT doc_id, surface FROM accession_texts, LATERAL extract_identifiers(text) WHERE db = 'geo_series'")
 
 
@@ -631,14 +630,14 @@ def incremental_run(spark, d):
     return spark.read.parquet(f"{out}/rows")
 
 
-FLAGSHIP_TEXT = I.ACCESSION_TEXT
+FLAGSHIP_TEXT = I.DOCUMENT_TEXT
 
 
 def flagship(spark, d):
     """Texts with accessions to usage counts: extract, gate, candidates, existence by a table, confirmed mentions, entries."""
-    hits = extract.extract(rows(spark, d, I.ACCESSION_TEXT))
+    hits = extract.extract(rows(spark, d, I.DOCUMENT_TEXT))
     gated = hits.withColumn("g", X.gate(F.col("db"), F.col("surface"))).filter("g.gate_pass").drop("g")
-    known = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).cast("int") % 2 == 0)
+    known = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).try_cast("int") % 2 == 0)
     verified = verify.combine_graphs(usage.candidates(gated).withColumnsRenamed({"db": "dataset", "surface": "id"}), known.withColumnsRenamed({"db": "dataset", "surface": "id"}), known.limit(0).withColumnsRenamed({"db": "dataset", "surface": "id"}))
     return usage.by_entry(usage.confirmed_mentions(usage.mentions(gated), verified, rules.db_classes(spark)))
 
