@@ -10,6 +10,8 @@ from . import rules
 # Words whose start ends a glued surface; keywords of protein names; tokens that look like real identifiers.
 GLUED_TAILS = "The This These Those Many Most And But However Although While Here There When Where Our We In Of To Is Are Was Were".split()
 PROTEIN_WORDS = "receptor channel factor kinase transferase oxidase reductase synthase synthetase protease phosphatase transporter antigen ligand enzyme subunit complex hormone peptide antibody interleukin cytokine dehydrogenase polymerase hydrolase isomerase ligase".split()
+# White space of all scripts, for use inside brackets.
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 # End of fixed values.
 
 def _when_chain(pairs, otherwise):
@@ -55,12 +57,15 @@ def clean_surface(surface: Column) -> Column:
     """struct(surface, left, right, rule): a surface without what a tokenizer glued to it, and the characters cut at each
     end. A doubled word comes first and alone; then one split of glued words; then punctuation at the end and the start."""
     n = F.length(surface)
-    word = F.regexp_extract(surface, r"(?i)^(\w+)[.\s]+\1$", 1)
-    digit = F.regexp_instr(surface, F.lit(r"\d[A-Z][a-z]"))
+    # \w and case of any script, as Python has them: a letter alone decides its lower case
+    doubled = rf"^([\p{{L}}\p{{N}}_]+)[.{SPACE}]+([\p{{L}}\p{{N}}_]+)\n?\z"
+    word, second = (F.regexp_extract(surface, doubled, k) for k in (1, 2))
+    word = F.when(F.lower(F.translate(word, "Σİ", "σi")) == F.lower(F.translate(second, "Σİ", "σi")), word).otherwise("")
+    digit = F.length(F.regexp_extract(surface, r"(?s)^(.*?\p{Nd})(?=[A-Z][a-z])", 1))
     head = F.regexp_extract(surface, r"(?s)^(.*?[a-z]{3})(?=[A-Z][a-z]{2})", 1)
     split = F.when(digit > 0, F.substring(surface, F.lit(1), digit)).when((head != "") & F.substr(surface, F.length(head) + 1).rlike("^(?:" + "|".join(GLUED_TAILS) + ")"), head).otherwise(surface)
     rule = F.when(digit > 0, "num_upper_split").when(F.length(split) < n, "lower_upper_split")
-    tail = F.regexp_replace(split, r"[.,;:]+$", "")
+    tail = F.regexp_replace(split, r"[.,;:]+\z", "")
     both = F.regexp_replace(tail, r"^[.,;:\-]+", "")
     rule = F.coalesce(rule, F.when(F.length(tail) < F.length(split), "trailing_punct"), F.when(F.length(both) < F.length(tail), "leading_punct"), F.lit("none"))
     left = F.length(tail) - F.length(both)
@@ -71,7 +76,7 @@ def clean_surface(surface: Column) -> Column:
     same = result(surface, F.lit(0), F.lit(0), F.lit("none"))
     return (
         F.when(word != "", F.when(F.length(word) >= 2, result(word, F.lit(0), n - F.length(word), F.lit("dup_word"))).otherwise(same))
-        .when((F.length(F.trim(both)) <= 1) | (both == surface), same)
+        .when((F.length(F.regexp_replace(both, rf"^[{SPACE}]+|[{SPACE}]+\z", "")) <= 1) | (both == surface), same)
         .otherwise(result(both, left, n - F.length(tail), rule))
     )
 

@@ -92,6 +92,8 @@ def dictionary_merge(spark, d):
 
 
 TOKENS = "SELECT DISTINCT surface FROM (SELECT {each} AS surface FROM documents WHERE lang = 'en' UNION ALL SELECT * FROM (VALUES ('cox.cox'), ('Cox cox'), ('a.a'), ('abc1Then'), ('geneThese'), ('fooBarbaz'), ('.x,'), ('--gene.;'), ('p53'), ('.a'))) AS t WHERE surface <> ''"
+#: Of documents in all languages and scripts. The SQL keeps to TOKENS: English documents, and what is printable ASCII in them.
+ALL_TOKENS = TOKENS.replace(" WHERE lang = 'en'", "")
 
 
 @query(f"""WITH t AS ({TOKENS.format(each="unnest(string_split(regexp_replace(text, '[^ -~]+', ' ', 'g'), ' '))")}),
@@ -101,7 +103,7 @@ c AS (SELECT *, regexp_replace(split, '[.,;:]+$', '') AS tail FROM b), d AS (SEL
 e AS (SELECT surface, CASE WHEN w1 <> '' AND lower(w1) = lower(w2) THEN CASE WHEN length(w1) >= 2 THEN 'dup_word' ELSE 'none' END WHEN length(trim(both_ends)) <= 1 OR both_ends = surface THEN 'none' WHEN digit > 0 THEN 'num_upper_split' WHEN length(split) < length(surface) THEN 'lower_upper_split' WHEN length(tail) < length(split) THEN 'trailing_punct' ELSE 'leading_punct' END AS rule, w1, tail, both_ends FROM d)
 SELECT surface, CASE rule WHEN 'none' THEN surface WHEN 'dup_word' THEN w1 ELSE both_ends END AS clean, CAST(CASE WHEN rule IN ('none', 'dup_word') THEN 0 ELSE length(tail) - length(both_ends) END AS BIGINT) AS cut_left, CAST(CASE rule WHEN 'none' THEN 0 WHEN 'dup_word' THEN length(surface) - length(w1) ELSE length(surface) - length(tail) END AS BIGINT) AS cut_right, rule FROM e""")
 def clean_surface(spark, d):
-    t = rows(spark, d, TOKENS.format(each="explode(split(regexp_replace(text, '[^ -~]+', ' '), ' '))"))
+    t = rows(spark, d, ALL_TOKENS.format(each=f"explode(split(text, r'[{X.SPACE}]+'))"))
     return t.withColumn("c", X.clean_surface(F.col("surface"))).select("surface", F.col("c.surface").alias("clean"), F.col("c.left").alias("cut_left"), F.col("c.right").alias("cut_right"), "c.rule")
 
 
