@@ -88,7 +88,8 @@ def id_kinds(spark, d):
 @query(f"SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL}) WHERE entity_type = 'en' UNION ALL SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL}) WHERE entity_type = 'fr'")
 def dictionary_merge(spark, d):
     full = rows(spark, d, DICT)
-    return concept.merge_dictionaries([full.filter("entity_type = 'en'"), full.filter("entity_type = 'fr'")])
+    types = [r[0] for r in full.select("entity_type").distinct().collect()]
+    return concept.merge_dictionaries([full.filter(F.col("entity_type").eqNullSafe(F.lit(t))) for t in types] or [full])
 
 
 TOKENS = "SELECT DISTINCT surface FROM (SELECT {each} AS surface FROM documents WHERE lang = 'en' UNION ALL SELECT * FROM (VALUES ('cox.cox'), ('Cox cox'), ('a.a'), ('abc1Then'), ('geneThese'), ('fooBarbaz'), ('.x,'), ('--gene.;'), ('p53'), ('.a'))) AS t WHERE surface <> ''"

@@ -44,3 +44,11 @@ def test_clean_surface_takes_all_tokens(spark, folder):
     tokens = {w for _, t, _ in docs for w in (t or "").split()} | set(fixed)
     got = entry.queries()["clean_surface"](spark, root).collect()
     assert sorted((r.surface, r.clean, r.cut_left, r.cut_right, r.rule) for r in got) == sorted(map(clean, tokens))
+
+
+def test_dictionary_merge_takes_all_types(spark, folder):
+    root, docs = folder
+    pairs = {(w, lang) for _, t, lang in docs for w in re.findall("[a-z]{3,}", (t or "").lower())}
+    got = entry.queries()["dictionary_merge"](spark, root).collect()
+    want = [(w, lang, f"D:{w}" if len(w) % 2 == 0 else None, "ok" if len(w) % 2 == 0 else "no_id") for w, lang in pairs]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and {None, "de", "es"} < {x[1] for x in want}
