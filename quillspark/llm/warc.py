@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -89,14 +90,30 @@ _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records that pass their checks, and the gaps between them. After a failed check the next gzip member or version
-    line is looked for, and taken where a whole record passes from there; the bytes up to it are the gap."""
+    line is looked for, and taken where a whole record passes from there; the bytes up to it are the gap.
+
+    The content of a gzip member is searched in the same way, also what a broken member gives before its damage. A member
+    that lost some records gives those that pass, then one gap over its bytes, whose reason has the places in the content.
+    """
     at, view = 0, memoryview(data)
     gap: int | None = None
     reason = ""
+    rescued: list[Record] = []  # of a broken member that was read up to `reach`: its bytes are searched for more
+    reach = 0
     while at < len(data):
         try:
+            lost = None
             if data[at : at + 3] == MAGIC:
-                found, end = _member(view, at)
+                found, end, lost, broken = _member(view, at)
+                if broken:
+                    if found:
+                        if gap is not None:
+                            yield Gap(gap, at, reason)
+                        yield from found
+                        gap, reason, rescued, reach = at, lost, found, end
+                    raise ValueError(lost)
+                if lost and not found:
+                    raise ValueError(lost)
             else:
                 one, end = parse(data, at)
                 found = [one]
@@ -109,29 +126,68 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if gap is not None:
             yield Gap(gap, at, reason)
             gap = None
-        yield from found
+        for one in found:
+            if at < reach and one in rescued:  # it stands in the open, in a stored block of that member
+                rescued.remove(one)
+            else:
+                yield one
+        if lost:
+            yield Gap(at, end, lost)
         at = end
     if gap is not None:
         yield Gap(gap, len(data), reason)
 
 
-def _member(view: memoryview, at: int) -> tuple[list[Record], int]:
-    """The gzip member at `at`, read in steps so that a member costs its own size and not that of the whole archive."""
-    z, inside, k = zlib.decompressobj(31), [], at
+def _member(view: memoryview, at: int) -> tuple[list[Record], int, str | None, bool]:
+    """The records of the gzip member at `at`, where it ends, what was lost in it, and whether the member itself is broken;
+    then the end is how far it was read. It is read in steps, so that it costs its own size and not that of the whole archive."""
+    z, inside, k, broken = zlib.decompressobj(31), [], at, None
     try:
         while not z.eof and k < len(view):
             step = view[k : k + 65536]
             inside.append(z.decompress(step))
             k += len(step)
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not z.eof:
-        raise ValueError("gzip: cut short")
-    whole, found, j = b"".join(inside), [], 0
-    while j < len(whole):
-        one, j = parse(whole, j)
+        broken, z = f"gzip: {e}", zlib.decompressobj(31)
+        for j in range(at, k, 65536):
+            z.decompress(view[j : j + 65536])
+        with contextlib.suppress(zlib.error):  # what the step has before its damage
+            while k < len(view):
+                inside.append(z.decompress(view[k : k + 1]))
+                k += 1
+        found, gaps = _inside(b"".join(inside), sure=True)
+    else:
+        broken = None if z.eof else "gzip: cut short"
+        found, gaps = _inside(b"".join(inside))
+    if broken and len(found) == 1 and not gaps:  # one record alone in its member stands or falls with it
+        found = []
+    lost = [broken] if broken else []
+    lost += [f"{why} (bytes {a} to {b} of the member's content)" for a, b, why in gaps]
+    return found, k - len(z.unused_data), "; ".join(lost) or None, broken is not None
+
+
+def _inside(whole: bytes, sure: bool = False) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The records of a member's content that pass, and the gaps. sure: only those with a digest, where bytes may be wrong."""
+    found, gaps, at, gap, reason = [], [], 0, None, ""
+    while at < len(whole):
+        try:
+            one, end = parse(whole, at)
+            if sure and not one.fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError("no digest to check in a damaged member")
+        except ValueError as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            later = VERSION.search(whole, at + 1)
+            at = later.start() if later else len(whole)
+            continue
+        if gap is not None:
+            gaps.append((gap, at, reason))
+            gap = None
         found.append(one)
-    return found, k - len(z.unused_data)
+        at = end
+    if gap is not None:
+        gaps.append((gap, len(whole), reason))
+    return found, gaps
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
