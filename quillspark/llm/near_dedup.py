@@ -99,6 +99,11 @@ class Likeness:
         return key.view(np.int64)
 
 
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    """What texts with equal shingle sets share; none without words."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
     """(doc_id, n_shingles, digest, bands) of each row; digest and bands are null where the text has no words."""
 
@@ -114,7 +119,7 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
                     k += 1
                 for s in like.sets(part):
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digest.append(digest_of(s))
                     bands.append(like.band_keys(like.signature(s)) if len(s) else None)
             yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
@@ -197,13 +202,16 @@ def links(sets: list[np.ndarray], like: Likeness, side: np.ndarray | None = None
 
 def verify(like: Likeness):
     def run(t: pa.Table) -> pa.Table:
-        seen: dict[int, tuple] = {}
-        for doc, text, tile in zip(*(t.column(c).to_pylist() for c in ("node", "text", "tile")), strict=True):
-            seen.setdefault(doc, (text or b"", tile))
-        ids = sorted(seen)
+        seen: dict[tuple, tuple] = {}
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("node", "digest", "text", "tile")), strict=True))
+        for (doc, digest, text, tile), s in zip(rows, like.sets([r[2] or b"" for r in rows]), strict=True):
+            if digest_of(s) == digest:  # an id may have other texts, which aren't of this class
+                seen.setdefault((doc, digest), (s, tile))
+        order = sorted(seen)
+        ids = [k[0] for k in order]
         first, second = t.column("first")[0].as_py(), t.column("second")[0].as_py()
-        side = np.array([seen[k][1] != first for k in ids]) if first != second else None
-        root, _, _ = links(like.sets([seen[k][0] for k in ids]), like, side)
+        side = np.array([seen[k][1] != first for k in order]) if first != second else None
+        root, _, _ = links([seen[k][0] for k in order], like, side)
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array([ids[k] for k in root.tolist()], pa.int64())})
 
     return run
@@ -215,7 +223,8 @@ def classes(docs: DataFrame, like: Likeness, group: int = GROUP, shingles: int =
     Documents with equal shingle sets are one class, known by its smallest id: only that one is banded and compared.
     Members of a band are tied to the smallest of them, and what hangs together is a candidate group, whose members are
     sent to one task (large groups: to one for each pair of tiles), so pairs are never rows. Texts without words are
-    linked with nothing; rows with the same id count as one document; a null id is kept and linked with nothing.
+    linked with nothing; rows with the same id count as one document, which is linked with what any of its texts is linked
+    with; a null id is kept and linked with nothing.
     """
     known = written(sketches(docs, like), "sketches")
     # written, so that what joins it meets a plain exchange, which is split where one class has very many documents
@@ -223,18 +232,22 @@ def classes(docs: DataFrame, like: Likeness, group: int = GROUP, shingles: int =
     bands = reps.select("rep", F.explode("bands").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
     near = components(bands.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")))
-    members = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()).join(reps.select(F.col("rep").alias("node"), "size"), "node")
+    members = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()).join(reps.select(F.col("rep").alias("node"), "digest", "size"), "node")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     members = members.join(sizes, "component")
     whole = (F.col("n") <= group) & (F.col("total") <= shingles)
     tiles = F.greatest(F.ceil(F.col("n") / (group // 2)), F.ceil(F.col("total") / (shingles // 2)))
     members = members.withColumn("tiles", F.when(whole, F.lit(1)).otherwise(F.least(tiles, F.col("n"))).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", "node", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", "node", "digest", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").cast("binary").alias("text"))
     # texts always meet their members by a shuffle: at any size but a tiny one the members are too many to broadcast
     found = members.join(texts.hint("merge"), "node").groupBy("component", "first", "second").applyInArrow(verify(like), "u long, v long")
-    linked = components(found)
-    class_of = known.join(reps.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left").select("doc_id", "n_shingles", "rep")
+    # ids with several texts, of which there are none in most tables: their classes are linked through the id
+    several = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.bool_or(F.col("digest").isNull()).alias("blank")).filter("low < high or (low is not null and blank)").select("doc_id")
+    classed = known.select("doc_id", "digest").join(written(several, "several"), "doc_id").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+    owners = written(classed.groupBy("doc_id").agg(F.min("rep").alias("owner"), F.collect_set("rep").alias("reps")), "owners")
+    linked = components(found.unionByName(owners.select(F.col("owner").alias("u"), F.explode("reps").alias("v"))))
+    class_of = known.join(reps.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left").join(owners.select("doc_id", "owner"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "owner").alias("rep"))
     out = class_of.join(linked, F.col("rep") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
