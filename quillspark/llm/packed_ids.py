@@ -10,12 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import corpus_size, table, written
 from .pattern_packing import CAPACITY, END
 from .tokens import cut, shared_encoder
 
 #: Ids that are packed together, about: 16 MB of them in memory.
 GROUP_IDS = 4_000_000
+#: UTF-8 bytes of text for each task at least, on average: those of a group, at four bytes an id.
+TASK_BYTES = 4 * GROUP_IDS
 SCHEMA = "shard string, n_rows int, seq_len int, ids binary, n_segments array<int>, cu_seqlens binary, position_resets binary, doc_ids array<long>, pieces array<int>, starts array<long>"
 
 
@@ -69,7 +71,8 @@ def pack_ids(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     and for all rows one after the other the number of segments, the cumulative segment lengths (from 0 in each row,
     int32), the places where positions go back to 0 (int32), and document, piece and start of each segment.
 
-    Each task packs what it reads, four million ids at a time: no shuffle. A document of more than `capacity` ids (its
+    Each task packs what it reads, four million ids at a time: no shuffle. Small partitions are read together first, so that
+    there is at most one task for each 16 MB of text, rounded up, and as many part-filled tails. A document of more than `capacity` ids (its
     end id 2 included) is cut into pieces without loss. Null texts are empty; empty tables give no shards.
     """
 
@@ -109,7 +112,8 @@ def pack_ids(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
         if todo:
             yield shard(f"{task:06d}-{n:06d}", todo)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.coalesce(max(1, -(-corpus_size(docs)[1] // TASK_BYTES))).mapInArrow(run, SCHEMA)
 
 
 def unpack_ids(shards: DataFrame) -> DataFrame:
