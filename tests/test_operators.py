@@ -164,13 +164,33 @@ def test_windows(spark):
     spans = windows.sentence_spans(text)
     assert all(text[a:b].strip() == text[a:b] for a, b in spans) and len(spans) == 6
     assert windows.sentence_spans("In Fig. 2 we see. Next") == [(0, 17), (18, 22)]
-    w, listed, flat = windows.window(text, text.index("GSE1"), 4, spans)
-    assert w.startswith("Data were deposited. […] ") and "«GSE1»" in w and not listed and not flat
     soup = "A1" * 60
-    assert windows.window(soup, 50, 4, [(0, 120)])[1:] == (True, True)
     long = "x " * 400 + "GSE1 " + "y " * 100
-    w, listed, flat = windows.window(long, 800, 4, [(0, len(long))])
-    assert listed and not flat and " […] " in w
+    lead = "Reads were deposited. "
+    many = "Some filler words stand here. " * 40 + "See GSE1 now. " + "More of the same follows. " * 40
+    cases = {
+        "lead": (text, text.index("GSE1"), "Data were deposited. […] Filler words here. See «GSE1» now. The end.", False, False),
+        "all": ("One GSE1 here. Two.", 4, "One «GSE1» here. Two.", False, False),
+        "flat": (soup, 70, soup[10:70] + "«" + soup[70:74] + "»" + soup[74:], True, True),
+        "long": (long, 800, "x " * 110 + "[…] " + long[560:800] + "«GSE1»" + long[804:], True, False),
+        "long at its head": (long, 100, long[:100] + "«" + long[100:104] + "»" + long[104:344], True, False),
+        "lead of a long one": (lead + "X" + long, 822 + 1, lead + "[…] " + ("X" + long)[:220].strip() + " […] " + (lead + "X" + long)[583:823] + "«GSE1»" + (lead + "X" + long)[827:], True, False),
+        "between sentences": ("One two.   Three GSE1.", 9, "One two. «  Th»ree GSE1.", False, False),
+        "null": (None, 3, None, None, None),
+        "nowhere": ("One GSE1 here.", None, None, None, None),
+        "beyond": ("One GSE1 here.", 400, "One GSE1 here.", False, False),
+        "empty": ("", 0, "", False, False),
+    }
+    p = spark.createDataFrame([(k, t, at, 4) for k, (t, at, *_) in cases.items()], "k string, text string, within int, length int")
+    got = {r.k: (r.window_text, r.list_item, r.flat_table) for r in windows.build_windows(p).collect()}
+    assert got == {k: tuple(v[2:]) for k, v in cases.items()}
+    at = many.index("GSE1")
+    (r,) = windows.build_windows(spark.createDataFrame([(many, at, 4)], "text string, within int, length int"), reach=30).collect()
+    assert r.window_text == many[at - 348 : at] + "«GSE1»" + many[at + 4 : at + 352] and not r.list_item and r.matched
+    (r,) = windows.build_windows(p.filter("k = 'lead'"), lead_in=False).collect()
+    assert r.window_text == "Filler words here. See «GSE1» now. The end." and not r.gen_cue
+    w = spark.createDataFrame([("a", 1, "plain but long", True), ("a", 2, "«x»", True), ("a", 3, "«xy»", True), ("a", 4, "«yx»", True), ("b", 1, None, False), ("c", 1, "one", True), ("c", 0, "longer", True)], "k string, position int, window_text string, matched boolean")
+    assert sorted((r.k, r.position) for r in windows.longest_marked(w, ("k",)).collect()) == [("a", 3), ("c", 0)]
     p = spark.createDataFrame([(0, 10, 4, "GSE1"), (0, 0, 4, "GSE1"), (1, 0, 4, "none"), (9, 0, 4, "none"), (0, 0, 4, "later")], "i int, o long, n int, s string")
     ps = F.array(F.struct(F.lit(7).cast("long").alias("offset"), F.lit("in GSE1 x").alias("text")), F.struct(F.lit(17).cast("long").alias("offset"), F.lit("is later").alias("text")))
     got = [tuple(r[0]) for r in p.select(windows.locate(ps, F.col("i"), F.col("o"), F.col("n"), F.col("s"))).collect()]
