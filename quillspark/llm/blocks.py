@@ -4,19 +4,25 @@ land in the same bin whatever surrounds them; bins are then matched exactly by t
 Rows between stages are a few large blobs for each (block of documents, bin), never a row for each window:
 
 1. each block asks the filter bins which of its gram hashes occur again anywhere (five bytes and a count for each);
-2. each block sends the distinct strings that carry a repeated hash, with the first document that has them, to match bins;
-3. a match bin answers, for each string of a block, whether its first place is in that block and which of its windows
-   there came earlier in the corpus; all other places of a string repeat it as a whole;
-4. each block marks its windows and builds its result.
-
-What a block sends for a string is the same whether it has it once or a thousand times. Blocks work out their strings again
-in step 4 instead of keeping them, and all three passes read one exchange of the documents. Nothing reaches the driver but
-the row and byte counts. A hash that very many blocks have (a common phrase in different surroundings) is sent on window by
-window, each window to a bin of its own hash, so no bin gathers all of its surroundings.
+2. each block sends the distinct strings that carry a repeated hash to match bins, each with its first place in the block
+   and, where it has more, its next one: these are its entries;
+3. a match bin answers, for each entry, which of its windows came earlier in the corpus, by the caller's method;
+4. each block marks the windows of every place by the answer for its entry, and builds its result.
+
+Nothing is marked but by an answer. A string's third and further places share the entry of the second, since what makes the
+second's windows repeated makes theirs, so what a block sends for a string is the same whether it has it twice or a thousand
+times. Blocks work out their strings again in step 4 instead of keeping them, and all three passes read one exchange of the
+documents. Nothing reaches the driver but the row and byte counts. A hash that very many places have (a common phrase in
+different surroundings) is sent on window by window, each window to a bin of its own hash, so no bin gathers all of its
+surroundings.
+
+Blocks and bins both grow with the square root of the corpus, so the rows between stages, at most one for each block and
+bin, grow in proportion to it: one for each BLOB bytes of text, whatever the size.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -28,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .base import corpus_size, eights, mix, spans, word_bounds, word_hashes
 
-BLOCK_BYTES = 8 << 20
-#: Blocks that a small corpus has too, so that its tasks are many enough to be even.
-LEAST_BLOCKS = 64
-FILTER_BYTES = 64 << 20
+#: Bytes of text for each pair of a block and a bin.
+BLOB = 2048
+#: Match bins to a filter bin, which gets six bytes for some eighteen of text.
+BINS_A_FILTER = 4
 #: Occurrences from which a gram hash is sent on by single windows.
 HOT = 30_000
 NO_ID = -(1 << 63)
@@ -133,6 +139,13 @@ class Plan:
     words: bool
     hot: int
 
+    @classmethod
+    def of(cls, size: int, window: int, words: bool, hot: int = HOT, block_bytes: int | None = None, bin_bytes: int | None = None) -> Plan:
+        """For a corpus of `size` bytes: as many blocks as bins, of the same number of bytes each, unless told otherwise."""
+        each = max(1, math.isqrt(size * BLOB))
+        blocks, bins = (max(1, -(-size // (n or each))) for n in (block_bytes, bin_bytes))
+        return cls(blocks, -(-bins // BINS_A_FILTER), bins, window, words, hot)
+
     def cut(self, texts: list[bytes]) -> Cut:
         return (cut_words if self.words else cut_bytes)(texts, self.window)
 
@@ -171,9 +184,9 @@ def _spark(schema: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{k} {names[t]}" for k, t in schema.items())
 
 
-ASK = {"block": pa.int32(), "bin": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+ASK = {"block": pa.int32(), "bin": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "many": pa.binary()}
 TOLD = {"block": pa.int32(), "bin": pa.int32(), "again": pa.binary(), "hot": pa.binary()}
-SENT = {"block": pa.int32(), "bin": pa.int32(), "size": pa.binary(), "data": pa.binary(), "doc": pa.binary(), "at": pa.binary(), "sub": pa.binary()}
+SENT = {"block": pa.int32(), "bin": pa.int32(), "size": pa.binary(), "data": pa.binary(), "doc": pa.binary(), "at": pa.binary(), "sub": pa.binary(), "later": pa.binary(), "later_doc": pa.binary(), "later_at": pa.binary()}
 
 
 def ask(plan: Plan) -> Callable:
@@ -181,8 +194,11 @@ def ask(plan: Plan) -> Callable:
         block = t.column("block")[0].as_py()
         keys, where, counts, _ = _asked(plan.cut(_texts(t)[2]), plan)
         low = np.ascontiguousarray((keys // np.uint64(plan.filters)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-        many = np.minimum(counts, 255).astype(np.uint8)
-        return _table(ASK, [(block, b, low[a:z].tobytes(), many[a:z].tobytes()) for b, a, z in _groups(where)])
+        short, rows = np.minimum(counts, 255).astype(np.uint8), []
+        for b, a, z in _groups(where):
+            big = np.flatnonzero(short[a:z] == 255)  # their counts don't fit into a byte
+            rows.append((block, b, low[a:z].tobytes(), short[a:z].tobytes(), np.stack([big, counts[a:z][big]]).astype("<i8").tobytes() if len(big) else None))
+        return _table(ASK, rows)
 
     return run
 
@@ -193,7 +209,13 @@ def tell(plan: Plan) -> Callable:
         wide = np.zeros((sum(map(len, parts)), 8), dtype=np.uint8)
         wide[:, :5] = np.concatenate(parts)
         _, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-        n = np.bincount(back, np.frombuffer(b"".join(t.column("counts").to_pylist()), dtype=np.uint8))[back]
+        count = np.frombuffer(b"".join(t.column("counts").to_pylist()), dtype=np.uint8).astype(np.float64)
+        start = np.cumsum([0, *map(len, parts)])
+        for k, many in enumerate(t.column("many").to_pylist()):
+            if many:
+                where, how_many = np.frombuffer(many, dtype="<i8").reshape(2, -1)
+                count[start[k] + where] = how_many
+        n = np.bincount(back, count)[back]
         rows, at = [], 0
         for block, b, part in zip(t.column("block").to_pylist(), t.column("bin").to_pylist(), parts, strict=True):
             mine = n[at : at + len(part)]
@@ -214,11 +236,13 @@ class Strings:
     sub: np.ndarray
     doc: np.ndarray  # id of the first document that has it in this block
     at: np.ndarray  # where words are counted, the first place in that document
+    later: np.ndarray  # the strings that the block has in another document too, or (words) at another place, in order
+    later_doc: np.ndarray  # and the first such document and place
+    later_at: np.ndarray
     unit: np.ndarray  # of each place: its first window
     n: np.ndarray
     string: np.ndarray
-    place_doc: np.ndarray
-    place_at: np.ndarray
+    is_later: np.ndarray
 
 
 def strings_of(cut: Cut, ids: np.ndarray, told: dict[int, tuple[bytes, bytes | None]], plan: Plan) -> Strings:
@@ -250,11 +274,16 @@ def strings_of(cut: Cut, ids: np.ndarray, told: dict[int, tuple[bytes, bytes | N
     string = new[string]
     d = np.searchsorted(cut.first, unit, side="right") - 1
     d = np.minimum(d, len(ids) - 1)
-    place_doc, place_at = ids[d], unit - cut.first[d]
+    # by bytes, all places in one document are alike
+    place_doc, place_at = ids[d], unit - cut.first[d] if plan.words else np.zeros(len(d), dtype=np.int64)
     by = np.lexsort((place_at, place_doc, string))
     lead = by[np.concatenate(([True], np.diff(string[by]) > 0))] if len(by) else by
+    doc, at = place_doc[lead], place_at[lead]
+    is_later = (place_doc != doc[string]) | (place_at != at[string])
+    after = by[is_later[by]]
+    later, pick = np.unique(string[after], return_index=True)
     sub = (key[sample] // np.uint64(plan.bins)).astype(np.uint32)
-    return Strings([distinct[i] for i in order], bins[order], sub[order], place_doc[lead], place_at[lead], unit, n, string, place_doc, place_at)
+    return Strings([distinct[i] for i in order], bins[order], sub[order], doc, at, later, place_doc[after[pick]], place_at[after[pick]], unit, n, string, is_later)
 
 
 def _told(t: pa.Table) -> dict[int, tuple[bytes, bytes | None]]:
@@ -268,67 +297,63 @@ def send(plan: Plan) -> Callable:
         block = docs.column("block")[0].as_py()
         _, ids, texts = _texts(docs)
         s = strings_of(plan.cut(texts), ids, _told(told), plan)
-        size = np.array([len(x) for x in s.texts], dtype="<i4")
-        return _table(SENT, [(block, b, size[a:z].tobytes(), b"".join(s.texts[a:z]), s.doc[a:z].tobytes(), s.at[a:z].tobytes(), s.sub[a:z].tobytes()) for b, a, z in _groups(s.where)])
+        size, rows = np.array([len(x) for x in s.texts], dtype="<i4"), []
+        for b, a, z in _groups(s.where):
+            i, j = np.searchsorted(s.later, (a, z))
+            rows.append((block, b, size[a:z].tobytes(), b"".join(s.texts[a:z]), s.doc[a:z].tobytes(), s.at[a:z].tobytes(), s.sub[a:z].tobytes(), (s.later[i:j] - a).astype("<u4").tobytes(), s.later_doc[i:j].tobytes(), s.later_at[i:j].tobytes()))
+        return _table(SENT, rows)
 
     return run
 
 
-#: matcher(strings, sub keys, first document, first place) -> for each string, which of its windows came earlier.
-Matcher = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+#: matcher(strings, sub keys, string of each entry, its document, its place) -> for each entry, one after the other, which of
+#: its windows came earlier, and the number of its windows. Strings are distinct; those with different sub keys share no window.
+Matcher = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def match(matcher: Matcher) -> Callable:
     def run(t: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
-        rows, docs, ats, subs = [], [], [], []
-        for size, data, doc, at, sub in zip(*(t.column(c).to_pylist() for c in ("size", "data", "doc", "at", "sub")), strict=True):
+        sub_of: list[np.ndarray] = []
+        strings, docs, ats = [], [], []
+        for size, data, doc, at, sub, later, later_doc, later_at in zip(*(t.column(c).to_pylist() for c in list(SENT)[2:]), strict=True):
             edge = np.concatenate(([0], np.cumsum(np.frombuffer(size, dtype="<i4")))).tolist()
-            rows.append(np.array([seen.setdefault(data[a:z], len(seen)) for a, z in zip(edge[:-1], edge[1:], strict=True)], dtype=np.int64))
-            docs.append(np.frombuffer(doc, dtype=np.int64))
-            ats.append(np.frombuffer(at, dtype=np.int64))
-            subs.append(np.frombuffer(sub, dtype=np.uint32))
-        string, doc, at, sub = map(np.concatenate, (rows, docs, ats, subs))
-        by = np.lexsort((at, doc, string))
-        lead = by[np.concatenate(([True], np.diff(string[by]) > 0))]
-        earlier = matcher(list(seen), sub[lead], doc[lead], at[lead])
-        out = []
-        for block, b, mine, d, p in zip(t.column("block").to_pylist(), t.column("bin").to_pylist(), rows, docs, ats, strict=True):
-            own = (d == doc[lead][mine]) & (p == at[lead][mine])
-            same = (d == doc[lead][mine]) & ~own  # another row with the same id
-            bits = [earlier[k] for k, o in zip(mine.tolist(), (own | same).tolist(), strict=True) if o]
-            out.append((block, b, np.packbits(own | same).tobytes(), np.packbits(np.concatenate(bits)).tobytes() if bits else b""))
-        return _table(TOLD, out)
+            before = len(seen)
+            mine = np.array([seen.setdefault(data[a:z], len(seen)) for a, z in zip(edge[:-1], edge[1:], strict=True)], dtype=np.int64)
+            sub_of.append(np.frombuffer(sub, dtype=np.uint32)[mine >= before])  # new ones are numbered as they come
+            strings.append(np.concatenate((mine, mine[np.frombuffer(later, dtype="<u4")])))
+            docs.append(np.frombuffer(doc + later_doc, dtype=np.int64))
+            ats.append(np.frombuffer(at + later_at, dtype=np.int64))
+        bits, n = matcher(list(seen), np.concatenate(sub_of), np.concatenate(strings), np.concatenate(docs), np.concatenate(ats))
+        edge = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, strings)])]
+        return _table(TOLD, [(block, b, np.packbits(bits[a:z]).tobytes(), None) for block, b, a, z in zip(t.column("block").to_pylist(), t.column("bin").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)])
 
     return run
 
 
-def earlier_windows(cut: Cut, s: Strings, answers: dict[int, tuple[bytes, bytes]], by_place: bool) -> np.ndarray:
+def earlier_windows(cut: Cut, s: Strings, answers: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
     """For each unit of the block, whether the window that starts there came earlier."""
     size = int(cut.first[-1])
-    out = np.zeros(size + 1, dtype=np.int32)
     n = np.ones(len(s.texts), dtype=np.int64)
     n[s.string] = s.n
-    own, offset, bits = np.zeros(len(s.texts), dtype=bool), np.zeros(len(s.texts), dtype=np.int64), []
-    base = 0
+    offset, later_offset, bits, base = np.zeros(len(s.texts), dtype=np.int64), np.zeros(len(s.texts), dtype=np.int64), [], 0
     for b, a, z in _groups(s.where):
-        mine = np.unpackbits(np.frombuffer(answers[b][0], dtype=np.uint8), count=z - a).view(bool)
-        own[a:z] = mine
-        held = np.where(mine, n[a:z], 0)
-        offset[a:z] = base + np.cumsum(held) - held
-        bits.append(np.unpackbits(np.frombuffer(answers[b][1], dtype=np.uint8), count=int(held.sum())))
+        i, j = np.searchsorted(s.later, (a, z))
+        held = np.concatenate((n[a:z], n[s.later[i:j]]))
+        at = base + np.cumsum(held) - held
+        offset[a:z], later_offset[s.later[i:j]] = at[: z - a], at[z - a :]
+        bits.append(np.unpackbits(np.frombuffer(answers[b][0], dtype=np.uint8), count=int(held.sum())))
         base += int(held.sum())
     bits = np.concatenate(bits) if bits else np.zeros(0, dtype=np.uint8)
-    lead = own[s.string] & (s.place_doc == s.doc[s.string])
-    if by_place:
-        lead &= s.place_at == s.at[s.string]
-    np.add.at(out, s.unit[~lead], 1)
-    np.add.at(out, s.unit[~lead] + s.n[~lead], -1)
+    total = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
+    o = np.where(s.is_later, later_offset[s.string], offset[s.string])
+    marked = total[o + s.n] - total[o]
+    whole, some = marked == s.n, (marked > 0) & (marked < s.n)
+    out = np.zeros(size + 1, dtype=np.int32)
+    np.add.at(out, s.unit[whole], 1)
+    np.add.at(out, s.unit[whole] + s.n[whole], -1)
     mask = np.cumsum(out, dtype=np.int32, out=out)[:size] > 0
-    total = np.concatenate(([0], np.cumsum(bits)))
-    o, k = offset[s.string[lead]], s.n[lead]
-    some = total[o + k] > total[o]
-    for u, a, m in zip(s.unit[lead][some].tolist(), o[some].tolist(), k[some].tolist(), strict=True):
+    for u, a, m in zip(s.unit[some].tolist(), o[some].tolist(), s.n[some].tolist(), strict=True):
         mask[u : u + m] |= bits[a : a + m].view(bool)
     return mask
 
@@ -345,13 +370,13 @@ def covered(windows: np.ndarray, width: int) -> np.ndarray:
 Finish = Callable[[list, list[bytes], Cut, np.ndarray], pa.Table]
 
 
-def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, finish: Finish, schema: str, bin_bytes: int, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, finish: Finish, schema: str, bin_bytes: int | None = None, hot: int = HOT, block_bytes: int | None = None) -> DataFrame:
     """docs: doc_id long, text. By bytes, a window came earlier if it is in a document with a smaller id; by words, also if
     it starts earlier in the same document. Null texts are empty; a null id comes before all others; rows with the same
-    id don't repeat one another by bytes, nor, at the same place, by words."""
-    n, size = corpus_size(docs)
-    plan = Plan(max(1, -(-size // block_bytes), min(LEAST_BLOCKS, n // 64)), max(1, -(-size // FILTER_BYTES)), max(1, -(-size // bin_bytes)), window, words, hot)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    id count as one document, and where they differ may be in different blocks: they don't repeat one another by bytes,
+    nor, at the same place, by words."""
+    plan = Plan.of(corpus_size(docs)[1], window, words, hot, block_bytes, bin_bytes)
+    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(plan.blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     asked = rows.groupBy("block").applyInArrow(ask(plan), _spark(ASK))
     told = asked.groupBy("bin").applyInArrow(tell(plan), _spark(TOLD))
     sent = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send(plan), _spark(SENT))
@@ -363,7 +388,7 @@ def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, fi
         kind = np.array(replies.column("kind").to_pylist())
         told, answers = (_told(replies.filter(pa.array(kind == k))) for k in (0, 1))
         cut = plan.cut(texts)
-        marks = earlier_windows(cut, strings_of(cut, keys, told, plan), answers, words)
+        marks = earlier_windows(cut, strings_of(cut, keys, told, plan), answers)
         return finish(ids, texts, cut, covered(marks, window))
 
     return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(end, schema)

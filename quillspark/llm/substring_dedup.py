@@ -29,8 +29,10 @@ def parse(words: list[int], reference: list[int], index: dict[tuple, int], limit
         if at is None:
             i += 1
             continue
-        k = window
-        while i + k < n and at + k < limit and reference[at + k] == words[i + k]:
+        k, most = window, min(n - i, limit - at)
+        if words[i : i + most] == reference[at : at + most]:
+            k = most
+        while k < most and reference[at + k] == words[i + k]:
             k += 1
         out.append((i, k))
         i += k - window + 1
@@ -38,28 +40,47 @@ def parse(words: list[int], reference: list[int], index: dict[tuple, int], limit
 
 
 def matcher(window: int = WINDOW):
-    """The bin's strings in corpus order are one reference block: each is parsed against all before it and itself."""
+    """The bin's strings in corpus order are one reference block. Every entry, repeats included, is parsed against what the
+    documents before its own gave; of what is new in a document, the first place stays. Strings enter the reference once,
+    with the windows that were new."""
 
-    def run(strings, sub, doc, at):
+    def run(strings, sub, string, doc, at):
         names: dict[bytes, int] = {b"\n": 0}
         reference: list[int] = []
         index: dict[tuple, int] = {}
-        out: list = [None] * len(strings)
-        for k in np.lexsort((at, doc)).tolist():
-            words = [names.setdefault(w, len(names)) for w in strings[k].split(b" ")]
-            n = len(words) - window + 1
-            earlier = np.zeros(n, dtype=bool)
-            base = len(reference)
-            for i, size in parse(words, reference, index, base, window):
-                earlier[i : i + size - window + 1] = True
-            reference += words
-            reference.append(0)
-            for i in np.flatnonzero(~earlier).tolist():
-                # the first place stays; a window that this string itself has had before came earlier too
-                if index.setdefault(tuple(words[i : i + window]), base + i) != base + i:
-                    earlier[i] = True
-            out[k] = earlier
-        return out
+        words_of: list = [None] * len(strings)
+        out: list = [None] * len(string)
+        order = np.lexsort((at, doc))
+        groups = np.split(order, np.flatnonzero(np.diff(doc[order])) + 1)
+        for group in groups:  # of one document
+            limit, fresh = len(reference), {}  # window -> its first place in this document
+            for e in group.tolist():
+                words = words_of[string[e]]
+                if words is None:
+                    words = words_of[string[e]] = [names.setdefault(w, len(names)) for w in strings[string[e]].split(b" ")]
+                earlier = np.zeros(len(words) - window + 1, dtype=bool)
+                for i, size in parse(words, reference, index, limit, window):
+                    earlier[i : i + size - window + 1] = True
+                place = int(at[e])
+                for i in np.flatnonzero(~earlier).tolist():
+                    w = tuple(words[i : i + window])
+                    fresh[w] = min(fresh.get(w, place + i), place + i)
+                out[e] = earlier
+            if not fresh:
+                continue
+            for e in group.tolist():
+                words, place, base = words_of[string[e]], int(at[e]), len(reference)
+                new = np.flatnonzero(~out[e]).tolist()
+                if new:
+                    reference += words
+                    reference.append(0)
+                for i in new:
+                    w = tuple(words[i : i + window])
+                    if fresh[w] == place + i:
+                        index.setdefault(w, base + i)
+                    else:
+                        out[e][i] = True
+        return np.concatenate(out), np.array([len(x) for x in out], dtype=np.int64)
 
     return run
 
@@ -91,7 +112,7 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW, keep_texts: bool = True,
     one. The first place in the corpus stays. Null texts have no words; shorter texts stay; rows with the same id don't
     remove each other at the same place; an empty table gives an empty result; other columns are ignored.
     """
-    return find_repeats(docs, window, True, matcher(window), finish(keep_texts), RESULT, bin_bytes=16 << 20, **options)
+    return find_repeats(docs, window, True, matcher(window), finish(keep_texts), RESULT, **options)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -95,8 +95,9 @@ def prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return order, first[:n]
 
 
-def _earlier(strings: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string, which of its windows are also in a string with a smaller document."""
+def least_owners(strings: list[bytes], doc: np.ndarray, length: int) -> np.ndarray:
+    """For each window of `length` bytes of each string, one after the other, the smallest document of the suffixes that
+    share it: those between two rows that start a group in the order of the transform."""
     text = np.frombuffer(b"\xff".join([*strings, b""]), dtype=np.uint8)
     size = np.array([len(s) for s in strings], dtype=np.int64) + 1
     order, first = prefix_groups(text, length)
@@ -104,21 +105,35 @@ def _earlier(strings: list[bytes], doc: np.ndarray, length: int) -> list[np.ndar
     owner = np.repeat(doc, size)
     window = np.arange(len(text)) - np.repeat(start, size) <= np.repeat(size - 1 - length, size)
     rows = order[window[order]]
+    if not len(rows):
+        return owner[:0]
     group = (np.cumsum(first) - 1)[window[order]]
     edge = np.flatnonzero(np.concatenate(([True], np.diff(group) > 0)))
-    least = np.minimum.reduceat(owner[rows], edge) if len(rows) else owner[:0]
-    out = np.zeros(len(text), dtype=bool)
-    out[rows] = owner[rows] > np.repeat(least, np.diff(np.concatenate((edge, [len(rows)]))))
-    return [out[a : a + n - length] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    least = np.minimum.reduceat(owner[rows], edge)
+    out = np.empty(len(text), dtype=np.int64)
+    out[rows] = np.repeat(least, np.diff(np.concatenate((edge, [len(rows)]))))
+    return out[window]
+
+
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, … (n[0] of them), first[1], …"""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def matcher(length: int = LENGTH, most: int = MOST, most_alone: int = MOST_ALONE):
-    """Strings with different sub keys share no window, so a large bin is matched in parts of at most `most` bytes; what
+    """Each distinct string enters a transform once, owned by the smallest document that has it; a window of an entry came
+    earlier if the least owner in the transform is smaller than the entry's document.
+
+    Strings with different sub keys share no window, so a large bin is matched in parts of at most `most` bytes; what
     has one sub key and more than `most_alone` bytes is matched by single windows, by classes of their checksums."""
 
-    def run(strings, sub, doc, at):
-        out: list = [None] * len(strings)
+    def run(strings, sub, string, doc, at):
+        owner = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(owner, string, doc)
         size = np.array([len(s) + 1 for s in strings], dtype=np.int64)
+        n = size - length
+        start = np.cumsum(n) - n
+        least = np.empty(int(n.sum()), dtype=np.int64)
         order = np.argsort(sub, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(sub[order]) > 0)))  # of each sub key
         held = np.concatenate(([0], np.cumsum(size[order])))
@@ -129,22 +144,18 @@ def matcher(length: int = LENGTH, most: int = MOST, most_alone: int = MOST_ALONE
             parts.append(order[first[k] : first[last + 1] if last + 1 < len(first) else len(order)])
             k = last + 1
         for ids in parts:
-            if size[ids].sum() <= most_alone or len({int(x) for x in sub[ids]}) > 1:
-                for k, bits in zip(ids.tolist(), _earlier([strings[k] for k in ids], doc[ids], length), strict=True):
-                    out[k] = bits
+            if size[ids].sum() <= most_alone or sub[ids[0]] != sub[ids[-1]]:
+                least[_each(start[ids], n[ids])] = least_owners([strings[k] for k in ids.tolist()], owner[ids], length)
                 continue
-            n = size[ids] - length
-            for k, windows in zip(ids.tolist(), n.tolist(), strict=True):
-                out[k] = np.zeros(windows, dtype=bool)
-            classes = int(n.sum() * (length + 1) // most) + 1
-            held: list[list] = [[] for _ in range(classes)]
-            for k, windows in zip(ids.tolist(), n.tolist(), strict=True):
+            classes = int(n[ids].sum() * (length + 1) // most) + 1
+            parted: list[list] = [[] for _ in range(classes)]
+            for k, windows in zip(ids.tolist(), n[ids].tolist(), strict=True):
                 for o in range(windows):
-                    held[zlib.crc32(strings[k][o : o + length]) % classes].append((k, o))
-            for mine in filter(None, held):
-                for (k, o), bits in zip(mine, _earlier([strings[k][o : o + length] for k, o in mine], doc[[k for k, _ in mine]], length), strict=True):
-                    out[k][o] = bits[0]
-        return out
+                    parted[zlib.crc32(strings[k][o : o + length]) % classes].append((k, o))
+            for mine in filter(None, parted):
+                k, o = np.array(mine).T
+                least[start[k] + o] = least_owners([strings[i][j : j + length] for i, j in mine], owner[k], length)
+        return least[_each(start[string], n[string])] < np.repeat(doc, n[string]), n[string]
 
     return run
 
@@ -177,7 +188,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep_texts: bool = T
     so what is left of a text may end inside a character. Null texts are empty, texts shorter than `length` stay, rows
     with the same id don't remove one another, an empty table gives an empty result; other columns are ignored.
     """
-    return find_repeats(docs, length, False, matcher(length), finish(keep_texts), RESULT, bin_bytes=4 << 20, **options)
+    return find_repeats(docs, length, False, matcher(length), finish(keep_texts), RESULT, **options)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
