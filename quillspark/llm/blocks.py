@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .base import corpus_size, eights, mix, spans, word_bounds, word_hashes
 
@@ -167,11 +168,17 @@ def _groups(where: np.ndarray):
     return [(int(where[a]), int(a), int(z)) for a, z in zip(edge[:-1], edge[1:], strict=True)]
 
 
+def _order(t: pa.Table) -> pa.Table:
+    """The documents of a block in order."""
+    ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+    return t.take(sorted(range(len(ids)), key=lambda k: (NO_ID if ids[k] is None else ids[k], texts[k] or b"")))
+
+
 def _texts(t: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
     """Documents of a block in order: ids as they are, ids to compare by, texts."""
-    ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
-    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (NO_ID if r[0] is None else r[0], r[1] or b""))
-    return [r[0] for r in rows], np.array([NO_ID if r[0] is None else r[0] for r in rows], dtype=np.int64), [r[1] or b"" for r in rows]
+    t = _order(t.select(["doc_id", "text"]))
+    ids = t.column("doc_id").to_pylist()
+    return ids, np.array([NO_ID if i is None else i for i in ids], dtype=np.int64), [x or b"" for x in t.column("text").to_pylist()]
 
 
 def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
@@ -370,13 +377,18 @@ def covered(windows: np.ndarray, width: int) -> np.ndarray:
 Finish = Callable[[list, list[bytes], Cut, np.ndarray], pa.Table]
 
 
-def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, finish: Finish, schema: str, bin_bytes: int | None = None, hot: int = HOT, block_bytes: int | None = None) -> DataFrame:
-    """docs: doc_id long, text. By bytes, a window came earlier if it is in a document with a smaller id; by words, also if
+def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, finish: Finish, schema: str, bin_bytes: int | None = None, hot: int = HOT, block_bytes: int | None = None, carry: bool = False) -> DataFrame:
+    """docs: doc_id long, text; with `carry`, the result has another column, `row`, a struct of all columns of docs but text. By bytes, a window came earlier if it is in a document with a smaller id; by words, also if
     it starts earlier in the same document. Null texts are empty; a null id comes before all others; rows with the same
     id count as one document, and where they differ may be in different blocks: they don't repeat one another by bytes,
     nor, at the same place, by words."""
     plan = Plan.of(corpus_size(docs)[1], window, words, hot, block_bytes, bin_bytes)
-    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(plan.blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    columns = [F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(plan.blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
+    rows = docs.select(*columns)
+    whole, result = rows, StructType.fromDDL(schema)
+    if carry:
+        whole = docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+        result = result.add("row", whole.schema["row"].dataType)
     asked = rows.groupBy("block").applyInArrow(ask(plan), _spark(ASK))
     told = asked.groupBy("bin").applyInArrow(tell(plan), _spark(TOLD))
     sent = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send(plan), _spark(SENT))
@@ -389,9 +401,10 @@ def find_repeats(docs: DataFrame, window: int, words: bool, matcher: Matcher, fi
         told, answers = (_told(replies.filter(pa.array(kind == k))) for k in (0, 1))
         cut = plan.cut(texts)
         marks = earlier_windows(cut, strings_of(cut, keys, told, plan), answers)
-        return finish(ids, texts, cut, covered(marks, window))
+        out = finish(ids, texts, cut, covered(marks, window))
+        return out.append_column("row", _order(docs).column("row")) if carry else out
 
-    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(end, schema)
+    return whole.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(end, result)
 
 
 __all__ = ["Cut", "Plan", "covered", "cut_bytes", "cut_words", "find_repeats", "spans"]

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import mix, table, word_bounds, word_hashes, written
-from .components import components
+from .base import fresh, mix, table, word_bounds, word_hashes, written
+from .components import components, join_one
 
 #: Members of a candidate group that one task compares; larger groups are dealt out in pairs of tiles of half as many.
 GROUP = 4096
@@ -230,8 +230,8 @@ def classes(docs: DataFrame, like: Likeness, group: int = GROUP, shingles: int =
     # written, so that what joins it meets a plain exchange, which is split where one class has very many documents
     reps = written(known.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "classes")
     bands = reps.select("rep", F.explode("bands").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
-    near = components(bands.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")))
+    leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).filter("leader < last").select("key", "leader", "n")
+    near = components(join_one(bands, leaders, "key", like.bands * reps.count()).filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")))
     members = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()).join(reps.select(F.col("rep").alias("node"), "digest", "size"), "node")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     members = members.join(sizes, "component")
@@ -254,9 +254,11 @@ def classes(docs: DataFrame, like: Likeness, group: int = GROUP, shingles: int =
 
 
 def keep_first(docs: DataFrame, like: Likeness | None = None) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id. Columns of docs."""
-    kept = classes(docs.select("doc_id", "text"), like or Likeness()).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.hint("merge").join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of near duplicates: that of the smallest id, with all rows that have this id. Columns of
+    docs, whatever their names."""
+    (key,) = fresh(docs, "kept_id")
+    kept = classes(docs.select("doc_id", "text"), like or Likeness()).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.hint("merge").join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[key]), "left_semi")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import fresh, table
 from .blocks import Cut, find_repeats
 
 WINDOW = 20
@@ -116,13 +116,21 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW, keep_texts: bool = True,
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the repeated words taken out of text, and n_chars, where there is one, counted again; rows stay as they are
-    many. docs needs unique ids here: what is kept is joined by them."""
-    kept = dedup_spans(docs.select("doc_id", "text"), window).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__gone"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumn("text", F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """docs with the repeated words taken out of text, and n_chars, where there is one, counted again. Every row comes back
+    once, with all its columns, whatever they are called; rows may have the same id, and null texts stay null. The columns
+    travel with the text, so nothing is joined by id."""
+    (blank,) = fresh(docs, "blank")
+    marked = docs.withColumn(blank, F.col("text").isNull())
+    out = find_repeats(marked, window, True, matcher(window), finish(True), RESULT, carry=True)
+    text, gone = F.when(~F.col(f"row.`{blank}`"), F.col("kept")), F.col("n_removed") > 0
+
+    def column(c):
+        if c == "text":
+            return text.alias(c)
+        own = F.col(f"row.`{c}`")
+        return (F.when(gone, F.length(text).cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own).alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
