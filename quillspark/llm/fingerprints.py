@@ -13,8 +13,8 @@ from .base import corpus_size, mix, table
 
 GRAM, WIDTH = 16, 32
 BUCKET_BYTES = 16 << 20
-#: Buckets whose first ids are broadcast, 16 bytes each.
-MOST_SENT = 100_000
+#: Buckets at most, so that their bounds and first ids stay small; larger ones are longer streams.
+MOST_BUCKETS = 10_000
 
 
 def grams(points: np.ndarray, gram: int) -> np.ndarray:
@@ -77,31 +77,36 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, width: int = WIDTH) -> DataF
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>"
 
 
-def compare_neighbours(docs: DataFrame, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
+def compare_neighbours(docs: DataFrame, gram: int = GRAM, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Each row's fingerprint against that of its edited text (its last quarter replaced by the first code points of the
     next document) and that of the next document: the next larger doc_id, after the last one the first.
 
-    Documents are sorted within buckets of ids, of equal width; a bucket also gets the first document of the next bucket
-    that has any, so no task sees more than its bucket, as a stream. Ids that crowd in a narrow range make long streams,
-    not wrong results. Null ids come first; rows with the same id follow in the order of their texts. A document alone is
+    Documents are sorted within buckets of ids, bounded by quantiles, so of about as many rows each wherever the ids lie; a
+    bucket also gets the first document of the next one, so no task sees more than its bucket, as a stream. Null ids come first; rows with the same id follow in the order of their texts. A document alone is
     its own next one. An empty table gives no rows.
     """
     lowest = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, size = corpus_size(rows)
-    r = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
-    low, high = float(r["a"] or 0), float(r["z"] or 0)
-    buckets = max(1, min(n, -(-size // BUCKET_BYTES)))
-    each = max(1.0, (high - low + 1) / buckets)
-    rows = rows.withColumn("bucket", F.greatest(F.floor((F.col("k").cast("double") - low) / each), F.lit(-1)).cast("long"))
+    buckets = max(1, min(n, -(-size // bucket_bytes), MOST_BUCKETS))
+    shares = [i / buckets for i in range(1, buckets)]
+    found = rows.agg(F.percentile_approx("k", shares, 20 * MOST_BUCKETS)).first()[0] if shares else []
+    bounds = np.unique(np.array(found or [], dtype=np.int64))
+
+    @F.pandas_udf("long")
+    def bucket_of(k):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="right"))
+
+    rows = rows.withColumn("bucket", bucket_of("k"))
     # the first document of each bucket, again, at the end of the bucket before it
     heads = rows.groupBy("bucket").agg(F.min("k").alias("k"))
     order = Window.partitionBy().orderBy("bucket")
     whole = Window.partitionBy()
     heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(whole))).select("before", F.col("k").alias("head"))
-    # one short row a bucket: sent to all tasks where that is small, so that texts aren't shuffled to find a few of them
-    heads = F.broadcast(heads) if buckets <= MOST_SENT else heads.hint("merge")
-    ends = rows.join(heads, F.col("k") == F.col("head")).groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("end"), F.lit(0).cast("long").alias("k"), "text", F.col("before").alias("bucket"))
+    # at most MOST_BUCKETS short rows: sent to all tasks, so that texts aren't shuffled to find a few of them
+    ends = rows.join(F.broadcast(heads), F.col("k") == F.col("head")).groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("end"), F.lit(0).cast("long").alias("k"), "text", F.col("before").alias("bucket"))
     stream = rows.select("doc_id", F.lit(0).alias("end"), "k", "text", "bucket").union(ends).repartition("bucket").sortWithinPartitions("bucket", "end", "k", "text")
 
     def run(batches):
