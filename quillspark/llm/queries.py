@@ -58,7 +58,7 @@ k AS (SELECT u, min(m) AS m FROM r GROUP BY u)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.m AS component_id, d.doc_id = k.m AS kept FROM d JOIN k ON k.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
     "op9_mixing": rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17:' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
   row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM s),
@@ -67,10 +67,13 @@ t AS (SELECT *, (1.0::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY filled, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM f),
 l AS (SELECT min_by(level, filled) AS level FROM t WHERE level <= filled),
 g AS (SELECT t.source, t.source_size, greatest(CASE WHEN l.level IS NULL THEN cap ELSE least(cap, weight * l.level) END, 0) AS target FROM t, l),
-r AS (SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS raw FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, CASE WHEN abs(raw - round(raw)) < 1e-9 THEN round(raw) ELSE raw END AS rate,
-  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS draw FROM r),
-c AS (SELECT *, CAST(floor(rate) AS INTEGER) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM k)
+r AS (SELECT d.doc_id, d.source, d.h, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS raw FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, CASE WHEN abs(raw - round(raw)) < 1e-9 THEN round(raw) ELSE raw END AS rate FROM r),
+e AS (SELECT *, CAST(floor(rate) AS INTEGER) + CASE WHEN CAST(('0x' || substr(h, n + 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM k, (SELECT unnest(range(0, 20)) AS n)),
+o AS (SELECT source, n, abs(sum(size * copies) - any_value(target)) AS off FROM e GROUP BY source, n),
+b AS (SELECT source, min(n) AS n FROM (SELECT *, min(off) OVER (PARTITION BY source) AS least FROM o) WHERE off = least GROUP BY source),
+c AS (SELECT e.* FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.n = b.n)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, rate, copies FROM c
 """,
     "op10_substring_dedup": rf"""
