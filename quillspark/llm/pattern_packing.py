@@ -1,8 +1,9 @@
 """Best-fit packing by patterns: few-document length patterns are fitted to the histogram of lengths by non-negative least
-squares, their counts are rounded down, and what is left is packed best fit, longest first."""
+squares, their counts are rounded, and what is left is packed best fit, longest first."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +19,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length that one salt holds, about: each of them is numbered within its salt.
 PER_SALT = 5_000
+#: Fraction from which a fitted count is rounded up, and share of the fit that is placed; what is left is packed best fit.
+SHARES = [(up, share) for up in (0.5, 1.0) for share in (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)]
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -42,36 +45,118 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def patterns(lengths: list[int], capacity: int) -> np.ndarray:
-    """All pairs and triples of the lengths that fill the capacity exactly, as rows of three with 0 for none."""
+def _parts(have: np.ndarray, total: int, k: int, top: int, most: int) -> np.ndarray:
+    """Rows of k lengths, each at most the one before it and the first at most `top`, that sum up to `total`; no more than
+    about `most` rows, those of the longest first lengths."""
+    if k == 1:
+        return np.array([[total]] if 0 < total <= top and have[total] else [], dtype=np.int64).reshape(-1, 1)
+    first = np.flatnonzero(have[: min(top, total - k + 1) + 1]) if total >= k else np.zeros(0, dtype=np.int64)
+    first = first[first * k >= total][::-1]
+    if k == 2:
+        first = first[have[total - first]]
+        return np.stack([first, total - first], 1)
+    out, n = [np.zeros((0, k), dtype=np.int64)], 0
+    for x in first.tolist():
+        rest = _parts(have, total - x, k - 1, x, most - n)
+        out.append(np.concatenate([np.full((len(rest), 1), x), rest], 1))
+        n += len(rest)
+        if n >= most:
+            break
+    return np.concatenate(out)
+
+
+def patterns(lengths: list[int], capacity: int, most: int = 90_000, most_waste: int = 16, documents: int = 4) -> np.ndarray:
+    """Patterns of one to `documents` lengths that fill the capacity, or fall short of it by at most `most_waste`, as rows of
+    lengths padded with 0: single lengths, then exact fills, then by waste, each time those of fewer documents first, until
+    there are about `most`. All exact fills of two and three lengths up to 1024 are fewer than that."""
     have = np.zeros(capacity + 1, dtype=bool)
     have[[x for x in lengths if 0 < x < capacity]] = True
-    a = np.flatnonzero(have)
-    pairs = a[(2 * a >= capacity) & have[capacity - a]]
-    found = [np.stack([pairs, capacity - pairs, np.zeros_like(pairs)], 1)]
-    for x in a[3 * a >= capacity]:
-        y = a[(a <= x) & (a < capacity - x) & (2 * a >= capacity - x)]
-        y = y[have[capacity - x - y]]
-        found.append(np.stack([np.full_like(y, x), y, capacity - x - y], 1))
+    single = np.flatnonzero(have[capacity - most_waste :] if capacity > most_waste else have) + max(0, capacity - most_waste)
+    found, n = [np.pad(single[:, None], ((0, 0), (0, documents - 1)))], len(single)
+    for waste in range(min(most_waste, capacity - 1) + 1):
+        for k in range(2, documents + 1):
+            rows = _parts(have, capacity - waste, k, capacity, most - n) if n < most else np.zeros((0, k), dtype=np.int64)
+            found.append(np.pad(rows, ((0, 0), (0, documents - k))))
+            n += len(rows)
     return np.concatenate(found)
 
 
-def fit(rows: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 that makes |A x - histogram| small, A having a column for each pattern: multiplicative updates, which keep
-    x non-negative and never raise the error. A is only read through its three non-zeros a column."""
-    h = np.concatenate(([0.0], histogram[1:].astype(float)))
-    slot = rows > 0
+def fit(rows: np.ndarray, histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = 150, most_added: int = 64, shy: float = 1e-3) -> np.ndarray:
+    """x >= 0 that makes |A x - histogram| small, A having a column for each pattern, and a last row that holds `shy` times
+    what the pattern wastes against 0: an active-set method.
 
-    def down(x):  # A x
-        return np.bincount(rows[slot], np.repeat(x[:, None], 3, 1)[slot], len(h))
+    The columns with the largest gradient that share no length are taken into the passive set, least squares are solved
+    on it, and columns that turn negative leave it, until none does: at first all at once; when that gains nothing more,
+    only those that come to 0 first on the way, which never raises the error. The set never holds many more columns than
+    there are lengths, so most of x is 0 and rounding keeps most of the rest. It ends where no gradient is left, where
+    eight rounds gain little, or after about `rounds` solutions, with the best x so far, a valid start for the rounding in any case.
+    """
+    size = len(histogram)
+    h = np.concatenate((histogram.astype(float), [0.0]))
+    h[0] = 0.0
+    waste = shy * (capacity - rows.sum(1))
 
-    def up(y):  # A^T y
-        return (y[rows] * slot).sum(1)
+    def columns(which):  # dense columns of A
+        a = np.zeros((size + 1, len(which)))
+        for part in rows[which].T:
+            np.add.at(a, (part, np.arange(len(which))), part > 0)
+        a[size] = waste[which]
+        return a
 
-    x, want = np.ones(len(rows)), up(h)
-    for _ in range(rounds):
-        x *= want / np.maximum(up(down(x)), 1e-12)
-    return x
+    x, passive, blocked = np.zeros(len(rows)), np.zeros(0, dtype=np.int64), np.zeros(len(rows), dtype=bool)
+    a, gram, since, least, kept = columns(passive), np.zeros((0, 0)), 0, np.inf, x
+    careful, solved = False, 0
+    while True:
+        left = h - a @ x[passive]
+        left[0] = 0.0
+        gradient = (left[rows] * (rows > 0)).sum(1) + waste * left[size]
+        gradient[passive] = 0.0
+        gradient[blocked] = 0.0
+        order = np.argsort(-gradient, kind="stable")[: 64 * most_added]
+        taken, added = np.zeros(size, dtype=bool), []
+        for j in order[gradient[order] > 1e-3].tolist():
+            part = rows[j][rows[j] > 0]
+            if not taken[part].any():
+                taken[part] = True
+                added.append(j)
+                if len(added) == most_added:
+                    break
+        if not added:
+            break
+        blocked[:] = False
+        new = columns(np.array(added))
+        across, own = a.T @ new, new.T @ new + 1e-9 * np.eye(len(added))
+        passive, a, gram = np.concatenate((passive, added)).astype(np.int64), np.concatenate((a, new), 1), np.block([[gram, across], [across.T, own]])
+        while len(passive):
+            best, solved = np.linalg.solve(gram, a.T @ h), solved + 1
+            stay = best > 1e-9
+            if stay.all():
+                break
+            if careful:  # go from x towards the solution as far as none turns negative; those that stop it leave
+                now = x[passive]
+                step = float(np.min(now[~stay] / np.maximum(now[~stay] - best[~stay], 1e-300)))
+                best = np.maximum(0.0, now + step * (best - now))
+                stay |= best > 1e-9
+            x[passive] = np.where(stay, best, 0.0)
+            blocked[passive[~stay]] = True
+            passive, a, gram = passive[stay], a[:, stay], gram[np.ix_(stay, stay)]
+        x[:] = 0.0
+        if len(passive):
+            x[passive] = best
+        error = float(((h - a @ x[passive]) ** 2).sum())
+        if error < 0.99 * least:
+            since = 0
+        else:
+            since += 1
+        if error < least:
+            least, kept = error, x.copy()
+        if least <= 1e-5 * float((h**2).sum()) or since == 8 or solved >= rounds:
+            break
+        if since == 2 and not careful:
+            careful, x, passive = True, kept.copy(), np.flatnonzero(kept)
+            a = columns(passive)
+            gram = a.T @ a + 1e-9 * np.eye(len(passive))
+    return kept
 
 
 def pack_rest(rest: Counter, capacity: int) -> Counter:
@@ -100,23 +185,36 @@ def pack_rest(rest: Counter, capacity: int) -> Counter:
     return sum((bins for bins in open_bins.values()), Counter())
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, histogram: Counter, up: float, capacity: int) -> Counter:
+    """Patterns by their fitted counts, the largest first, each as often as there are lengths left for it; a count is rounded
+    up from a fraction of `up` on. What is left is packed best fit."""
+    left, out = Counter(histogram), Counter()
+    chosen = np.flatnonzero(x > 1e-6)
+    for k in chosen[np.argsort(-x[chosen], kind="stable")].tolist():
+        row = Counter(int(v) for v in rows[k] if v)
+        n = min(math.floor(x[k] + 1 - up), *(left[v] // m for v, m in row.items()))
+        if n > 0:
+            out[tuple(sorted(row.elements(), reverse=True))] += n
+            for v, m in row.items():
+                left[v] -= m * n
+    return out + pack_rest(+left, capacity)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and counts that use each length as often as it occurs. The histogram has at most `capacity` entries, so this runs on the driver."""
+    """Patterns and counts that use each length as often as it occurs: of some shares of the fit and ways to round it, the
+    one with the fewest sequences, the first of equal ones. The histogram has at most `capacity` entries, so this runs on the driver."""
     left, out = Counter(histogram), Counter()
     if left.get(capacity):
         out[(capacity,)] = left.pop(capacity)
     rows = patterns(list(left), capacity)
-    if len(rows):
-        x = fit(rows, np.array([left.get(k, 0) for k in range(capacity + 1)]))
-        for k in np.argsort(-x, kind="stable"):
-            row = Counter(int(v) for v in rows[k] if v)
-            n = min(int(x[k] + 1e-9), *(left[v] // m for v, m in row.items()))
-            if n > 0:
-                out[tuple(sorted(row.elements(), reverse=True))] += n
-                for v, m in row.items():
-                    left[v] -= m * n
-    out += pack_rest(+left, capacity)
-    return sorted(out.items(), reverse=True)
+    x = fit(rows, np.array([left.get(k, 0) for k in range(capacity + 1)]), capacity) if len(rows) else np.zeros(0)
+    least, best = -(-sum(k * n for k, n in left.items()) // capacity), None
+    for up, share in SHARES:
+        way = rounded(rows, share * x, left, up, capacity)
+        best = way if best is None or sum(way.values()) < sum(best.values()) else best
+        if sum(best.values()) <= least:
+            break
+    return sorted((out + best).items(), reverse=True)
 
 
 def slots(chosen: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
