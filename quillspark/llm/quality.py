@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, table
+from .base import SPACES, fresh, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -40,26 +40,26 @@ def with_stats(docs: DataFrame, text: str = "text", into: str = "__q") -> DataFr
     n_marks (``!`` and ``?``), n_digits. Whole texts, whatever their length: nothing is exploded, so a text costs its
     own size in one row.
     """
-    t, w, g = f"{into}_t", f"{into}_w", f"{into}_g"
+    t, w, g, hashes, sorted_grams, places, kept_lines = fresh(docs, *(f"{into}_{x}" for x in "twghrpl"))
     out = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     # Each array is a column of its own with two uses or more, so that Catalyst doesn't inline it into a lambda and
     # build it again for each element.
     out = out.withColumn(w, F.filter(F.split(F.col(t), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     # slice() copies its array, so windows are built by shifting the whole array of word hashes, not by a slice for each.
-    out = out.withColumn(f"{into}_h", F.transform(w, lambda x: F.xxhash64(x)))
-    shifted = [F.slice(f"{into}_h", k, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))).alias(f"w{k}") for k in range(1, WINDOW + 1)]
+    out = out.withColumn(hashes, F.transform(w, lambda x: F.xxhash64(x)))
+    shifted = [F.slice(hashes, k, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))).alias(f"w{k}") for k in range(1, WINDOW + 1)]
     out = out.withColumn(g, F.when(F.size(w) >= WINDOW, F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*(z[f"w{k}"] for k in range(1, WINDOW + 1))))))
     lines = F.filter(F.split(F.col(t), "\n"), lambda x: F.translate(x, SPACES, "") != "")
     twice = F.size(F.array_distinct(g)) < F.size(g)
-    out = out.withColumn(f"{into}_r", F.when(twice, F.sort_array(F.transform(F.col(g), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    r = F.col(f"{into}_r")
+    out = out.withColumn(sorted_grams, F.when(twice, F.sort_array(F.transform(F.col(g), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    r = F.col(sorted_grams)
     # neighbours in hash order with the same hash are windows that occur again
     pairs = F.flatten(F.filter(F.zip_with(r, F.slice(r, 2, F.size(r)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull()))
-    out = out.withColumn(f"{into}_p", F.when(r.isNotNull(), F.sort_array(F.array_distinct(pairs))))
-    p = F.col(f"{into}_p")
+    out = out.withColumn(places, F.when(r.isNotNull(), F.sort_array(F.array_distinct(pairs))))
+    p = F.col(places)
     covered = F.aggregate(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
-    out = out.withColumn(f"{into}_l", lines)
-    lines = F.col(f"{into}_l")
+    out = out.withColumn(kept_lines, lines)
+    lines = F.col(kept_lines)
     counts = {
         "n_words": F.size(w), "word_chars": F.length(F.translate(t, SPACES, "")), "n_symbols": _without(F.col(t), SYMBOLS), "n_lines": F.size(lines), "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": F.when(p.isNotNull() & (F.size(p) > 0), covered).otherwise(0),
         "n_capitals": F.length(t) - F.length(F.regexp_replace(F.col(t), r"\p{Lu}+", "")), "n_marks": _without(F.col(t), "!?"), "n_digits": _without(F.col(t), "0123456789"),
@@ -67,7 +67,7 @@ def with_stats(docs: DataFrame, text: str = "text", into: str = "__q") -> DataFr
     # partition ids are never negative; the test marks the counts as not to be inlined, else a filter on them is pushed
     # below and computes every count again for each use
     out = out.withColumn(into, F.when(F.spark_partition_id() >= 0, F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))))
-    return out.drop(t, w, g, f"{into}_h", f"{into}_r", f"{into}_p", f"{into}_l")
+    return out.drop(t, w, g, hashes, sorted_grams, places, kept_lines)
 
 
 def base_failed(q: str = "__q") -> Column:
@@ -178,19 +178,23 @@ def verdict(rules: list[Rule], q: str = "__q") -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> DataFrame:
-    """docs with the struct __q of counts, base_failed and kept. Documents with less than ten words or many repeats fail
-    whatever the rules say. Rows are judged one by one, so repeated rows get the same verdict."""
+    """docs with a last column `quality_counts` (or `quality_counts_`, …: a name that docs doesn't have), the struct of counts
+    with base_failed and kept. Documents with less than ten words or many repeats fail whatever the rules say. Rows are
+    judged one by one, so repeated rows get the same verdict."""
     rules = learn_rules(labelled_stats(docs, labels, most_labels=most_labels))
-    return with_stats(docs).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
+    (q,) = fresh(docs, "quality_counts")
+    out = with_stats(docs, into=q)
+    return out.withColumn(q, F.col(q).withField("base_failed", base_failed(q)).withField("kept", verdict(rules, q)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs and no others."""
+    """The documents that are kept, with the columns of docs and no others, whatever they are called."""
     rules = learn_rules(labelled_stats(docs, labels))
-    return with_stats(docs).filter(verdict(rules)).select(*docs.columns)
+    (q,) = fresh(docs, "quality_counts")
+    return with_stats(docs, into=q).filter(verdict(rules, q)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judge(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", *(f"__q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+    return out.select("doc_id", *(f"quality_counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
