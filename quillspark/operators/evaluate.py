@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import number_rows
 from .roles import ROLES
 
 
@@ -27,12 +28,16 @@ def draw(rows: DataFrame, plan: DataFrame, key: str, stratum: str = "stratum", s
 
 def numbered(rows: DataFrame, letter: str, *order) -> DataFrame:
     """rows with sample_id: the letter and four digits from 0001, in order."""
-    return rows.withColumn("sample_id", F.format_string(f"{letter}%04d", F.row_number().over(Window.partitionBy().orderBy(*order))))
+    return number_rows(rows, "sample_id", *order).withColumn("sample_id", F.format_string(f"{letter}%04d", F.col("sample_id") + 1))
 
 
 def heldout(rows: DataFrame, floors: dict[str, int], quotas: dict[str, int], caps: dict[str, int], order: str = "key") -> DataFrame:
-    """Quota sampler over one small candidate list: floors of datasets first, then quotas of classes; soft caps of datasets hold
-    rows back, which then fill what is still open; a cap of 0 shuts a dataset out. Some hundreds of rows: one group."""
+    """Quota sampler: floors of datasets first, then quotas of classes; soft caps of datasets hold rows back, which then fill
+    what is still open; a cap of 0 shuts a dataset out.
+
+    Rows of the same dataset and class are taken in order, and never more of them than the floor and the quota together, so
+    only so many of each are looked at, however many there are; that list is one small group.
+    """
 
     def pick(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(order, kind="stable")
@@ -54,16 +59,20 @@ def heldout(rows: DataFrame, floors: dict[str, int], quotas: dict[str, int], cap
                 full = soft and r.dataset in caps and by_db.get(r.dataset, 0) >= caps[r.dataset]
                 if r.Index not in taken and not full and by_class.get(r.stratum, 0) < quotas.get(r.stratum, 0):
                     take(r)
-        return f.loc[[i for i in f.index if i in taken]].drop(columns="__all")
+        return f.loc[[i for i in f.index if i in taken]].drop(columns=["__all", "__k"])
+
+    def most(column: str, numbers: dict[str, int]):
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)), F.col(column)), F.lit(0)) if numbers else F.lit(0)
 
-    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(pick, rows.schema)
+    w = Window.partitionBy("dataset", "stratum").orderBy(order)
+    some = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most("dataset", floors) + most("stratum", quotas))
+    return some.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(pick, rows.schema)
 
 
 def agreement_subset(rows: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
     """A share of the rows, rounded half to even, at least one."""
     n = rows.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share)).cast("int").alias("n")).scalar()
-    w = Window.partitionBy().orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+    return number_rows(rows, "_k", F.xxhash64(key, F.lit(seed)), F.col(key)).filter(F.col("_k") < n).drop("_k")
 
 
 def without_gold(rows: DataFrame, gold: DataFrame, keys=("doc_id",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -128,7 +129,8 @@ def extract(passages: DataFrame, patterns: list[Pattern] | None = None, longest_
         for t in texts:
             yield pd.Series([extractor(x) for x in t])
 
-    out = passages.withColumn("_hits", find(text)).select(*passages.columns, F.posexplode("_hits").alias("hit_no", "_h"))
+    # so marked, it isn't run again for the filter that Spark infers below the explode
+    out = passages.withColumn("_hits", find.asNondeterministic()(text)).select(*passages.columns, F.posexplode("_hits").alias("hit_no", "_h"))
     return out.select(*passages.columns, "hit_no", "_h.*")
 
 
@@ -187,14 +189,14 @@ def tag(passages: DataFrame, tagger, text: str = "text") -> DataFrame:
         for t in texts:
             yield pd.Series([[(at + a, at + z, kind, score) for at, part in chunks_of(x or "") for a, z, kind, score in tagger(part)] for x in t])
 
-    out = passages.withColumn("_t", find(text)).select("*", F.posexplode("_t").alias("_n", "_h"))
+    out = passages.withColumn("_t", find.asNondeterministic()(text)).select("*", F.posexplode("_t").alias("_n", "_h"))
     surface = F.substr(text, F.col("_h.start") + 1, F.col("_h.end") - F.col("_h.start"))
     return out.select(*[c for c in passages.columns if c not in ("offset", text)], F.concat(F.lit("T"), (F.col("_n") + 1).cast("string")).alias("ann_id"), surface.alias("surface"), F.col("_h.entity_type").alias("entity_type"), (F.col("offset") + F.col("_h.start")).alias("offset"), (F.col("_h.end") - F.col("_h.start")).alias("length"), F.col("_h.score").alias("score"))
 
 
-def link_surfaces(surfaces: DataFrame, linker, mode: str = "full", short: int = 3, chunk: int = 5_000) -> DataFrame:
+def link_surfaces(surfaces: DataFrame, linker, mode: str = "full", short: int = 3, chunk: int = 5_000, tries: int = 2) -> DataFrame:
     """(surface, entity_type, identifier, linker_status) of distinct surfaces. linker(entity_type, surfaces) -> ids, in chunks
-    of one type; a chunk that fails gives predict_error rows. Mode short links surfaces of at most `short` characters, none no one."""
+    of one type; a chunk that fails `tries` times is logged and gives predict_error rows. Mode short links surfaces of at most `short` characters, none no one."""
     todo = surfaces.select("surface", "entity_type").distinct()
     todo = todo.filter(F.length("surface") <= short) if mode == "short" else todo.limit(0) if mode == "none" else todo
 
@@ -204,11 +206,14 @@ def link_surfaces(surfaces: DataFrame, linker, mode: str = "full", short: int =
                 names = sorted(part["surface"])
                 for k in range(0, len(names), chunk):
                     some = names[k : k + chunk]
-                    try:
-                        ids = linker(kind, some)
-                        status = ["ok" if i else "no_id" for i in ids]
-                    except Exception:
-                        ids, status = [None] * len(some), ["predict_error"] * len(some)
+                    ids, status = [None] * len(some), ["predict_error"] * len(some)
+                    for k in range(tries):
+                        try:
+                            ids = linker(kind, some)
+                            status = ["ok" if i else "no_id" for i in ids]
+                            break
+                        except Exception:  # whatever a linker raises is its chunk's failure, not the job's
+                            logging.getLogger(__name__).exception("linking %d surfaces of type %s failed, try %d", len(some), kind, k + 1)
                     yield pd.DataFrame({"surface": some, "entity_type": kind, "identifier": ids, "linker_status": status})
 
     return todo.repartition("entity_type", "surface").mapInPandas(run, "surface string, entity_type string, identifier string, linker_status string")

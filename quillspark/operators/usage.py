@@ -50,12 +50,12 @@ def by_class(base: DataFrame) -> DataFrame:
 
 def by_year(mentions: DataFrame, base: DataFrame, doc_years: DataFrame) -> DataFrame:
     """For each known year: documents with any mention, with a confirmed one, and with one of each class. One row a document
-    before the years are counted, so nothing fans out."""
+    and year before the years are counted, so nothing fans out and no distinct count is needed."""
     flags = {"n_deposit_rec": "deposited_research_record", "n_deposit_ent": "deposited_entity_registry", "n_curated": "curated_entity_registry", "n_derived": "derived_curated"}
     docs = base.groupBy("doc_id").agg(*(F.bool_or(F.col("class") == c).alias(k) for k, c in flags.items())).withColumn("_any", F.lit(True))
     years = doc_years.filter("year <> 'NA'").select("doc_id", "year").distinct()
     out = mentions.select("doc_id").distinct().join(years, "doc_id").join(docs, "doc_id", "left")
-    return out.groupBy("year").agg(F.count_distinct("doc_id").alias("n_docs_total"), F.count_distinct(F.when(F.col("_any"), F.col("doc_id"))).alias("n_docs_anydata"), *(F.count_distinct(F.when(F.col(k), F.col("doc_id"))).alias(k) for k in flags))
+    return out.groupBy("year").agg(F.count(F.lit(1)).alias("n_docs_total"), F.count("_any").alias("n_docs_anydata"), *(F.count_if(F.col(k)).alias(k) for k in flags))
 
 
 def rates(mentions: DataFrame, base: DataFrame) -> DataFrame:

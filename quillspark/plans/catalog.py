@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as X
 from ..operators import compare, concept, evaluate, extract, roles, usage, verify, windows
-from ..sources import articles, shards
+from ..sources import articles, places, shards
 from ..streaming import incremental
 from . import inputs as I
 from .inputs import rows, tidy
@@ -85,26 +85,27 @@ def id_kinds(spark, d):
     return concept.id_kinds(rows(spark, d, ANN))
 
 
-@query(f"SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL}) WHERE entity_type = 'en' UNION ALL SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL}) WHERE entity_type = 'fr'")
+@query(f"SELECT surface, entity_type, identifier, linker_status FROM ({DICT_SQL})")
 def dictionary_merge(spark, d):
     full = rows(spark, d, DICT)
     types = [r[0] for r in full.select("entity_type").distinct().collect()]
     return concept.merge_dictionaries([full.filter(F.col("entity_type").eqNullSafe(F.lit(t))) for t in types] or [full])
 
 
-TOKENS = "SELECT DISTINCT surface FROM (SELECT {each} AS surface FROM documents WHERE lang = 'en' UNION ALL SELECT * FROM (VALUES ('cox.cox'), ('Cox cox'), ('a.a'), ('abc1Then'), ('geneThese'), ('fooBarbaz'), ('.x,'), ('--gene.;'), ('p53'), ('.a'))) AS t WHERE surface <> ''"
-#: Of documents in all languages and scripts. The SQL keeps to TOKENS: English documents, and what is printable ASCII in them.
-ALL_TOKENS = TOKENS.replace(" WHERE lang = 'en'", "")
+TOKENS = "SELECT DISTINCT surface FROM (SELECT {each} AS surface FROM documents UNION ALL SELECT * FROM (VALUES ('cox.cox'), ('Cox cox'), ('a.a'), ('abc1Then'), ('geneThese'), ('fooBarbaz'), ('.x,'), ('--gene.;'), ('p53'), ('.a'))) AS t WHERE surface <> ''"
 
 
-@query(f"""WITH t AS ({TOKENS.format(each="unnest(string_split(regexp_replace(text, '[^ -~]+', ' ', 'g'), ' '))")}),
-a AS (SELECT surface, regexp_extract(surface, '^(\\w+)[.\\s]+(\\w+)$', 1) AS w1, regexp_extract(surface, '^(\\w+)[.\\s]+(\\w+)$', 2) AS w2, length(regexp_extract(surface, '(?s)^(.*?\\d)[A-Z][a-z]', 1)) AS digit, regexp_extract(surface, '(?s)^(.*?[a-z][a-z][a-z])[A-Z][a-z][a-z]', 1) AS head FROM t),
+DUCK_SPACE = r"\s\x1c-\x1f\x{85}\p{Z}"
+
+
+@query(f"""WITH t AS ({TOKENS.format(each="unnest(string_split_regex(text, '[" + DUCK_SPACE + "]+'))")}),
+a AS (SELECT surface, regexp_extract(surface, '^([\\p{{L}}\\p{{N}}_]+)[.{DUCK_SPACE}]+([\\p{{L}}\\p{{N}}_]+)$', 1) AS w1, regexp_extract(surface, '^([\\p{{L}}\\p{{N}}_]+)[.{DUCK_SPACE}]+([\\p{{L}}\\p{{N}}_]+)$', 2) AS w2, length(regexp_extract(surface, '(?s)^(.*?\\p{{Nd}})[A-Z][a-z]', 1)) AS digit, regexp_extract(surface, '(?s)^(.*?[a-z][a-z][a-z])[A-Z][a-z][a-z]', 1) AS head FROM t),
 b AS (SELECT *, CASE WHEN digit > 0 THEN substr(surface, 1, digit) WHEN head <> '' AND regexp_matches(substr(surface, length(head) + 1), '^(?:{"|".join(X.GLUED_TAILS)})') THEN head ELSE surface END AS split FROM a),
 c AS (SELECT *, regexp_replace(split, '[.,;:]+$', '') AS tail FROM b), d AS (SELECT *, regexp_replace(tail, '^[.,;:\\-]+', '') AS both_ends FROM c),
 e AS (SELECT surface, CASE WHEN w1 <> '' AND lower(w1) = lower(w2) THEN CASE WHEN length(w1) >= 2 THEN 'dup_word' ELSE 'none' END WHEN length(trim(both_ends)) <= 1 OR both_ends = surface THEN 'none' WHEN digit > 0 THEN 'num_upper_split' WHEN length(split) < length(surface) THEN 'lower_upper_split' WHEN length(tail) < length(split) THEN 'trailing_punct' ELSE 'leading_punct' END AS rule, w1, tail, both_ends FROM d)
 SELECT surface, CASE rule WHEN 'none' THEN surface WHEN 'dup_word' THEN w1 ELSE both_ends END AS clean, CAST(CASE WHEN rule IN ('none', 'dup_word') THEN 0 ELSE length(tail) - length(both_ends) END AS BIGINT) AS cut_left, CAST(CASE rule WHEN 'none' THEN 0 WHEN 'dup_word' THEN length(surface) - length(w1) ELSE length(surface) - length(tail) END AS BIGINT) AS cut_right, rule FROM e""")
 def clean_surface(spark, d):
-    t = rows(spark, d, ALL_TOKENS.format(each=f"explode(split(text, r'[{X.SPACE}]+'))"))
+    t = rows(spark, d, TOKENS.format(each=f"explode(split(text, r'[{X.SPACE}]+'))"))
     return t.withColumn("c", X.clean_surface(F.col("surface"))).select("surface", F.col("c.surface").alias("clean"), F.col("c.left").alias("cut_left"), F.col("c.right").alias("cut_right"), "c.rule")
 
 
@@ -638,7 +639,8 @@ FLAGSHIP_TEXT = I.DOCUMENT_TEXT
 
 def flagship(spark, d):
     """Texts with accessions to usage counts: extract, gate, candidates, existence by a table, confirmed mentions, entries."""
-    hits = extract.extract(rows(spark, d, I.DOCUMENT_TEXT))
+    # texts are read once: the hits are written, as three branches start from them
+    hits = places.written(extract.extract(rows(spark, d, I.DOCUMENT_TEXT)).select("doc_id", "db", "surface", "offset", "confidence"), "hits")
     gated = hits.withColumn("g", X.gate(F.col("db"), F.col("surface"))).filter("g.gate_pass").drop("g")
     known = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).try_cast("int") % 2 == 0)
     verified = verify.combine_graphs(usage.candidates(gated).withColumnsRenamed({"db": "dataset", "surface": "id"}), known.withColumnsRenamed({"db": "dataset", "surface": "id"}), known.limit(0).withColumnsRenamed({"db": "dataset", "surface": "id"}))

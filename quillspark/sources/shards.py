@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .places import number_rows
+
 
 def shard_id(number):
     return F.lpad(number.cast("string"), 6, "0")
 
 
 def plan(files: DataFrame, size: int = 500, path: str = "path") -> DataFrame:
-    """files with the shard_id of each, `size` files a shard in path order. Files are counted by blocks of their names' hash
-    only where needed: a listing is a small table, one row a file."""
-    n = F.row_number().over(Window.partitionBy().orderBy(path)) - 1
-    return files.withColumn("shard_id", shard_id(F.floor(n / size).cast("int")))
+    """files with the shard_id of each, `size` files a shard in path order; files are numbered by ranges of their paths."""
+    out = number_rows(files, "_file", path)
+    return out.withColumn("shard_id", shard_id(F.floor(F.col("_file") / size).cast("int"))).select(*files.columns, "shard_id")
 
 
 def select(planned: DataFrame, ids: list[str] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
