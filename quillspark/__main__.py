@@ -8,9 +8,9 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import usage, verify
+from .operators import evaluate, extract, roles, usage, verify, windows
 from .plans import catalog, jobs
-from .sources import connectors, shards, tables
+from .sources import shards, tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -28,9 +28,16 @@ def main(argv: list[str] | None = None) -> None:
     command("extract", out, ("--no-gate", {"action": "store_true"}), ("--drop", {"action": "store_true"}))
     command("candidates", out)
     command("inspect", out)
-    command("verify", out, ("--known", {"required": True, "help": "Parquet table (db, id)"}), ("--batch", {"type": int, "default": 400}))
+    command("verify", out, ("--known", {"required": True, "help": "Parquet table (db, id)"}))
     command("metrics", out, ("--verified", {"required": True}), ("--doc-year", {}))
     command("roles", out)
+    command("annotate", out, ("--names", {"required": True, "help": "TSV of names and their entity types"}))
+    command("aggregate", out)
+    command("link", out, ("--dictionary", {"required": True, "help": "TSV of entity types, surfaces and identifiers"}), ("--mode", {"choices": ["full", "short", "none"], "default": "full"}))
+    command("inject", out)
+    command("payloads", out, ("--per-chunk", {"type": int, "default": 20}), ("--system-text", {"default": ""}))
+    command("sample", ("--input", {"required": True, "help": "Parquet table with a column of strata"}), out, ("--size", {"type": int, "default": 200}), ("--key", {"required": True}), ("--stratum", {"default": "stratum"}))
+    command("evaluate", ("--gold", {"required": True}), ("--key", {"required": True}), out)
     command("query", ("name", {}), ("--data", {"required": True}), ("--rows", {"type": int, "default": 20}))
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"quillspark {a.command}").getOrCreate()
@@ -47,13 +54,33 @@ def main(argv: list[str] | None = None) -> None:
         usage.profile(spark.read.parquet(f"{a.out}/accessions"), "db", "category").orderBy(F.desc("n_rows")).show(40, False)
     elif a.command == "verify":
         c = tables.read_tsv(spark, f"{a.out}/candidates", tables.SCHEMAS["candidates"]).withColumnRenamed("surface", "id")
-        found = verify.look_up(c, connectors.known_table(spark.read.parquet(a.known)), a.batch)
+        found = verify.look_up_known(c, spark.read.parquet(a.known))
         tables.write_tsv(found.select(F.col("db").alias("dataset"), "id", F.when(F.col("answer") == "confirmed", "confirmed").otherwise("pending").alias("status"), F.lit("table").alias("oracle")), f"{a.out}/verified")
     elif a.command == "metrics":
         years = tables.read_tsv(spark, a.doc_year, tables.SCHEMAS["doc_year"]) if a.doc_year else None
         jobs.build_metrics(spark, a.out, tables.read_verified(spark, a.verified), years)
     elif a.command == "roles":
         jobs.build_roles(spark, a.out)
+    elif a.command == "annotate":
+        names = tables.read_tsv(spark, a.names, "name string, entity_type string").collect()  # a tagger's vocabulary goes to every task
+        jobs.annotate(spark, a.out, extract.DictionaryTagger({r["name"]: r["entity_type"] for r in names if r["name"]}))
+    elif a.command == "aggregate":
+        jobs.aggregate(spark, a.out)
+    elif a.command == "link":
+        jobs.link_known(spark, a.out, tables.read_tsv(spark, a.dictionary, "entity_type string, surface string, identifier string"), a.mode)
+    elif a.command == "inject":
+        jobs.inject(spark, a.out)
+    elif a.command == "payloads":
+        rows = roles.llm_rows(spark.read.parquet(f"{a.out}/role_prelim"))
+        tables.write_table(roles.payloads(rows, windows.best_window(spark.read.parquet(f"{a.out}/windows")), a.per_chunk, a.system_text), f"{a.out}/payloads")
+    elif a.command == "sample":
+        rows = spark.read.parquet(a.input)
+        strata = rows.groupBy(F.col(a.stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("stock"))
+        drawn = evaluate.draw(rows.withColumnRenamed(a.stratum, "stratum"), evaluate.allocate(strata, a.size), a.key)
+        tables.write_table(evaluate.numbered(drawn, "G", a.key), f"{a.out}/sample")
+    elif a.command == "evaluate":
+        pairs = evaluate.join_gold(spark.read.parquet(a.gold), spark.read.parquet(a.key)).filter("reason is null")
+        tables.write_table(evaluate.scores(pairs.select(F.col("gold_role").alias("gold"), F.col("model_role").alias("pred"))), f"{a.out}/scores")
     else:
         df = catalog.QUERIES[a.name](spark, a.data)
         for line in df.limit(a.rows).toJSON().collect():

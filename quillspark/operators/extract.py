@@ -207,13 +207,13 @@ def link_surfaces(surfaces: DataFrame, linker, mode: str = "full", short: int =
                 for k in range(0, len(names), chunk):
                     some = names[k : k + chunk]
                     ids, status = [None] * len(some), ["predict_error"] * len(some)
-                    for k in range(tries):
+                    for attempt in range(tries):
                         try:
                             ids = linker(kind, some)
                             status = ["ok" if i else "no_id" for i in ids]
                             break
                         except Exception:  # whatever a linker raises is its chunk's failure, not the job's
-                            logging.getLogger(__name__).exception("linking %d surfaces of type %s failed, try %d", len(some), kind, k + 1)
+                            logging.getLogger(__name__).exception("linking %d surfaces of type %s failed, try %d", len(some), kind, attempt + 1)
                     yield pd.DataFrame({"surface": some, "entity_type": kind, "identifier": ids, "linker_status": status})
 
     return todo.repartition("entity_type", "surface").mapInPandas(run, "surface string, entity_type string, identifier string, linker_status string")

@@ -80,6 +80,13 @@ def look_up(candidates: DataFrame, lookup: Lookup, batch: int = 400, cache: Data
     return asked.unionByName(candidates.select("db", "id").distinct().join(known, ["db", "id"]))
 
 
+def look_up_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(db, id, answer) of each candidate by a table (db, id) of any size: confirmed where it is known, else absent."""
+    there = known.select("db", "id").distinct().withColumn("_known", F.lit(True))
+    out = candidates.select("db", "id").distinct().join(there, ["db", "id"], "left")
+    return out.select("db", "id", F.when(F.col("_known"), "confirmed").otherwise("absent").alias("answer"))
+
+
 def combine_graphs(candidates: DataFrame, label_hits: DataFrame, native_hits: DataFrame) -> DataFrame:
     """candidates (dataset, id) with status and oracle: found by label, found natively, else pending. Nothing is absent here."""
     a = label_hits.select("dataset", "id").distinct().withColumn("_a", F.lit(True))

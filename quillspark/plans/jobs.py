@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -51,6 +52,15 @@ def link(spark: SparkSession, out: str, linker, mode: str = "full") -> None:
     tables.write_table(extract.link_surfaces(spark.read.parquet(f"{out}/unique_surfaces").filter("n_missing_id > 0"), linker, mode), f"{out}/identifier_dict")
 
 
+def link_known(spark: SparkSession, out: str, known: DataFrame, mode: str = "full", short: int = 3) -> None:
+    """As link, by a table (entity_type, surface, identifier) of any size instead of a linker; of several identifiers the
+    smallest counts."""
+    todo = spark.read.parquet(f"{out}/unique_surfaces").filter("n_missing_id > 0").select("surface", "entity_type").distinct()
+    todo = todo.filter(F.length("surface") <= short) if mode == "short" else todo.limit(0) if mode == "none" else todo
+    found = todo.join(known.groupBy("surface", "entity_type").agg(F.min("identifier").alias("identifier")), ["surface", "entity_type"], "left")
+    tables.write_table(found.withColumn("linker_status", F.when(F.col("identifier").isNull(), "no_id").otherwise("ok")), f"{out}/identifier_dict")
+
+
 def inject(spark: SparkSession, out: str) -> None:
     tables.write_table(concept.inject_ids(spark.read.parquet(f"{out}/annotations"), spark.read.parquet(f"{out}/identifier_dict")), f"{out}/injected")
 
@@ -85,6 +95,23 @@ def build_roles(spark: SparkSession, out: str) -> None:
     tables.write_table(roles.prelim(roles.roll_up(spark.read.parquet(f"{out}/windows"))), f"{out}/role_prelim")
 
 
+class StageClock:
+    """Seconds and rows of stages, measured while they run: the rows by an observation on the plan, so nothing is counted twice."""
+
+    def __init__(self):
+        self.stages: list[tuple[str, float, int]] = []
+
+    def write(self, name: str, df: DataFrame, path: str) -> None:
+        seen, began = Observation(name), time.perf_counter()
+        tables.write_table(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), path)
+        self.stages.append((name, time.perf_counter() - began, seen.get["n_rows"]))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(stage, seconds, n_rows, share of all seconds)."""
+        total = sum(s for _, s, _ in self.stages) or 1.0
+        return spark.createDataFrame([(n, s, r, s / total) for n, s, r in self.stages], "stage string, seconds double, n_rows long, share double")
+
+
 PHASES = ("preprocess", "extract", "annotate", "aggregate", "link", "inject", "candidates", "metrics", "roles")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -40,16 +41,61 @@ def _top_sections(e: ET.Element, inside: bool = False) -> Iterator[ET.Element]:
         yield from _top_sections(c, c.tag == "sec")
 
 
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<![A-Za-z][^>]*>?|<(?P<close>/?)(?P<name>[A-Za-z_][\w:.-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_ATTRIBUTE = re.compile(r"([A-Za-z_][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+
+
+def recover(xml: bytes) -> ET.Element | None:
+    """The tree of an article that isn't well-formed, as far as it goes: what isn't markup is text, entities that nobody
+    knows stay as they are, an end tag closes what is open inside its element, one without a start is passed over, and
+    what is open at the end is closed. None where there is no element."""
+    declared = re.search(rb"encoding=[\"']([A-Za-z0-9._-]+)", xml[:200])
+    try:
+        text = xml.decode(declared[1].decode() if declared else "utf-8", "replace")
+    except LookupError:
+        text = xml.decode("utf-8", "replace")
+    tree, open_, at, begun = ET.TreeBuilder(), [], 0, False
+    for m in _MARKUP.finditer(text):
+        if open_:
+            tree.data(html.unescape(text[at : m.start()]) + (m["data"] or ""))
+        at, name = m.end(), m["name"]
+        if not name or (begun and not open_):  # not an element, or behind the root
+            continue
+        if not m["close"]:
+            begun = True
+            tree.start(name, {k: html.unescape(a or b) for k, a, b in _ATTRIBUTE.findall(m["rest"])})
+            open_.append(name)
+            if not m["rest"].endswith("/"):
+                continue
+        elif name not in open_:
+            continue
+        while open_:
+            last = open_.pop()
+            tree.end(last)
+            if last == name:
+                break
+    if not begun:
+        return None
+    if open_:
+        tree.data(html.unescape(text[at:]))
+    for name in reversed(open_):
+        tree.end(name)
+    return tree.close()
+
+
 def parse_article(xml: bytes, stem: str) -> dict | None:
-    """The document of one article, or None where the XML is broken.
+    """The document of one article. XML that isn't well-formed is read as far as it can be; None where that gives no text.
 
     Passages in order: title, abstracts, top sections of the body (without titles, figures and tables right below them),
     figure captions, table captions; empty ones are left out. Offsets are code points in the whole document, with one
     between passages. Comments and processing instructions have no text.
     """
+    whole = True
     try:
         root = ET.fromstring(xml)
-    except ET.ParseError:
+    except (ET.ParseError, ValueError, LookupError):  # the last two: an encoding that nobody knows
+        root, whole = recover(xml), False
+    if root is None:
         return None
 
     def article_id(kind: str) -> str | None:
@@ -68,11 +114,13 @@ def parse_article(xml: bytes, stem: str) -> dict | None:
         if text:
             passages.append({"offset": at, "text": text, "infon": infon})
             at += len(text) + 1
+    if not (whole or passages):
+        return None
     return {"id": f"PMC{name}" if re.fullmatch(r"\d+", name) else name, "pmid": article_id("pmid"), "doi": article_id("doi"), "infon": {"journal": _text(root.find(".//journal-title")), "year": _text(root.find(".//pub-date/year"))}, "passages": passages}
 
 
 def parse_articles(files: DataFrame) -> DataFrame:
-    """files (path, content) with the document of each article; broken ones give no row."""
+    """files (path, content) with the document of each article; those without any text that can be read give no row."""
 
     @F.pandas_udf(DOCUMENT)
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
+import io
 import json
 import re
 import urllib.error
@@ -195,6 +197,36 @@ def sniff_delimiter(line: str, among: str = "\t,;|") -> str:
     return max(among, key=lambda d: (line.count(d), -among.index(d)))
 
 
+def fetch_first(urls: list[str], send: Transport = http, tries: int = 4, wait: float = 1.0) -> tuple[str, bytes]:
+    """The first of some addresses (http, https or ftp) of the same file that gives it, and its bytes; OSError names what each
+    of them said."""
+    said = []
+    for url in urls:
+        try:
+            status, body = fetch(url, None, None, send, tries, wait)
+        except OSError as e:
+            said.append(f"{url}: {e}")
+            continue
+        if status is None or status < 400:  # ftp has no status
+            return url, body
+        said.append(f"{url}: {status}")
+    raise OSError("; ".join(said) or "no address")
+
+
+def read_index(urls: list[str], send: Transport = http, tries: int = 4, wait: float = 1.0) -> list[dict[str, str]]:
+    """The rows of an index file, from the first address that gives it, or from the first data file that it links to where it
+    is a directory page; unpacked, with the delimiter of its header line. Empty files have no rows."""
+    url, body = fetch_first(urls, send, tries, wait)
+    text = maybe_gzip(body)
+    if "href=" in text:
+        links = index_links(text)
+        if not links:
+            return []
+        text = maybe_gzip(fetch_first([urllib.parse.urljoin(url, x) for x in links], send, tries, wait)[1])
+    head = text.partition("\n")[0]
+    return list(csv.DictReader(io.StringIO(text), delimiter=sniff_delimiter(head))) if head else []
+
+
 def known_table(df: DataFrame, most: int = 1_000_000) -> TableLookup:
     """A table (db, id) as a lookup. It travels with each task, so tables of more than `most` rows are refused: join those."""
     rows = df.select("db", "id").distinct().limit(most + 1).collect()
