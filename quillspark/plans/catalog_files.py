@@ -68,7 +68,7 @@ def jsonl_round_trip(spark, d):
     return tables.read_jsonl(spark, path, "doc_id long, lang string, text string")
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_size FROM part")
+@query("SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part")
 def tsv_round_trip(spark, d):
     path = _folder(spark, "tsv")
     tables.write_tsv(rows(spark, d, "SELECT p_partkey, p_name, p_brand, p_size FROM part"), path)
@@ -92,7 +92,7 @@ def pair_rows(spark, d):
     return tables.read_pairs(spark, _lines(spark, d, "SELECT '# a remark' AS value UNION ALL SELECT '' UNION ALL SELECT 'lonely' UNION ALL SELECT concat('db', l_suppkey % 5, chr(9), 'A', l_partkey, chr(9), l_linenumber) FROM lineitem", "pairs"))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def target_rows(spark, d):
     path = _folder(spark, "csv")
     rows(spark, d, "SELECT c_custkey, c_nationkey FROM customer").write.option("header", True).csv(path)
@@ -281,7 +281,7 @@ _ENTITIES = "SELECT DISTINCT l_orderkey AS doc_id, concat('db', CAST(l_suppkey %
 _MENTIONED = "SELECT l_orderkey AS doc_id, concat('db', CAST(l_suppkey % 3 AS STRING)) AS db, concat('P', CAST(l_partkey % 10 AS STRING)) AS surface, CASE WHEN l_linenumber % 2 = 0 THEN concat('P', CAST((l_partkey + 1) % 10 AS STRING)) END AS curie, concat('P', CAST((l_partkey + 2) % 10 AS STRING)) AS identifier, l_linenumber AS line FROM lineitem"
 
 
-@query(f"SELECT m.doc_id, e.dataset, m.surface, m.line, e.id, e.class FROM ({_MENTIONED}) AS m JOIN ({_ENTITIES}) AS e ON m.doc_id = e.doc_id AND m.db = e.dataset AND (e.id = m.surface OR e.id = m.curie OR e.id = m.identifier)")
+@query(f"SELECT m.doc_id, e.dataset, m.surface, CAST(m.line AS BIGINT) AS line, e.id, e.class FROM ({_MENTIONED}) AS m JOIN ({_ENTITIES}) AS e ON m.doc_id = e.doc_id AND m.db = e.dataset AND (e.id = m.surface OR e.id = m.curie OR e.id = m.identifier)")
 def entity_mentions(spark, d):
     return windows.member_mentions(rows(spark, d, _MENTIONED), rows(spark, d, _ENTITIES)).select("doc_id", "dataset", "surface", "line", "id", "class")
 
@@ -368,8 +368,8 @@ _SAME = "SELECT l_orderkey AS doc_id, lpad(CAST(l_partkey % {} AS STRING), 4, '0
 _OURS, _THEIRS = _SAME.format(40, "<= 4"), _SAME.format(60, ">= 2")
 
 
-@query(f"""WITH o AS (SELECT DISTINCT * FROM ({_OURS})), t AS (SELECT DISTINCT * FROM ({_THEIRS})), m AS (SELECT o.* FROM o JOIN t ON o.doc_id = t.doc_id AND o.surface = t.surface AND o.entity_type = t.entity_type),
-c AS (SELECT k.entity_type, (SELECT count(*) FROM o WHERE coalesce(o.entity_type = k.entity_type, true)) AS n_ours, (SELECT count(*) FROM t WHERE coalesce(t.entity_type = k.entity_type, true)) AS n_theirs, (SELECT count(*) FROM m WHERE coalesce(m.entity_type = k.entity_type, true)) AS n_matched FROM (VALUES ('gene'), ('disease'), (NULL)) AS k(entity_type))
+@query(f"""WITH o AS (SELECT DISTINCT *, 1 AS x FROM ({_OURS})), t AS (SELECT DISTINCT *, 1 AS y FROM ({_THEIRS})),
+c AS (SELECT entity_type, count(x) AS n_ours, count(y) AS n_theirs, count(*) FILTER (x = 1 AND y = 1) AS n_matched FROM o FULL JOIN t USING (doc_id, surface, entity_type) GROUP BY ROLLUP (entity_type))
 SELECT *, round(n_matched / n_theirs, 6) AS recall, round(n_matched / n_ours, 6) AS precision FROM c""")
 def match_scores(spark, d):
     o, t = rows(spark, d, _OURS), rows(spark, d, _THEIRS)
