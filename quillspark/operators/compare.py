@@ -55,18 +55,21 @@ def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> Dat
     left = a.withColumnRenamed("ours", "s").withColumn("side", F.lit(0)).unionByName(b.withColumnRenamed("theirs", "s").withColumn("side", F.lit(1)))
     left = left.join(exact.select("doc_id", "entity_type", F.col("ours").alias("s")), ["doc_id", "entity_type", "s"], "left_anti")
 
-    def greedy(f: pd.DataFrame) -> pd.DataFrame:
-        mine, used, out = sorted(f.s[f.side == 0]), set(), []
-        other = sorted(f.s[f.side == 1])
-        for x in mine:
-            for y in other:
-                if y not in used and min(len(x), len(y)) >= shortest and (x in y or y in x):
-                    used.add(y)
-                    out.append((f.doc_id.iloc[0], f.entity_type.iloc[0], x, y, "partial"))
-                    break
-        return pd.DataFrame(out, columns=["doc_id", "entity_type", "ours", "theirs", "kind"])
-
-    return exact.unionByName(left.groupBy("doc_id", "entity_type").applyInPandas(greedy, exact.schema))
+    mine, other = (F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("s")))) for k in (0, 1))
+    both = left.groupBy("doc_id", "entity_type").agg(mine.alias("mine"), other.alias("other")).filter((F.size("mine") > 0) & (F.size("other") > 0))
+    none = F.array().cast("array<struct<ours:string,theirs:string>>")
+
+    def fits(x, y):
+        return (F.least(F.length(x), F.length(y)) >= shortest) & (F.contains(x, y) | F.contains(y, x))
+
+    def take(state, x):
+        hit = F.get(F.filter(state["free"], lambda y: fits(x, y)), F.lit(0))
+        pair = F.struct(x.alias("ours"), hit.alias("theirs"))
+        return F.when(hit.isNull(), state).otherwise(F.struct(F.array_remove(state["free"], hit).alias("free"), F.concat(state["pairs"], F.array(pair)).alias("pairs")))
+
+    pairs = F.aggregate("mine", F.struct(F.col("other").alias("free"), none.alias("pairs")), take, lambda state: state["pairs"])
+    partial = both.select("doc_id", "entity_type", F.inline(pairs)).withColumn("kind", F.lit("partial"))
+    return exact.unionByName(partial)
 
 
 def match_scores(ours: DataFrame, theirs: DataFrame, matches: DataFrame) -> DataFrame:
