@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from . import fingerprints, mixing, near_dedup, packed_ids, pattern_packing, quality, substring_dedup, suffix_dedup, url_filter, warc
+from . import centroids, divergence, fingerprints, line_dedup, mixing, near_dedup, packed_ids, pattern_packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -23,11 +23,35 @@ QUERIES = {
     "op8_url_filter": url_filter.op8,
     "op9_mixing": mixing.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_centroids": centroids.op11,
+    "op12_divergence": divergence.op12,
+    "op13_line_dedup": line_dedup.op13,
     "pipeline": _pipeline,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, components: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """Vectors as (id, place, component), centroids likewise; one assignment and one mean a round."""
+    steps = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {components}),
+x AS (SELECT vec_id, unnest(range(1, {components + 1})) AS j, unnest(e) AS x FROM v),
+c0 AS (SELECT k, unnest(range(1, {components + 1})) AS j, unnest(e) AS c FROM (SELECT e, row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM v) WHERE k < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{i} ON x.j = c{i}.j GROUP BY vec_id, k),
+a{i} AS (SELECT vec_id, k, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM d{i}) WHERE r = 1)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN x ON a{i}.vec_id = x.vec_id GROUP BY k, j),
+c{i + 1} AS (SELECT c{i}.k, c{i}.j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{i} LEFT JOIN m{i} ON c{i}.k = m{i}.k AND c{i}.j = m{i}.j)""")
+    last = f"a{rounds}"
+    return f"""
+WITH {", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST({last}.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY {last}.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM {last} JOIN h ON {last}.k = h.k
+"""
+
+
 ORACLE = {
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -87,5 +111,33 @@ o AS (SELECT a.doc_id, count(x.j) AS n_removed, string_agg(CASE WHEN x.j IS NULL
   FROM a LEFT JOIN x ON a.doc_id = x.doc_id AND a.j = x.j GROUP BY a.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+""",
+    "op11_centroids": _lloyd_sql(),
+    "op12_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+z AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+b AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, coalesce(s.n, 0) AS m, z.v, k.total, z.n AS lang_n
+  FROM g JOIN k ON g.lang = k.lang JOIN z ON g.lang = z.lang LEFT JOIN s ON g.lang = s.lang AND g.source = s.source LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (CAST(n AS HUGEINT) + 2)) // (m + 2 * v) AS BIGINT) AS p, CAST(1 + (1000000000 * (CAST(total AS HUGEINT) + 2)) // (lang_n + 2 * v) AS BIGINT) AS q FROM b),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+u AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 10
+""",
+    "op13_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, r, unnest(range(1, len(l) + 1)) AS j, unnest(l) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM e),
+m AS (SELECT k, max(doc_id) AS keeper FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+n AS (SELECT doc_id, r, j, line, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN m ON k.k = m.k),
+a AS (SELECT doc_id, r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone) AS kept FROM n GROUP BY doc_id, r)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM a
 """,
 }
