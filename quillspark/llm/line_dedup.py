@@ -79,9 +79,10 @@ def apply_bitmap(text: Column, keep_runs: Column) -> Column:
 
 def drop_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with a last column `lines` (or `lines_`, …: a name that docs doesn't have), the struct of n_lines, n_dropped and
-    kept, the text that is left. The rules are those of keep_bitmaps; the bitmaps are joined to the texts by id and hash."""
+    kept, the text that is left. The rules are those of keep_bitmaps; the bitmaps are joined to the texts by id and hash,
+    always by a shuffle of both, as there can be a bitmap for every text."""
     out, doc, row, bits, t, kept = fresh(docs, "lines", "doc", "row", "bits", "t", "kept")
-    marks = written(keep_bitmaps(docs, least_chars, least_docs, id_column, text), "bitmaps").select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("keep_runs").alias(bits))
+    marks = written(keep_bitmaps(docs, least_chars, least_docs, id_column, text), "bitmaps").select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("keep_runs").alias(bits)).hint("shuffle_hash")
     own = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     met = own.join(marks, F.col(id_column).eqNullSafe(F.col(doc)) & (F.xxhash64(t) == F.col(row)), "left")
     n_gone = F.aggregate(bits, F.lit(0), lambda s, x: s + x) - F.aggregate(F.filter(bits, lambda x, i: i % 2 == 0), F.lit(0), lambda s, x: s + x)
