@@ -191,11 +191,13 @@ def _inside(whole: bytes, sure: bool = False) -> tuple[list[Record], list[tuple[
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload an earlier page has too, of at least so many bytes. Digests are
-    counted before they meet, so a payload that very many pages have costs one row a task there."""
-    keyed = pages.select("page_id", F.sha1(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).alias("d"), F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("n")).filter(F.col("n") >= least_bytes)
+    """(id, digest, refers_to) of the pages whose payload a page of a smaller id has too, of at least so many bytes. Digests
+    are counted before they meet, so a payload that very many pages have costs one row a task there. Pages without an id
+    refer to none and none refers to them."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    keyed = pages.select("page_id", F.sha1(html.cast("binary")).alias("d"), F.octet_length(html).alias("n")).filter(F.col("n") >= least_bytes)
     first = keyed.groupBy("d", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last")
-    return keyed.join(first, ["d", "n"]).filter("page_id > refers_to").select(F.col("page_id").alias("__id"), "refers_to").distinct()
+    return keyed.join(first, ["d", "n"]).filter("page_id > refers_to").select(F.col("page_id").alias("__id"), F.col("d").alias("__d"), "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> int:
@@ -203,11 +205,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
 
     folder: a URI that pyarrow can open on every executor. A task writes under a name of its own attempt and renames the
     file when it is whole; a task that runs again writes the same records under the same names. Null html is an empty
-    payload; rows with the same id are separate records; an empty table gives no archive.
+    payload; rows with the same id are separate records, each a response or revisit by its own payload, and equal rows of
+    the smallest id are all responses; rows without an id are responses; an empty table gives no archive.
     """
     again = revisits(pages, least_bytes)
     rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    rows = rows.join(again, rows["page_id"] == again["__id"], "left").drop("__id").repartition("page_id").sortWithinPartitions("page_id", "url", "html")
+    rows = rows.withColumn("d", F.sha1("html"))
+    rows = rows.join(again, (rows["page_id"] == again["__id"]) & (rows["d"] == again["__d"]), "left").drop("__id", "__d")
+    rows = rows.repartition("page_id", "d").drop("d").sortWithinPartitions("page_id", "url", "html")
 
     def run(batches):
         from pyarrow import fs
