@@ -93,11 +93,7 @@ l AS (SELECT min_by(level, filled) AS level FROM t WHERE level <= filled),
 g AS (SELECT t.source, t.source_size, greatest(CASE WHEN l.level IS NULL THEN cap ELSE least(cap, weight * l.level) END, 0) AS target FROM t, l),
 r AS (SELECT d.doc_id, d.source, d.h, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS raw FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 k AS (SELECT *, CASE WHEN abs(raw - round(raw)) < 1e-9 THEN round(raw) ELSE raw END AS rate FROM r),
-e AS (SELECT *, CAST(floor(rate) AS INTEGER) + CASE WHEN CAST(('0x' || substr(h, n + 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
-  FROM k, (SELECT unnest(range(0, 20)) AS n)),
-o AS (SELECT source, n, abs(sum(size * copies) - any_value(target)) AS off FROM e GROUP BY source, n),
-b AS (SELECT source, min(n) AS n FROM (SELECT *, min(off) OVER (PARTITION BY source) AS least FROM o) WHERE off = least GROUP BY source),
-c AS (SELECT e.* FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.n = b.n)
+c AS (SELECT *, CAST(floor(rate) AS INTEGER) + CASE WHEN CAST(('0x' || substr(h, 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM k)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, rate, copies FROM c
 """,
     "op10_substring_dedup": rf"""
