@@ -111,9 +111,10 @@ def test_sources_come_near_their_targets(spark, sf, scale):
     docs = table(spark, sf.replace("sf0.001", scale), "documents").select("doc_id", "text", "source")
     for some in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
         plan, part = mixing.plan_mix(some), F.col("rate") - F.floor("rate")
-        by = plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.sum(F.col("size") * F.col("size") * part * (1 - part)).alias("spread")).collect()
-        for r in by:  # a sum of independent draws
-            assert abs(r.taken - r.target) <= 3.5 * r.spread**0.5 + 1e-6, r
+        plan = plan.groupBy("source", "doc_id", "text").agg(F.sum("size").alias("size"), *(F.first(c).alias(c) for c in ("rate", "target", "copies")))  # equal rows are drawn alike
+        by = plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.sum(F.col("size") * F.col("size") * part * (1 - part)).alias("spread"), F.max("size").alias("largest")).collect()
+        for r in by:  # a sum of independent draws; near a whole rate, one rare draw of a large text
+            assert abs(r.taken - r.target) <= 3.5 * r.spread**0.5 + r.largest, r
         assert abs(sum(r.taken for r in by) - sum(r.target for r in by)) <= 3.5 * sum(r.spread for r in by) ** 0.5
 
 
