@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.literals import Scanner
 
 HITS = "array<struct<surface:string,db:string,category:string,identifier:string,curie:string,offset:int,length:int,confidence:string>>"
 
@@ -26,7 +27,6 @@ class Pattern:
     confidence: str
     context: tuple[str, ...]
     name: Callable[[str], tuple[str, str, str] | None]
-    marked: bool = False  # whether each match has a capital, a digit, an underscore or a colon
 
 
 def _catalog_name(db: str, uri: str | None):
@@ -53,56 +53,28 @@ def _hand_name(db: str, prefix: str):
 
 
 def catalog_patterns(rows=rules.CATALOG_PATTERNS) -> list[Pattern]:
-    return [Pattern(db, category, regex, "high", (), _catalog_name(db, uri), True) for db, category, regex, uri in rows]
+    return [Pattern(db, category, regex, "high", (), _catalog_name(db, uri)) for db, category, regex, uri in rows]
 
 
 def hand_patterns(rows=rules.HAND_PATTERNS) -> list[Pattern]:
-    return [Pattern(db, "", regex, confidence, words, _hand_name(db, prefix), True) for db, regex, prefix, confidence, words in rows]
-
-
-#: What a regex may match white space with.
-_MAY_SPAN = re.compile(r"(?<!\\)(?:\\\\)*(?: |\\[sWD]|\[\^|\.(?![^\[]*\]))")
-_WORD = re.compile(r"\S*[A-Z\d_:]\S*")
+    return [Pattern(db, "", regex, confidence, words, _hand_name(db, prefix)) for db, regex, prefix, confidence, words in rows]
 
 
 class Extractor:
     """Finds identifiers in one text. Matches are ordered by offset, then (if longest_first) by length, then confidence, then
     by the order of the patterns; each is kept if it overlaps none before it. Sorted by offset, that means it starts where
-    the last kept one has ended.
-
-    Prose is passed over quickly: a marked pattern that can't match white space is only tried inside words that have such a
-    mark, and there only if any of these patterns matches; the others are tried on the whole text.
+    the last kept one has ended. All patterns are looked for in one scan.
     """
 
     def __init__(self, patterns: list[Pattern], longest_first: bool = True):
         self.patterns, self.longest_first = patterns, longest_first
-        self.compiled: list[re.Pattern] | None = None
-
-    def _compile(self) -> None:
-        self.compiled = [re.compile(p.regex) for p in self.patterns]
-        within = [p.marked and not _MAY_SPAN.search(p.regex) for p in self.patterns]
-        self.inside, self.across = ([k for k, w in enumerate(within) if w == flag] for flag in (True, False))
-        self.any = re.compile("|".join(f"(?:{self.patterns[k].regex})" for k in self.inside)) if self.inside else None
-
-    def _matches(self, text: str) -> Iterator[tuple[int, int, int]]:
-        for k in self.across:
-            for m in self.compiled[k].finditer(text):
-                yield k, *m.span()
-        if self.any:
-            for w in _WORD.finditer(text):
-                a, z = w.span()
-                if self.any.search(text, a, z):
-                    for k in self.inside:
-                        for m in self.compiled[k].finditer(text, a, z):
-                            yield k, *m.span()
+        self.scanner = Scanner([p.regex for p in patterns])
 
     def __call__(self, text: str | None) -> list[tuple]:
-        if self.compiled is None:
-            self._compile()
         if not text:
             return []
         low, found = None, []
-        for k, a, z in self._matches(text):
+        for k, a, z in self.scanner.matches(text):
             p = self.patterns[k]
             if p.confidence == "context":
                 low = text.lower() if low is None else low
