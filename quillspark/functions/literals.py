@@ -108,8 +108,8 @@ class Scanner:
     """All matches of many patterns, as each pattern's own finditer() gives them, in one scan of a text.
 
     An Aho-Corasick automaton holds the beginnings of all patterns, and for patterns without any the literal that they need.
-    A pattern is tried only where one of its beginnings stands, or, if it only has a needed literal, in texts that hold it; the few with
-    neither are searched for in every text. Built at the first text, once in a worker.
+    A pattern is tried only where one of its beginnings stands, or, if it only has a needed literal, in texts that hold it;
+    the few with neither are searched for in every text. Built at the first text, once in a worker.
     """
 
     def __init__(self, regexes: list[str]):
@@ -123,7 +123,7 @@ class Scanner:
 
         self.compiled = [re.compile(x) for x in self.regexes]
         # a match that starts at a word's edge with a word character can't follow a word character
-        edged = [x.startswith(r"\b") for x in self.regexes]
+        edged = [list(_parser.parse(x))[:1] == [(C.AT, C.AT_BOUNDARY)] for x in self.regexes]
         at: dict[str, list[int]] = {}
         inside: dict[str, list[int]] = {}
         self.everywhere = []
