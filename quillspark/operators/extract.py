@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.literals import Scanner
+from .tagging import DictionaryTagger  # noqa: F401 (a tagger for tag())
 
 HITS = "array<struct<surface:string,db:string,category:string,identifier:string,curie:string,offset:int,length:int,confidence:string>>"
 
@@ -128,21 +129,6 @@ def has_context(text: Column, offset: Column, length: Column, words, reach: int
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(near, w))
 
 
-class DictionaryTagger:
-    """A tagger behind the annotator interface: text -> [(start, end, entity type, score)], longest first, whole words. It stands
-    in for a neural model, which is loaded in the same place: the first call in each worker."""
-
-    def __init__(self, names: dict[str, str]):
-        self.names, self.compiled = names, None
-
-    def __call__(self, text: str) -> list[tuple[int, int, str, float]]:
-        if not self.names:
-            return []
-        if self.compiled is None:
-            self.compiled = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(self.names, key=lambda n: (-len(n), n))) + r")(?!\w)")
-        return [(m.start(), m.end(), self.names[m[0]], 1.0) for m in self.compiled.finditer(text or "")]
-
-
 def chunks_of(text: str, most: int = 900_000) -> list[tuple[int, str]]:
     """(offset, chunk) of a long text, cut behind a line, else a sentence, else a space, else anywhere."""
     out, at = [], 0
