@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as X
-from ..operators import compare, concept, evaluate, extract, roles, usage, verify, windows
+from ..operators import compare, concept, evaluate, extract, linking, roles, tagging, usage, verify, windows
 from ..sources import articles, places, shards
 from ..streaming import incremental
 from . import inputs as I
@@ -178,6 +178,35 @@ def hand_extract(spark, d):
     return extract.extract(rows(spark, d, I.HAND_TEXT), extract.hand_patterns(), longest_first=False).select("doc_id", "db", "surface", "identifier", "confidence")
 
 
+# words as \w sees them: letters and numbers of all scripts
+_NAMES_SQL = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{4,}')) AS name FROM benchmark"
+
+
+@query(rf"""SELECT doc_id, name AS surface, 'w' || length(name) AS entity_type, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS word FROM documents) AS d JOIN ({_NAMES_SQL}) AS v ON word = name GROUP BY doc_id, name""")
+def dictionary_tagging(spark, d):
+    names = rows(spark, d, r"SELECT DISTINCT explode(regexp_extract_all(text, '([\\p{L}\\p{N}_]{4,})', 1)) AS name FROM benchmark").withColumn("entity_type", F.concat(F.lit("w"), F.length("name").cast("string")))
+    return tagging.tag_names(rows(spark, d, "SELECT doc_id, text FROM documents"), names).groupBy("doc_id", "surface", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# the same cosines by a plain join of n-grams; a surface's best name
+_GRAMS = "SELECT id, kind, unnest(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3))) AS g FROM (SELECT name AS id, kind, '^' || lower(name) || '$' AS x FROM ({}))"
+_LINK_NAMES, _LINK_SURFACES = _NAMES_SQL.replace(" AS name", " AS name, 'w' AS kind"), r"SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{6,}')) AS name, 'w' AS kind FROM conversations"
+
+
+@query(f"""WITH n AS (SELECT id, g, count(*) AS tf FROM ({_GRAMS.format(_LINK_NAMES)}) GROUP BY id, g), s AS (SELECT id, g, count(*) AS tf FROM ({_GRAMS.format(_LINK_SURFACES)}) GROUP BY id, g),
+t AS (SELECT count(DISTINCT id) AS t FROM n), f AS (SELECT g, ln((1.0::DOUBLE + any_value(t)) / (1.0::DOUBLE + count(*))) + 1.0 AS idf FROM n, t GROUP BY g),
+v AS (SELECT id, n.g, tf * idf AS w FROM n JOIN f ON n.g = f.g), q AS (SELECT id, s.g, tf * coalesce(idf, ln(1.0::DOUBLE + t) + 1.0) AS w FROM s LEFT JOIN f ON s.g = f.g, t),
+vn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id), qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM q GROUP BY id),
+p AS (SELECT q.id AS surface, v.id AS name, sum(q.w * v.w) AS dot FROM q JOIN v ON q.g = v.g GROUP BY q.id, v.id),
+c AS (SELECT surface, name, round(dot / qn.norm / vn.norm, 9) AS score FROM p JOIN qn ON qn.id = surface JOIN vn ON vn.id = name),
+r AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY score DESC, name) AS rank FROM c WHERE score >= 0.5)
+SELECT surface, name, round(score, 6) AS score FROM r WHERE rank = 1""")
+def surface_linking(spark, d):
+    names = rows(spark, d, r"SELECT DISTINCT explode(regexp_extract_all(text, '([\\p{L}\\p{N}_]{4,})', 1)) AS name FROM benchmark").select(F.col("name").alias("identifier"), F.lit("w").alias("entity_type"), "name")
+    surfaces = rows(spark, d, r"SELECT DISTINCT explode(regexp_extract_all(text, '([\\p{L}\\p{N}_]{6,})', 1)) AS surface FROM conversations").withColumn("entity_type", F.lit("w"))
+    return linking.candidates(surfaces, names, 1, 0.5).select("surface", "name", "score")
+
+
 @query()
 def overlap_resolve(spark, d):
     h = rows(spark, d, "SELECT l_orderkey AS doc_id, CAST(l_partkey % 100 AS INT) AS `offset`, CAST(l_quantity AS INT) AS length, CASE WHEN l_returnflag = 'A' THEN 'high' ELSE 'context' END AS confidence, l_suppkey * 10 + l_linenumber AS pattern_no FROM lineitem")

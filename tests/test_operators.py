@@ -49,14 +49,14 @@ def test_extraction_shadowing_and_ties():
 
 def test_extraction_equals_plain_scans():
     import random
+    import re
 
     r = random.Random(7)
     bits = ["GSE12", "AT1G12345", "AT G12345", "EC 1.2.3.4", "EC:1.1.1.1", "10.1234/ab.c", "PDB", "1abc", "uniprot", "P12345", "P12345-2", "MGI:123456", "CVCL:ABCD", "ORDO:XY", "tA:AGC)B", "x_at", "123_at", "word", "(", ")", ".", ",", "-", "Ensembl", "ENSG00000000001.2", "é"]
     for patterns, longest in ((extract.catalog_patterns(), True), (extract.hand_patterns(), False)):
         fast, slow = extract.Extractor(patterns, longest), extract.Extractor(patterns, longest)
-        slow._compile()
-        slow.any, slow.across = None, range(len(patterns))
-        assert fast("x") == [] and len(fast.inside) > len(patterns) / 2
+        slow.scanner.matches = lambda text, patterns=patterns: ((k, *m.span()) for k, p in enumerate(patterns) for m in re.finditer(p.regex, text))
+        assert fast("x") == []
         for _ in range(400):
             t = "".join(r.choice(bits) + r.choice([" ", "\n", "", "; "]) for _ in range(25))
             assert fast(t) == slow(t), t
