@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.places import written
 
 # Greek letters by name.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "π": "pi", "σ": "sigma", "τ": "tau", "ω": "omega"}
@@ -47,28 +48,40 @@ def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> Dat
     """One-to-one matches (doc_id, entity_type, ours, theirs, kind) of surfaces of a document and type.
 
     Equal ones are exact. Of what is left, pairs where one contains the other (at least `shortest` characters) are taken
-    greedily, in the order of our and then their surface, so the result doesn't depend on the order of rows. Only surfaces
-    of the same document and type meet, in one group each: a document's surfaces bound it.
-    """
-    a, b = ours.select("doc_id", "entity_type", F.col("surface").alias("ours")).distinct(), theirs.select("doc_id", "entity_type", F.col("surface").alias("theirs")).distinct()
-    exact = a.join(b, (a["doc_id"] == b["doc_id"]) & (a["entity_type"] == b["entity_type"]) & (F.col("ours") == F.col("theirs"))).select(a["doc_id"], a["entity_type"], "ours", "theirs", F.lit("exact").alias("kind"))
-    left = a.withColumnRenamed("ours", "s").withColumn("side", F.lit(0)).unionByName(b.withColumnRenamed("theirs", "s").withColumn("side", F.lit(1)))
-    left = left.join(exact.select("doc_id", "entity_type", F.col("ours").alias("s")), ["doc_id", "entity_type", "s"], "left_anti")
-
-    mine, other = (F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("s")))) for k in (0, 1))
-    both = left.groupBy("doc_id", "entity_type").agg(mine.alias("mine"), other.alias("other")).filter((F.size("mine") > 0) & (F.size("other") > 0))
-    none = F.array().cast("array<struct<ours:string,theirs:string>>")
-
-    def fits(x, y):
-        return (F.least(F.length(x), F.length(y)) >= shortest) & (F.contains(x, y) | F.contains(y, x))
-
-    def take(state, x):
-        hit = F.get(F.filter(state["free"], lambda y: fits(x, y)), F.lit(0))
-        pair = F.struct(x.alias("ours"), hit.alias("theirs"))
-        return F.when(hit.isNull(), state).otherwise(F.struct(F.array_remove(state["free"], hit).alias("free"), F.concat(state["pairs"], F.array(pair)).alias("pairs")))
+    greedily, in the order of our and then their surface, so the result doesn't depend on the order of rows. Null surfaces
+    match nothing.
 
-    pairs = F.aggregate("mine", F.struct(F.col("other").alias("free"), none.alias("pairs")), take, lambda state: state["pairs"])
-    partial = both.select("doc_id", "entity_type", F.inline(pairs)).withColumn("kind", F.lit("partial"))
+    A surface can only stand in those that have all of its n-grams. It is joined by that n-gram which the fewest surfaces of
+    the other side have, in its document and type, and not at all if none has it; so work follows the pairs that exist, not
+    the square of a document's surfaces. Only these pairs are gathered by document and type, for the greedy choice.
+    """
+    keys = ["doc_id", "entity_type"]
+    sides = [df.select(*keys, F.col("surface").alias("s"), F.lit(k).alias("side")) for k, df in enumerate((ours, theirs))]
+    both = sides[0].unionByName(sides[1]).filter("s is not null").groupBy(*keys, "s").agg(F.min("side").alias("side"), F.max("side").alias("other"))
+    both = written(both, "surfaces")
+    exact = both.filter("side <> other").select(*keys, F.col("s").alias("ours"), F.col("s").alias("theirs"), F.lit("exact").alias("kind"))
+
+    n = max(1, min(3, shortest))
+    left = both.filter("side = other").select(F.struct(*keys).alias("group"), "s", "side").filter(F.length("s") >= n)
+    grams = left.select("group", "side", "s", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - (n - 1)), lambda i: F.substr("s", i, F.lit(n))))).alias("gram"))
+    grams = written(grams, "grams")
+    numbers = grams.groupBy("group", "side", "gram").agg(F.count(F.lit(1)).alias("n")).select("group", (1 - F.col("side")).alias("side"), "gram", "n")
+    asked = grams.filter(F.length("s") >= shortest).join(numbers, ["group", "side", "gram"], "left").groupBy("group", "side", "s").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent")).filter("absent = 0")
+    asked = asked.select("group", (1 - F.col("side")).alias("side"), "gram", F.col("s").alias("short"))
+    pairs = grams.join(asked, ["group", "side", "gram"]).filter(F.contains("s", "short"))
+    # side is that of the longer surface
+    pairs = pairs.select("group.*", F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("short")).alias("ours"), F.when(F.col("side") == 0, F.col("short")).otherwise(F.col("s")).alias("theirs"))
+
+    def choose(f: pd.DataFrame) -> pd.DataFrame:
+        mine, taken, keep = set(), set(), []
+        for k, x, y in sorted(zip(range(len(f)), f["ours"], f["theirs"], strict=True), key=lambda p: p[1:]):
+            if x not in mine and y not in taken:
+                mine.add(x)
+                taken.add(y)
+                keep.append(k)
+        return f.iloc[keep]
+
+    partial = pairs.groupBy(*keys).applyInPandas(choose, pairs.schema).withColumn("kind", F.lit("partial"))
     return exact.unionByName(partial)
 
 
@@ -107,15 +120,43 @@ def align_catalogs(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def nearest_label(names: DataFrame, labels: list[str], least: float = 0.6) -> DataFrame:
-    """names (name) with the most alike label, by matching blocks, from `least` on; null if none is. labels is a catalog of some hundreds."""
+def _letters(column):
+    """The characters of a string as a set: each with its number among equal ones, so that common letters count as often as
+    both sides have them."""
+    chars = F.split(column, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
 
-    @F.pandas_udf("string")
-    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda n: next(iter(difflib.get_close_matches(n or "", labels, 1, least)), None))
 
-    return names.withColumn("nearest", near("name"))
+def nearest_label(names: DataFrame, labels: DataFrame, least: float = 0.6) -> DataFrame:
+    """Each distinct name (name) with `nearest`, the most alike label (label), and `ratio`, twice the length of matching blocks by
+    both lengths, of at least `least`; of equally alike ones the last in order; null if there is none. Null and empty names
+    and labels are like nothing.
+
+    A similarity join without comparing all pairs: matching blocks hold no more characters than both strings share, so a
+    pair must share least / 2 of both lengths. Then its lengths are alike, and of each string's characters, the rarest first,
+    one among the first few must be common. What meets there and shares enough is compared exactly.
+    """
+    n = names.select("name").distinct()
+    sides = [df.select(F.col(c).cast("string").alias("s")).filter("s <> ''").distinct().withColumn("letters", _letters(F.col("s"))) for c, df in (("name", names), ("label", labels))]
+    rows = written(sides[0].withColumn("side", F.lit(0)).unionByName(sides[1].withColumn("side", F.lit(1))), "letters")
+    tokens = rows.select("side", "s", F.explode("letters").alias("token"))
+    numbers = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    share = least / (2.0 - least)  # of its own characters, at least, for any length of the other
+    ordered = F.array_sort(F.collect_list(F.struct("n", "token")))
+    size = F.size("order")
+    first = tokens.join(numbers, "token").groupBy("side", "s").agg(ordered.alias("order")).withColumn("first", F.slice("order", F.lit(1), size - F.ceil(size * share - 1e-9).cast("int") + 1))
+    first = written(first.select("side", "s", F.col("first.token").alias("first"), F.col("order.token").alias("all")), "prefixes")
+    a, b = (first.filter(F.col("side") == k).select(F.col("s").alias(x), F.col("first").alias(f"f{k}"), F.col("all").alias(f"l{k}"), F.explode("first").alias("token")) for k, x in ((0, "name"), (1, "label")))
+    met = a.join(b, "token").filter(F.array_max(F.array_intersect("f0", "f1")) == F.col("token"))  # a pair at one of its tokens
+    enough = 2 * F.size(F.array_intersect("l0", "l1")) >= least * (F.size("l0") + F.size("l1")) - 1e-9
+    met = met.filter(enough).select("name", "label")
+
+    @F.pandas_udf("double")
+    def ratio(name: pd.Series, label: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(name, label, strict=True)], dtype=float)
+
+    best = met.withColumn("ratio", ratio("name", "label")).filter(F.col("ratio") >= least).groupBy("name").agg(F.max(F.struct("ratio", "label")).alias("best"))
+    return n.join(best.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"), "left").select("name", F.col("best.label").alias("nearest"), F.col("best.ratio").alias("ratio"))
 
 
 def class_matrix(sides: DataFrame) -> DataFrame:

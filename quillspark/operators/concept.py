@@ -130,8 +130,38 @@ def offset_round_trip(annotations: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def overlapping(tokens: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Pairs of a token and an annotation of the same document whose code points overlap: (doc_id, t_start, t_end, a_start, a_end)."""
-    return tokens.join(annotations, "doc_id").filter("a_start < t_end and a_end > t_start")
+    """Pairs of a token (t_start, t_end) and an annotation (a_start, a_end) of the same document (doc_id) whose code points
+    overlap: a_start < t_end and a_end > t_start. Rows with a null bound, or without a document, overlap nothing.
+
+    An interval join by sizes: of a pair, the longer one lies in at most two buckets of the power of two above its length,
+    and the shorter one looks for it in the at most two buckets of that width that it touches itself. So intervals meet only
+    where they are near by the longer one's measure, however many a document has and however long some are; a document
+    spreads over as many tasks as it has buckets. Each pair is given by the bucket of its later start.
+    """
+    def sized(df, start, end):
+        low, high = F.least(start, end).cast("long"), F.greatest(start, end).cast("long")
+        df = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col("doc_id").isNotNull())
+        return df.withColumns({"_low": low, "_high": high}).withColumn("_size", F.length(F.bin(F.col("_high") - F.col("_low"))))
+
+    t, a = sized(tokens, "t_start", "t_end"), sized(annotations, "a_start", "a_end")
+    # at most 64 sizes on each side
+    t_sizes, a_sizes = (sorted(r["_size"] for r in df.select("_size").distinct().collect()) for df in (t, a))
+
+    def in_buckets(df, sizes, low):
+        df = df.withColumn("_at", F.explode(sizes)).select("*", F.explode(F.expr("sequence(shiftright(_low, _at), shiftright(_high, _at))")).alias("_bucket"))
+        return df.drop("_size", "_high").withColumnRenamed("_low", low)
+
+    def larger(sizes):
+        return F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda x: x > F.col("_size"))
+
+    own = F.array("_size")
+    # annotations that are the longer ones, or as long, and then tokens that are
+    parts = ((in_buckets(a, own, "_a"), in_buckets(t, F.concat(own, larger(a_sizes)), "_t")), (in_buckets(a, larger(t_sizes), "_a"), in_buckets(t, own, "_t")))
+    out = None
+    for x, y in parts:
+        met = y.join(x, ["doc_id", "_at", "_bucket"]).filter("a_start < t_end and a_end > t_start and _bucket = shiftright(greatest(_a, _t), _at)").drop("_at", "_bucket", "_a", "_t")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def kept_tokens(before: DataFrame, after: DataFrame, pattern: str = r"(\w+_\w+)") -> DataFrame:

@@ -615,7 +615,8 @@ def surface_match(spark, d):
 
 @query()
 def nearest_label(spark, d):
-    return compare.nearest_label(rows(spark, d, "SELECT DISTINCT p_name AS name FROM part"), ["small ring", "large bolt", "medium gear"])
+    labels = rows(spark, d, "SELECT DISTINCT concat(p_name, CASE p_size % 5 WHEN 0 THEN ' s' WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE p_brand END) AS label FROM part")
+    return compare.nearest_label(rows(spark, d, "SELECT p_name AS name FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT n_name FROM nation"), labels)
 
 
 @query("SELECT DISTINCT p_brand AS name, 'ours' AS side, contains(p_brand, '2') AS overlap FROM part UNION ALL SELECT DISTINCT 'x' || p_brand, 'theirs', contains(p_brand, '2') FROM part")

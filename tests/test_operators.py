@@ -242,7 +242,7 @@ def test_compare(spark):
     assert top == {"g": (2, 0.67), None: (2, 0.67)}
     n = spark.createDataFrame([("ＴＰ53–α ",), (None,)], "s string").select(compare.normal_surface("s")).collect()
     assert [r[0] for r in n] == ["tp53-alpha", None]
-    assert compare.nearest_label(spark.createDataFrame([("uniprt",), ("zzz",)], "name string"), ["uniprot", "pfam"]).select("nearest").collect()[0][0] == "uniprot"
+    assert compare.nearest_label(spark.createDataFrame([("uniprt",), ("zzz",)], "name string"), spark.createDataFrame([("uniprot",), ("pfam",)], "label string")).filter("name = 'uniprt'").select("nearest").first()[0] == "uniprot"
 
 
 def test_tagging(spark):

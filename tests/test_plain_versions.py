@@ -1,12 +1,13 @@
 """Queries that SQL can't express, held to plain versions over the whole of their tables."""
 
 import difflib
+import random
 from collections import defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.operators import windows
+from quillspark.operators import compare, concept, windows
 from quillspark.plans import catalog
 from quillspark.plans.inputs import rows
 
@@ -36,14 +37,95 @@ def test_surface_match(spark, sf, result):
     assert {r[4] for r in got} == {"exact", "partial"}
 
 
-def test_nearest_label(result):
-    got = result("nearest_label")
-    labels = ["small ring", "large bolt", "medium gear"]
-    for name, nearest in ((r["name"], r["nearest"]) for r in got):
-        ratio = {x: difflib.SequenceMatcher(None, x, name).ratio() for x in labels}
-        assert (nearest is None) == (max(ratio.values()) < 0.6)
-        assert nearest is None or ratio[nearest] == max(ratio.values())
-    assert {r["nearest"] for r in got} - {None}
+def alike(names, labels, least=0.6):
+    out = {}
+    for n in set(names):
+        scored = [(difflib.SequenceMatcher(None, x, n).ratio(), x) for x in set(labels) if x and n]
+        best = max((s for s in scored if s[0] >= least), default=(None, None))
+        out[n] = best[::-1]
+    return out
+
+
+def test_nearest_label(spark, sf, result):
+    names = [r[0] for r in rows(spark, sf, "SELECT p_name FROM part UNION SELECT p_type FROM part UNION SELECT n_name FROM nation").collect()]
+    labels = [r[0] for r in rows(spark, sf, "SELECT DISTINCT concat(p_name, CASE p_size % 5 WHEN 0 THEN ' s' WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE p_brand END) FROM part").collect()]
+    got = {r["name"]: (r["nearest"], r["ratio"]) for r in result("nearest_label")}
+    want = alike(names, labels)
+    assert got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {v[0] for v in want.values()} - {None} and None in {v[0] for v in want.values()}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.85, 1.0])
+def test_nearest_labels_of_random_names(spark, least):
+    r = random.Random(8)
+    names = ["".join(r.choices("abcé d", k=r.randrange(0, 14))) for _ in range(150)] + [None, "", "x" * 300, "same", "ab" * 110]
+    labels = ["".join(r.choices("abcé d", k=r.randrange(1, 14))) for _ in range(120)] + [None, "", "same", "Same", "x" * 290 + "y", "ba" * 110]
+    out = compare.nearest_label(spark.createDataFrame([(n, 1) for n in names], "name string, ratio int"), spark.createDataFrame([(x, 2) for x in labels], "label string, name int"), least)
+    got = {x["name"]: x["nearest"] for x in out.collect()}
+    want = alike([n for n in names if n is not None], [x for x in labels if x], least)
+    assert got == {k: v[0] for k, v in want.items()} | {None: None}
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in physical and "NestedLoop" not in physical
+
+
+def greedy(ours, theirs, shortest=3):
+    equal = ours & theirs
+    out, free = {(s, s, "exact") for s in equal}, sorted(theirs - equal)
+    for s in sorted(ours - equal):
+        hit = next((t for t in free if min(len(s), len(t)) >= shortest and (s in t or t in s)), None)
+        if hit is not None:
+            free.remove(hit)
+            out.add((s, hit, "partial"))
+    return out
+
+
+@pytest.mark.parametrize("shortest", [1, 2, 3, 5])
+def test_surfaces_of_random_documents(spark, shortest):
+    r = random.Random(9)
+    sides = [[(d, k, "".join(r.choices("abé ", k=r.randrange(0, 9)))) for _ in range(500) for d in [r.choice([1, 2, None])] for k in [r.choice(["g", None])]] + [(1, "g", None), (3, "g", "alone"), (4, "g", "abab"), (4, "g", "abab")] for _ in range(2)]
+    got = compare.match_surfaces(*(spark.createDataFrame(x, "doc_id int, entity_type string, surface string") for x in sides), shortest=shortest).collect()
+    want = set()
+    for key in {x[:2] for side in sides for x in side}:
+        a, b = ({x[2] for x in side if x[:2] == key and x[2] is not None} for side in sides)
+        want |= {(*key, *m) for m in greedy(a, b, shortest)}
+    plain = {tuple(x) for x in got}
+    assert len(got) == len(plain)
+    assert {x for x in plain if None not in x[:2]} == {x for x in want if None not in x[:2]}
+
+
+def test_twenty_thousand_surfaces_of_one_document(spark):
+    names = [f"protein {i * 7919 % 99_991} kinase" for i in range(20_000)]
+    ours = spark.createDataFrame([(1, "g", x) for x in names], "doc_id int, entity_type string, surface string")
+    theirs = spark.createDataFrame([(1, "g", x[3:-3]) for x in names], "doc_id int, entity_type string, surface string")
+    out = compare.match_surfaces(ours, theirs)
+    assert out.count() >= 19_000
+
+
+@pytest.mark.parametrize("kind", ["short", "mixed", "odd"])
+def test_intervals(spark, kind):
+    r = random.Random(10)
+
+    def spans(n):
+        for _ in range(n):
+            a = r.randrange(-50, 2_000)
+            size = r.choice([1, 2, 3, 9]) if kind == "short" else r.choice([0, 1, 3, 8, 40, 1_000]) if kind == "mixed" else r.randrange(-20, 60)
+            yield r.choice([1, 2, None]), a, a + size
+
+    t, a = [*spans(400), (1, None, 3), (1, 0, 1)], [*spans(300), (1, 5, None), (1, 0, 1)]
+    out = concept.overlapping(spark.createDataFrame([(*x, "m") for x in t], "doc_id int, t_start long, t_end long, _note string"), spark.createDataFrame(a, "doc_id int, a_start int, a_end int"))
+    assert out.columns == ["doc_id", "t_start", "t_end", "_note", "a_start", "a_end"]
+    got = sorted((x.doc_id, x.t_start, x.t_end, x.a_start, x.a_end) for x in out.collect())
+    want = sorted((d, s, e, b, f) for d, s, e in t for c, b, f in a if d is not None and d == c and None not in (s, e, b, f) and b < e and f > s)
+    assert got == want and len(want) > 50
+
+
+def test_a_document_of_very_many_spans(spark):
+    n = 200_000
+    t = spark.range(n).selectExpr("1 AS doc_id", "id * 6 AS t_start", "id * 6 + 5 AS t_end")
+    a = spark.range(n).selectExpr("1 AS doc_id", "id * 6 + 2 AS a_start", "id * 6 + IF(id % 50000 = 0, 60000, 7) AS a_end")
+    out = concept.overlapping(t, a)
+    want = 2 * (n - 4) - 1 + 4 * 10_000 + 0  # each short one meets its own token and the next; the four long ones 10,000 each
+    assert abs(out.count() - want) <= 4
 
 
 def test_overlap_resolve(spark, sf, result):
