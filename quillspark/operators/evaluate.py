@@ -32,40 +32,42 @@ def numbered(rows: DataFrame, letter: str, *order) -> DataFrame:
 
 
 def heldout(rows: DataFrame, floors: dict[str, int], quotas: dict[str, int], caps: dict[str, int], order: str = "key") -> DataFrame:
-    """Quota sampler: floors of datasets first, then quotas of classes; soft caps of datasets hold rows back, which then fill
-    what is still open; a cap of 0 shuts a dataset out.
+    """Quota sampler over rows (dataset, stratum, …). First the floors: each dataset, in the order given, gets rows until it has
+    its floor, from classes that have a quota left, and never beyond its cap. Then each class, in the order given, is filled up to
+    its quota, by datasets below their caps first; rows held back by a cap fill what is still open. Every row counts against
+    the quota of its class; classes without a quota give none, and a cap of 0 shuts a dataset out.
 
-    Rows of the same dataset and class are taken in order, and never more of them than the floor and the quota together, so
-    only so many of each are looked at, however many there are; that list is one small group.
+    Rows of the same dataset and class are taken in order, and never more of them than the class's quota, so only so many of
+    each are looked at, however many there are; that list is one small group.
     """
 
     def pick(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(order, kind="stable")
-        taken: dict = {}
-        by_db: dict[str, int] = {}
-        by_class: dict[str, int] = {}
+        rows = [r for r in f.itertuples() if caps.get(r.dataset) != 0]
+        left, used, taken = dict(quotas), {}, set()
 
-        def take(r):
-            taken[r.Index] = True
-            by_db[r.dataset] = by_db.get(r.dataset, 0) + 1
-            by_class[r.stratum] = by_class.get(r.stratum, 0) + 1
+        def capped(dataset) -> bool:
+            return dataset in caps and used.get(dataset, 0) >= caps[dataset]
 
-        rows = [r for r in f.itertuples() if caps.get(r.dataset) != 0]
-        for r in rows:
-            if by_db.get(r.dataset, 0) < floors.get(r.dataset, 0):
-                take(r)
-        for soft in (True, False):
+        def take(r) -> None:
+            taken.add(r.Index)
+            used[r.dataset] = used.get(r.dataset, 0) + 1
+            left[r.stratum] -= 1
+
+        for dataset, floor in floors.items():
             for r in rows:
-                full = soft and r.dataset in caps and by_db.get(r.dataset, 0) >= caps[r.dataset]
-                if r.Index not in taken and not full and by_class.get(r.stratum, 0) < quotas.get(r.stratum, 0):
+                if r.dataset == dataset and used.get(dataset, 0) < floor and not capped(dataset) and left.get(r.stratum, 0) > 0:
                     take(r)
+        for stratum in quotas:
+            for over in (False, True):
+                for r in rows:
+                    if r.stratum == stratum and r.Index not in taken and left[stratum] > 0 and (over or not capped(r.dataset)):
+                        take(r)
         return f.loc[[i for i in f.index if i in taken]].drop(columns=["__all", "__k"])
 
-    def most(column: str, numbers: dict[str, int]):
-        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)), F.col(column)), F.lit(0)) if numbers else F.lit(0)
-
+    most = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)), F.col("stratum")), F.lit(0)) if quotas else F.lit(0)
     w = Window.partitionBy("dataset", "stratum").orderBy(order)
-    some = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most("dataset", floors) + most("stratum", quotas))
+    some = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most)
     return some.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(pick, rows.schema)
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.operators import compare, concept, windows
+from quillspark.operators import compare, concept, evaluate, windows
 from quillspark.plans import catalog
 from quillspark.plans.inputs import rows
 
@@ -162,3 +162,43 @@ def test_context_windows(spark, sf, result):
         before = marked[-1].partition("«")[0]
         assert text[at - len(before) : at] == before
         assert len(marked[-1]) <= 700 + 2 or r["list_item"]
+
+
+def slow_heldout(rows, floors, quotas, caps):
+    """Class by class and dataset by dataset over lists, with the counts recomputed from what was chosen."""
+    chosen = []
+
+    def n(field, value):
+        return sum(r[field] == value for r in chosen)
+
+    for dataset, floor in floors.items():
+        for r in (r for r in rows if r[2] == dataset):
+            if n(2, dataset) >= floor or (dataset in caps and n(2, dataset) >= caps[dataset]):
+                break
+            if n(1, r[1]) < quotas.get(r[1], 0):
+                chosen.append(r)
+    for stratum, quota in quotas.items():
+        pool, later = [r for r in rows if r[1] == stratum and r not in chosen and caps.get(r[2]) != 0], []
+        for r in pool:
+            if r[2] in caps and n(2, r[2]) >= caps[r[2]]:
+                later.append(r)
+            elif n(1, stratum) < quota:
+                chosen.append(r)
+        for r in later:
+            if n(1, stratum) < quota:
+                chosen.append(r)
+    return sorted(chosen)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quota_sampler(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, r.choice("abcd"), r.choice(["d0", "d1", "d2", "d3"])) for i in range(120)]
+    floors = {d: r.randrange(12) for d in ("d1", "d0")}
+    quotas = {s: r.randrange(25) for s in "bac"}
+    caps = {d: r.randrange(9) for d in ("d2", "d1")}
+    if caps["d1"] == 0:
+        floors.pop("d1")
+    got = evaluate.heldout(spark.createDataFrame(rows, "key int, stratum string, dataset string"), floors, quotas, caps).collect()
+    want = slow_heldout(rows, floors, quotas, caps)
+    assert sorted(map(tuple, got)) == want and all(sum(x[1] == s for x in want) <= q for s, q in quotas.items()) and not any(x[1] == "d" for x in want)
