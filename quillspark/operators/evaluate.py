@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.places import number_rows
+from ..sources.places import number_rows, written
 from .roles import ROLES
 
 
@@ -20,10 +20,24 @@ def allocate(strata: DataFrame, n: int, least: int = 0, most: int = 0) -> DataFr
     return a.select("stratum", "stock", (F.least(drawn, F.lit(most)) if most > 0 else drawn).cast("long").alias("n_draw"))
 
 
+def ticket(*keys, seed: int = 42):
+    """A row's place in a draw: a hash of its keys and the seed, which SQL engines agree on."""
+    return F.md5(F.concat_ws(":", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed))))
+
+
 def draw(rows: DataFrame, plan: DataFrame, key: str, stratum: str = "stratum", seed: int = 42) -> DataFrame:
-    """The planned number of rows of each stratum, those of the smallest hash of key and seed: reruns agree."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return rows.join(plan.select(stratum, "n_draw"), stratum).withColumn("_k", F.row_number().over(w)).filter("_k <= n_draw").drop("_k", "n_draw")
+    """The planned number of rows of each stratum, those of the smallest ticket of key and seed, then key: reruns agree.
+
+    The plan, one row a stratum, is written, so the optimizer sees its size and sends it to the rows. The smallest tickets
+    are taken in two steps, within 256 parts of each stratum and then of what these leave, so that no task sorts a large
+    stratum, however many of the rows it has.
+    """
+    drawn = written(plan.filter("n_draw > 0").select(F.col(stratum).alias("_stratum"), "n_draw"), "plan")
+    out = rows.join(drawn, F.col(stratum).eqNullSafe(F.col("_stratum"))).withColumn("_ticket", ticket(key, seed=seed)).withColumn("_part", F.substring("_ticket", 31, 2))
+    for by in ((stratum, "_part"), (stratum,)):
+        w = Window.partitionBy(*by).orderBy("_ticket", key)
+        out = out.withColumn("_k", F.row_number().over(w)).filter("_k <= n_draw")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
 def numbered(rows: DataFrame, letter: str, *order) -> DataFrame:
@@ -74,7 +88,7 @@ def heldout(rows: DataFrame, floors: dict[str, int], quotas: dict[str, int], cap
 def agreement_subset(rows: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
     """A share of the rows, rounded half to even, at least one."""
     n = rows.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share)).cast("int").alias("n")).scalar()
-    return number_rows(rows, "_k", F.xxhash64(key, F.lit(seed)), F.col(key)).filter(F.col("_k") < n).drop("_k")
+    return number_rows(rows, "_k", ticket(key, seed=seed), F.col(key)).filter(F.col("_k") < n).drop("_k")
 
 
 def without_gold(rows: DataFrame, gold: DataFrame, keys=("doc_id",)) -> DataFrame:
@@ -163,8 +177,8 @@ def stratum(role, prior):
 
 
 def sample_distinct(rows: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n distinct keys, those of the smallest hash: reruns agree."""
-    return rows.select(*keys).distinct().orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """n distinct keys, those of the smallest ticket: reruns agree. Each task sends its own n at most."""
+    return rows.select(*keys).distinct().orderBy(ticket(*keys, seed=seed), *keys).limit(n)
 
 
 def sorted_sets(rows: DataFrame, key: str, value: str) -> DataFrame:

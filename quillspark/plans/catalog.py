@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as X
-from ..operators import compare, concept, evaluate, extract, linking, roles, tagging, usage, verify, windows
+from ..operators import compare, concept, evaluate, extract, known, linking, roles, sketches, tagging, usage, verify, windows
 from ..sources import articles, places, shards
 from ..streaming import incremental
 from . import inputs as I
@@ -526,10 +526,10 @@ def strata_allocation(spark, d):
     return evaluate.allocate(rows(spark, d, STRATA), 100, least=5)
 
 
-@query(f"SELECT stratum, CAST(n_draw AS BIGINT) AS n FROM ({ALLOC_SQL}) WHERE n_draw > 0")
+@query(f"""WITH p AS (SELECT *, source || ':' || class || ':' || pred AS stratum FROM ({I.PAIRS})), a AS ({ALLOC_SQL}), r AS (SELECT p.stratum, sample_id, n_draw, row_number() OVER (PARTITION BY p.stratum ORDER BY md5(sample_id || ':42'), sample_id) AS k FROM p JOIN a ON p.stratum = a.stratum) SELECT stratum, sample_id FROM r WHERE k <= n_draw""")
 def strata_draw(spark, d):
     p = rows(spark, d, I.PAIRS).withColumn("stratum", F.concat_ws(":", "source", "class", "pred"))
-    return evaluate.draw(p, evaluate.allocate(rows(spark, d, STRATA), 100, least=5), "sample_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.draw(p, evaluate.allocate(rows(spark, d, STRATA), 100, least=5), "sample_id").select("stratum", "sample_id")
 
 
 FOUND = "SELECT l_orderkey AS doc_id, l_partkey AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'deposit' ELSE 'reference' END AS grp FROM lineitem WHERE l_returnflag <> 'N'"
@@ -574,9 +574,31 @@ def sorted_sets(spark, d):
     return evaluate.sorted_sets(rows(spark, d, I.VERIFIED), "dataset", "status")
 
 
-@query(f"SELECT least(50, count(*)) AS n FROM (SELECT DISTINCT db, surface FROM ({I.HITS}))")
+@query(f"SELECT db, surface FROM (SELECT DISTINCT db, surface FROM ({I.HITS})) ORDER BY md5(db || ':' || surface || ':42'), db, surface LIMIT 50")
 def distinct_sample(spark, d):
-    return evaluate.sample_distinct(_hits(spark, d), ["db", "surface"], 50).agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.sample_distinct(_hits(spark, d), ["db", "surface"], 50)
+
+
+_SHARDED = f"SELECT h.*, length(doc_id) % 3 AS shard_id, CASE WHEN db IN ('geo_series', 'bioproject') THEN 'p' ELSE 'e' END AS class, surface AS id, db AS dataset FROM ({I.HITS}) AS h"
+
+
+@query(f"SELECT dataset, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs, count(DISTINCT id) AS n_entries, count(DISTINCT doc_id) < 65536 AS exact FROM ({_SHARDED}) GROUP BY dataset")
+def usage_by_sketches(spark, d):
+    out = places.scratch(spark, f"sketches-{uuid.uuid4().hex}")
+    base = rows(spark, d, _SHARDED.replace('"', "`"))
+    sketches.add_shards(spark, base.filter("shard_id < 2"), out)  # shards come one after the other; those that are there stay
+    return sketches.usage_counts(sketches.add_shards(spark, base, out), "dataset")
+
+
+@query(f"WITH b AS (SELECT DISTINCT dataset, doc_id FROM ({_SHARDED})), n AS (SELECT dataset, count(*) AS n FROM b GROUP BY dataset), p AS (SELECT x.dataset, y.dataset AS other, count(*) AS n_both FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.dataset < y.dataset GROUP BY 1, 2) SELECT x.dataset, y.dataset AS other, coalesce(n_both, 0) AS n_both, x.n + y.n - coalesce(n_both, 0) AS n_either, x.n - coalesce(n_both, 0) AS n_only FROM n x JOIN n y ON x.dataset < y.dataset LEFT JOIN p ON p.dataset = x.dataset AND p.other = y.dataset")
+def shared_documents(spark, d):
+    return sketches.shared_documents(sketches.shard_sketches(rows(spark, d, _SHARDED.replace('"', "`"))))
+
+
+@query("SELECT 'p' || p_partkey % 5 AS db, 'A' || k AS id, CASE WHEN k = p_partkey AND p_partkey % 3 = 0 THEN 'confirmed' ELSE 'absent' END AS answer FROM part, (SELECT unnest([0, 1000000]) AS m) AS t, LATERAL (SELECT p_partkey + m AS k)")
+def known_ids(spark, d):
+    asked = rows(spark, d, "SELECT concat('p', p_partkey % 5) AS db, concat('A', p_partkey + m) AS id FROM part LATERAL VIEW explode(array(0, 1000000)) t AS m")
+    return known.look_up_many(asked, rows(spark, d, "SELECT concat('p', p_partkey % 5) AS db, concat('A', p_partkey) AS id FROM part WHERE p_partkey % 3 = 0"))
 
 
 @query("SELECT doc_id, 'GSE' || (doc_id + 1000) AS surface FROM documents")
@@ -676,8 +698,8 @@ def flagship(spark, d):
     # texts are read once: the hits are written, as three branches start from them
     hits = places.written(extract.extract(rows(spark, d, I.DOCUMENT_TEXT)).select("doc_id", "db", "surface", "offset", "confidence"), "hits")
     gated = hits.withColumn("g", X.gate(F.col("db"), F.col("surface"))).filter("g.gate_pass").drop("g")
-    known = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).try_cast("int") % 2 == 0)
-    verified = verify.combine_graphs(usage.candidates(gated).withColumnsRenamed({"db": "dataset", "surface": "id"}), known.withColumnsRenamed({"db": "dataset", "surface": "id"}), known.limit(0).withColumnsRenamed({"db": "dataset", "surface": "id"}))
+    found = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).try_cast("int") % 2 == 0)
+    verified = verify.combine_graphs(usage.candidates(gated).withColumnsRenamed({"db": "dataset", "surface": "id"}), found.withColumnsRenamed({"db": "dataset", "surface": "id"}), found.limit(0).withColumnsRenamed({"db": "dataset", "surface": "id"}))
     return usage.by_entry(usage.confirmed_mentions(usage.mentions(gated), verified, rules.db_classes(spark)))
 
 
