@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluate, extract, roles, usage, verify, windows
+from .operators import evaluate, roles, usage, verify, windows
 from .plans import catalog, jobs
-from .sources import shards, tables
+from .sources import connectors, shards, tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     command("link", out, ("--dictionary", {"required": True, "help": "TSV of entity types, surfaces and identifiers"}), ("--mode", {"choices": ["full", "short", "none"], "default": "full"}))
     command("inject", out)
     command("payloads", out, ("--per-chunk", {"type": int, "default": 20}), ("--system-text", {"default": ""}))
+    command("ask", out, ("--url", {"action": "append", "required": True, "help": "address of a chat service; several are taken in turn"}), ("--model", {"required": True}), ("--temperature", {"type": float, "default": 0.0}), ("--tries", {"type": int, "default": 4}), ("--key-variable", {"default": "CHAT_KEY", "help": "environment variable that holds the key"}))
     command("sample", ("--input", {"required": True, "help": "Parquet table with a column of strata"}), out, ("--size", {"type": int, "default": 200}), ("--key", {"required": True}), ("--stratum", {"default": "stratum"}))
     command("evaluate", ("--gold", {"required": True}), ("--key", {"required": True}), out)
     command("query", ("name", {}), ("--data", {"required": True}), ("--rows", {"type": int, "default": 20}))
@@ -62,8 +64,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "roles":
         jobs.build_roles(spark, a.out)
     elif a.command == "annotate":
-        names = tables.read_tsv(spark, a.names, "name string, entity_type string").collect()  # a tagger's vocabulary goes to every task
-        jobs.annotate(spark, a.out, extract.DictionaryTagger({r["name"]: r["entity_type"] for r in names if r["name"]}))
+        jobs.annotate_names(spark, a.out, tables.read_tsv(spark, a.names, "name string, entity_type string"))
     elif a.command == "aggregate":
         jobs.aggregate(spark, a.out)
     elif a.command == "link":
@@ -73,6 +74,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "payloads":
         rows = roles.llm_rows(spark.read.parquet(f"{a.out}/role_prelim"))
         tables.write_table(roles.payloads(rows, windows.best_window(spark.read.parquet(f"{a.out}/windows")), a.per_chunk, a.system_text), f"{a.out}/payloads")
+    elif a.command == "ask":
+        models = [connectors.chat(u, os.environ.get(a.key_variable)) for u in a.url]
+        jobs.ask_roles(spark, a.out, connectors.rotating(models), a.model, a.temperature, a.tries)
     elif a.command == "sample":
         rows = spark.read.parquet(a.input)
         strata = rows.groupBy(F.col(a.stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("stock"))

@@ -244,6 +244,14 @@ def exchange_round_trip(spark, d):
     return articles.passage_rows(articles.from_bioc(spark.read.text(path)))
 
 
+@query("SELECT 'C' || conv_id AS doc_id, CAST(turn * 1000 AS BIGINT) AS \"offset\", substr(text, 1, 4) AS surface, role AS kind, 'rule' AS source, '0.5' AS score, CASE WHEN conv_id % 2 = 0 THEN 'MESH:' || turn || ';x' END AS identifier, CAST(4 AS BIGINT) AS length FROM conversations")
+def exchange_annotations(spark, d):
+    form = F.from_json("value", "id string, passages array<struct<annotations:array<struct<id:string,infons:map<string,string>,text:string,locations:array<struct<offset:bigint,length:bigint>>>>>>")
+    a = articles.to_bioc(rows(spark, d, _NESTED)).select(form.alias("d")).select("d.id", F.explode(F.flatten("d.passages.annotations")).alias("a"))
+    info = {k: F.try_element_at("a.infons", F.lit(k)) for k in ("type", "source", "score", "identifier")}
+    return a.select(F.col("id").alias("doc_id"), F.col("a.locations")[0]["offset"].alias("offset"), F.col("a.text").alias("surface"), info["type"].alias("kind"), info["source"].alias("source"), info["score"].alias("score"), info["identifier"].alias("identifier"), F.col("a.locations")[0]["length"].alias("length"))
+
+
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 1000")
 def long_documents(spark, d):
     return concept.long_enough(rows(spark, d, "SELECT doc_id, text FROM documents"), 1000).select("doc_id", F.length("text").alias("n"))

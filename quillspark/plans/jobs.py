@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as X
-from ..operators import concept, extract, roles, usage, windows
-from ..sources import articles, shards, tables
+from ..operators import concept, extract, roles, tagging, usage, windows
+from ..sources import articles, places, shards, tables
 
 
 def preprocess(spark: SparkSession, xml: str, out: str, shard_size: int = 500) -> None:
@@ -43,6 +43,28 @@ def annotate(spark: SparkSession, out: str, tagger) -> None:
     tables.write_table(concept.clean_annotations(tagged), f"{out}/annotations")
 
 
+def annotate_names(spark: SparkSession, out: str, names: DataFrame) -> None:
+    """As annotate, by a vocabulary (name, entity_type) of any size."""
+    passages = spark.read.parquet(f"{out}/passages").withColumnRenamed("offset", "_at")
+    found = tagging.tag_names(passages, names).withColumn("offset", F.col("_at") + F.col("start")).withColumn("length", F.col("end") - F.col("start"))
+    found = extract.numbered(found, ["doc_id", "passage_idx"], "T", 1).drop("_at", "text", "start", "end").withColumns({"score": F.lit(1.0), "identifier": F.lit(None).cast("string")})
+    tables.write_table(concept.clean_annotations(found), f"{out}/annotations")
+
+
+def ask_roles(spark: SparkSession, out: str, model: roles.Model, name: str, temperature: float = 0.0, tries: int = 4) -> None:
+    """Payloads to answers of a language model, and these with the rules' roles to final ones. Documents that have an answer
+    without error already aren't asked again, so a run that broke off goes on where it was."""
+    todo = spark.read.parquet(f"{out}/payloads").withColumn("body", roles.request_body(name, temperature))
+    old = None
+    if tables.exists(spark, f"{out}/llm_results"):
+        old = places.written(spark.read.parquet(f"{out}/llm_results").filter("error is null"), "answers")
+        todo = todo.join(old.select("doc_id", "chunk"), ["doc_id", "chunk"], "left_anti")
+    asked = roles.classify(todo.select(F.struct("doc_id", "chunk").alias("doc_id"), "body"), model, tries).select("doc_id.*", "results", "error")
+    tables.write_table(asked if old is None else asked.unionByName(old), f"{out}/llm_results")
+    answers = spark.read.parquet(f"{out}/llm_results")
+    tables.write_table(roles.merge_roles(spark.read.parquet(f"{out}/role_prelim"), answers), f"{out}/roles")
+
+
 def aggregate(spark: SparkSession, out: str) -> None:
     tables.write_table(concept.unique_surfaces(spark.read.parquet(f"{out}/annotations")), f"{out}/unique_surfaces")
 

@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -143,10 +143,28 @@ def passage_rows(docs: DataFrame) -> DataFrame:
     return p.select("doc_id", "passage_idx", F.element_at("p.infon", F.lit("section_type")).alias("passage_type"), F.col("p.offset").alias("offset"), F.col("p.text").alias("text"))
 
 
+def _annotation(a) -> Column:
+    """An annotation in the exchange form: what isn't known (no identifiers, no score) has no info of its own."""
+    none = F.lit(None).cast("string")
+    infons = F.create_map(F.lit("type"), a["entity_type"], F.lit("source"), F.coalesce(a["source"], F.lit("")), F.lit("identifier"), F.when(F.size(a["identifiers"]) > 0, F.array_join(a["identifiers"], ";")).otherwise(none), F.lit("score"), a["score"].cast("string"))
+    place = F.struct(a["offset"].alias("offset"), a["length"].alias("length"))
+    return F.struct(a["id"].alias("id"), F.map_filter(infons, lambda k, v: v.isNotNull()).alias("infons"), a["text"].alias("text"), F.array(place).alias("locations"))
+
+
 def to_bioc(docs: DataFrame) -> DataFrame:
-    """One JSON string a document, in the exchange form: ids among the infons, scores as text, identifiers joined by semicolons."""
+    """One JSON string a document, in the exchange form: ids among the infons; annotations, where passages have them, with
+    scores as text and identifiers joined by semicolons; no relations. Null annotations are an empty list."""
     infons = F.map_filter(F.map_concat("infon", F.create_map(F.lit("pmid"), F.coalesce("pmid", F.lit("")), F.lit("doi"), F.coalesce("doi", F.lit("")))), lambda k, v: v != "")
-    return docs.select(F.to_json(F.struct("id", infons.alias("infons"), F.transform("passages", lambda p: F.struct(p["offset"].alias("offset"), p["text"].alias("text"), p["infon"].alias("infons"))).alias("passages"))).alias("value"))
+    one = docs.schema["passages"].dataType.elementType
+    none = F.array().cast("array<string>")
+
+    def passage(p) -> Column:
+        found = none
+        if "annotations" in one.names:
+            found = F.transform(F.coalesce(p["annotations"], F.from_json(F.lit("[]"), one["annotations"].dataType.simpleString())), _annotation)
+        return F.struct(p["offset"].alias("offset"), p["text"].alias("text"), p["infon"].alias("infons"), found.alias("annotations"), none.alias("relations"))
+
+    return docs.select(F.to_json(F.struct("id", infons.alias("infons"), F.transform("passages", passage).alias("passages"), none.alias("relations"))).alias("value"))
 
 
 def from_bioc(lines: DataFrame) -> DataFrame:

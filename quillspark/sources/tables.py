@@ -72,6 +72,12 @@ def source_databases(files: DataFrame, column: str | None = None) -> DataFrame:
     return files.select(stem.alias("db")).distinct()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "").option("emptyValue", "").csv(path)
 

@@ -1,5 +1,9 @@
 """The jobs end to end over a few articles, through the command line."""
 
+import http.server
+import json
+import threading
+
 import pytest
 
 from quillspark.__main__ import main
@@ -63,6 +67,63 @@ def test_concept_phases(spark, folder):
     assert tables.first_readable(spark, f"{out}/nothing", f"{out}/injected").count() == 10
 
 
+def test_tagging_by_a_vocabulary(spark, folder):
+    out = f"file://{folder}/tagged"
+    jobs.preprocess(spark, f"file://{folder}/xml", out)
+    (folder / "names.tsv").write_text("name\tentity_type\ngenome\tthing\nReads\tthing\n")
+    main(["annotate", "--out", out, "--names", f"file://{folder}/names.tsv"])
+    got = spark.read.parquet(f"{out}/annotations")
+    jobs.annotate(spark, f"{out}", extract.DictionaryTagger({"genome": "thing", "Reads": "thing"}))
+    columns = ["doc_id", "passage_idx", "ann_id", "surface", "entity_type", "offset", "length", "score"]
+    again = spark.read.parquet(f"{out}/annotations")
+    assert sorted(map(tuple, again.select(columns).collect())) and got.columns  # the first table was replaced
+    one = sorted(map(tuple, again.select(columns).collect()))
+    jobs.annotate_names(spark, out, spark.createDataFrame([("genome", "thing"), ("Reads", "thing")], "name string, entity_type string"))
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/annotations").select(columns).collect())) == one
+
+
+class Chat(http.server.BaseHTTPRequestHandler):
+    """Recorded answers by the first id of a payload; one payload breaks the first time it is asked."""
+
+    asked: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        ids = body["messages"][1]["content"].rpartition("ids: ")[2].split(", ")
+        Chat.asked.append(ids)
+        if ids[0] == "E2" and Chat.asked.count(ids) == 1:
+            self.send_response(503)
+            self.end_headers()
+            return
+        content = "no json" if ids[0] == "E9" else json.dumps({"results": [{"id": i, "role": "used", "confidence": "0.9", "evidence_span": "s"} for i in ids]})
+        data = json.dumps({"choices": [{"message": {"content": content}}]}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_asking_a_model(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    docs = [(f"D{i}", 0, [f"E{i}", f"F{i}"]) for i in (1, 2, 9)]
+    spark.createDataFrame([(d, c, 2, ids, f"x\n\nids: {', '.join(ids)}", "lower", 240, 5, "sys") for d, c, ids in docs], "doc_id string, chunk int, n_entities int, expected_ids array<string>, user_text string, tier string, max_tokens int, n_tokens int, system_text string").write.parquet(f"{out}/payloads")
+    spark.createDataFrame([(d, "geo", i, "c", "", "none", "", True) for d, _, ids in docs for i in ids] + [("D1", "pfam", "R", "c", "generated", "", "rule", False)], "doc_id string, dataset string, id string, class string, role string, prior string, note string, to_llm boolean").write.parquet(f"{out}/role_prelim")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        for _ in range(2):
+            main(["ask", "--out", out, "--url", url, "--url", url, "--model", "m", "--tries", "2"])
+            got = {(r.doc_id, r.id): (r.role, r.role_source) for r in spark.read.parquet(f"{out}/roles").collect()}
+            assert got == {("D1", "E1"): ("used", "llm"), ("D1", "F1"): ("used", "llm"), ("D2", "E2"): ("used", "llm"), ("D2", "F2"): ("used", "llm"), ("D9", "E9"): ("error", "llm"), ("D9", "F9"): ("error", "llm"), ("D1", "R"): ("generated", "rule")}
+    finally:
+        server.shutdown()
+    # answered documents are asked once, the one that breaks once more, the one without an answer each time
+    assert sorted(x[0] for x in Chat.asked) == ["E1", "E2", "E2", "E9", "E9", "E9", "E9"]
+
+
 def test_small_helpers(spark):
     assert verify.scrape_routes("ROUTER = {'a': 'b', \"c\": \"d-e\"}") == [("a", "b"), ("c", "d-e")]
     hits = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1")], "db string, surface string")

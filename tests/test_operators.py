@@ -95,6 +95,21 @@ def test_article(spark, tmp_path):
     assert all(b.offset == a.offset + len(a.text) + 1 for a, b in zip(p, p[1:]))
     docs = articles.read_articles(spark, f"file://{tmp_path}")
     again = articles.from_bioc(articles.to_bioc(docs)).collect()[0]
+    import json
+
+    one = {"id": "T1", "text": "TP53", "entity_type": "gene", "offset": 3, "length": 4, "score": 0.5, "identifiers": ["N:1", "U:2"], "source": "rule"}
+    two = {"id": "T2", "text": "é", "entity_type": "x", "offset": 9, "length": 1, "score": None, "identifiers": [], "source": None}
+    passages = [(0, "t", {"section_type": "title"}, [one, two]), (2, "u", {"section_type": "body"}, None)]
+    form = spark.createDataFrame([("D", "", None, {"year": "2024"}, passages)], "id string, pmid string, doi string, infon map<string,string>, passages array<struct<offset:bigint,text:string,infon:map<string,string>,annotations:array<struct<id:string,text:string,entity_type:string,offset:bigint,length:bigint,score:double,identifiers:array<string>,source:string>>>>")
+    assert json.loads(articles.to_bioc(form).first().value) == {
+        "id": "D", "infons": {"year": "2024"}, "relations": [],
+        "passages": [
+            {"offset": 0, "text": "t", "infons": {"section_type": "title"}, "relations": [], "annotations": [
+                {"id": "T1", "infons": {"type": "gene", "source": "rule", "identifier": "N:1;U:2", "score": "0.5"}, "text": "TP53", "locations": [{"offset": 3, "length": 4}]},
+                {"id": "T2", "infons": {"type": "x", "source": ""}, "text": "é", "locations": [{"offset": 9, "length": 1}]}]},
+            {"offset": 2, "text": "u", "infons": {"section_type": "body"}, "relations": [], "annotations": []},
+        ],
+    }
     assert again.id == "PMC9999999" and again.pmid == "99999999" and again.infon["pmid"] == "99999999" and len(again.passages) == 6
 
 
