@@ -259,7 +259,7 @@ def _base(spark, d):
     return usage.confirmed_mentions(usage.mentions(_hits(spark, d)), rows(spark, d, I.VERIFIED), rules.db_classes(spark))
 
 
-_CLASS_SQL = "CASE " + " ".join(f"WHEN dataset IN ({', '.join(repr(x) for x in dbs.split())}) THEN '{c}'" for c, dbs in rules.DATABASES_BY_CLASS.items()) + " ELSE 'out_of_scope' END"
+_CLASS_SQL = "CASE " + " ".join(f"WHEN dataset = '{db}' THEN '{c}'" for db, c in rules.DATABASE_CLASSES) + " ELSE 'out_of_scope' END"
 BASE_SQL = f"SELECT m.doc_id, v.dataset, v.id, {_CLASS_SQL.replace('dataset IN', 'v.dataset IN')} AS class, v.oracle, m.confidence FROM ({I.HITS}) AS m JOIN (SELECT * FROM ({I.VERIFIED}) WHERE status = 'confirmed') AS v ON m.db = v.dataset AND m.surface = v.id"
 
 

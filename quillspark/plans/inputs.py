@@ -33,8 +33,8 @@ YEARS = "SELECT concat('D', CAST(o_orderkey AS STRING)) AS doc_id, CASE WHEN o_o
 ANNOTATIONS = """SELECT concat('D', CAST(doc_id AS STRING)) AS doc_id, surface, lang AS entity_type, CAST(length(surface) AS BIGINT) AS length, CAST(length(surface) % 10 AS DOUBLE) / 10 AS score,
   CASE WHEN length(surface) % 3 = 0 THEN concat('NCBIGene:', CAST(length(surface) AS STRING)) WHEN length(surface) % 7 = 0 THEN concat('MESH:D', CAST(length(surface) AS STRING)) END AS identifier
   FROM ({words}) AS t"""
-SPARK_WORDS = "SELECT doc_id, lang, explode(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS surface FROM documents"
-DUCK_WORDS = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS surface FROM documents"
+SPARK_WORDS = "SELECT doc_id, lang, explode(regexp_extract_all(lower(text), '(\\\\p{L}{3,})', 1)) AS surface FROM documents"
+DUCK_WORDS = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS surface FROM documents"
 DICTIONARY = "SELECT DISTINCT surface, entity_type, CASE WHEN length % 2 = 0 THEN concat('D:', surface) END AS identifier, CASE WHEN length % 2 = 0 THEN 'ok' ELSE 'no_id' END AS linker_status FROM ({annotations}) AS a"
 TURNS = "SELECT concat('C', CAST(conv_id AS STRING)) AS doc_id, CAST(turn AS BIGINT) AS passage_idx, text FROM conversations"
 CUES = """CASE CAST(turn AS BIGINT) % 6 WHEN 0 THEN ' data were deposited here' WHEN 1 THEN ' reads were downloaded' WHEN 2 THEN ' is publicly available' WHEN 3 THEN ' mapped to the reference genome' WHEN 4 THEN ' data availability' ELSE '' END"""
