@@ -169,7 +169,12 @@ def token_hashes(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, text).mapInArrow(run, "key string, token long")
 
 
-SPANS = "array<struct<start:int,end:int,entity_type:string>>"
+#: With the surface, as cutting it out of a long text by an expression would walk the text for each name.
+SPANS = "array<struct<start:int,end:int,entity_type:string,surface:string>>"
+
+
+def _with_surfaces(texts, found):
+    return pd.Series([[(a, z, kind, t[a:z]) for a, z, kind in spans] for t, spans in zip(texts, found, strict=True)], dtype=object)
 
 
 def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
@@ -196,7 +201,7 @@ def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_se
             if not held:
                 held.append(Vocabulary(list(zip(*(c.to_pylist() for c in sent.value.columns), strict=True))))
             for b in batches:
-                yield pd.Series(held[0].find(b.tolist()), dtype=object)
+                yield _with_surfaces(b, held[0].find(b.tolist()))
 
         met = passages.withColumn("_spans", find.asNondeterministic()(F.col(text).cast("string")))
     else:
@@ -210,10 +215,9 @@ def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_se
         @F.pandas_udf(SPANS)
         def find_some(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for b, lists in batches:
-                yield pd.Series([Vocabulary([(x["name"], x["kind"]) for x in few]).find([t])[0] for t, few in zip(b, lists, strict=True)], dtype=object)
+                yield _with_surfaces(b, [Vocabulary([(x["name"], x["kind"]) for x in few]).find([t])[0] for t, few in zip(b, lists, strict=True)])
 
         found = texts.join(some, "key").select(F.col("key").alias("_key"), find_some.asNondeterministic()("text", "names").alias("_spans"))
         met = passages.join(written(found, "spans"), F.md5(F.col(text).cast("string")) == F.col("_key"))
     out = met.select(*(F.col(f"`{c}`") for c in columns), F.explode("_spans").alias("_s"))
-    surface = F.substr(F.col(text), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))
-    return out.select(*(F.col(f"`{c}`") for c in columns), surface.alias("surface"), F.col("_s.entity_type").alias("entity_type"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
+    return out.select(*(F.col(f"`{c}`") for c in columns), F.col("_s.surface").alias("surface"), F.col("_s.entity_type").alias("entity_type"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
