@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..sources.places import written
 #: Bytes of names up to which a vocabulary is sent to all tasks; larger ones are joined to the texts.
 MOST_SENT = 48 << 20
 #: Characters that are looked at in one go; longer texts are looked at alone.
-CHARS = 4 << 20
+CHARS = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -120,24 +119,42 @@ class Vocabulary:
             more = ~t.is_end[token + step]
             token, start = token[more], start[more]
 
-    def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        """(start, end, kind) in each text: of the names that start first the longest, then on behind it. Null texts have none."""
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        if not self.names:
-            return out
+    def spans(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flat arrays: how many spans each text has, and of all of them, text by text, start, end and number of the name. Of the
+        names that start first the longest is taken, then on behind it. Null texts have none."""
+        counts, parts = np.zeros(len(texts), dtype=np.int64), [[np.zeros(0, dtype=np.int32)] for _ in range(3)]
         a = 0
-        while a < len(texts):
+        while a < len(texts) and self.names:
             z, size = a + 1, len(texts[a] or "")
             while z < len(texts) and size + len(texts[z] or "") <= CHARS:
                 size += len(texts[z] or "")
                 z += 1
-            behind: dict[int, int] = {}
+            last, behind, kept = -1, 0, []
             for k, start, minus_end, n in sorted((k, s, -e, n) for k, s, e, n in self._hits([t or "" for t in texts[a:z]])):
-                if start >= behind.get(k, 0):
-                    out[a + k].append((start, -minus_end, self.kinds[n]))
-                    behind[k] = -minus_end
+                behind = behind if k == last else 0
+                if start >= behind:
+                    kept.append((start, -minus_end, n))
+                    counts[a + k] += 1
+                    behind = -minus_end
+                last = k
+            for part, column in zip(parts, np.array(kept, dtype=np.int32).reshape(len(kept), 3).T, strict=True):
+                part.append(column)
             a = z
-        return out
+        return counts, *(np.concatenate(x) for x in parts)
+
+    def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """(start, end, kind) in each text."""
+        counts, *flat = self.spans(texts)
+        rows = [(a, z, self.kinds[n]) for a, z, n in zip(*(x.tolist() for x in flat), strict=True)]
+        ends = np.cumsum(counts).tolist()
+        return [rows[z - n : z] for z, n in zip(ends, counts.tolist(), strict=True)]
+
+    def arrow(self, texts: list[str | None]) -> pa.ListArray:
+        """The spans as a column of lists of (start, end, entity_type, surface)."""
+        counts, start, end, n = self.spans(texts)
+        columns = [pa.array(start), pa.array(end), pa.array(self.kinds, pa.string()).take(pa.array(n)), pa.array(self.names, pa.string()).take(pa.array(n))]
+        whole = pa.StructArray.from_arrays(columns, names=["start", "end", "entity_type", "surface"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), whole)
 
 
 class DictionaryTagger:
@@ -173,10 +190,6 @@ def token_hashes(texts: DataFrame, key: str, text: str) -> DataFrame:
 SPANS = "array<struct<start:int,end:int,entity_type:string,surface:string>>"
 
 
-def _with_surfaces(texts, found):
-    return pd.Series([[(a, z, kind, t[a:z]) for a, z, kind in spans] for t, spans in zip(texts, found, strict=True)], dtype=object)
-
-
 def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """passages with a row for each name in their text: surface, entity_type, start and end (code points of the text, from 0).
 
@@ -196,12 +209,12 @@ def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_se
         sent = passages.sparkSession.sparkContext.broadcast(pa.Table.from_batches(known.select("name", "kind").toArrow().to_batches(), pa.schema([("name", pa.string()), ("kind", pa.string())])))
         held: list[Vocabulary] = []
 
-        @F.pandas_udf(SPANS)
-        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(SPANS)
+        def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             if not held:
                 held.append(Vocabulary(list(zip(*(c.to_pylist() for c in sent.value.columns), strict=True))))
             for b in batches:
-                yield _with_surfaces(b, held[0].find(b.tolist()))
+                yield held[0].arrow(b.to_pylist())
 
         met = passages.withColumn("_spans", find.asNondeterministic()(F.col(text).cast("string")))
     else:
@@ -212,10 +225,10 @@ def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_se
         rare = of_names.select(F.col("key").alias("name"), "token").join(known, "name")
         some = of_texts.join(rare, "token").groupBy("key").agg(F.collect_list(F.struct("name", "kind")).alias("names"))
 
-        @F.pandas_udf(SPANS)
-        def find_some(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf(SPANS)
+        def find_some(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for b, lists in batches:
-                yield _with_surfaces(b, [Vocabulary([(x["name"], x["kind"]) for x in few]).find([t])[0] for t, few in zip(b, lists, strict=True)])
+                yield pa.concat_arrays([Vocabulary([(x["name"], x["kind"]) for x in few.as_py()]).arrow([t.as_py()]) for t, few in zip(b, lists, strict=True)])
 
         found = texts.join(some, "key").select(F.col("key").alias("_key"), find_some.asNondeterministic()("text", "names").alias("_spans"))
         met = passages.join(written(found, "spans"), F.md5(F.col(text).cast("string")) == F.col("_key"))
