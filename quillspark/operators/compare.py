@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +73,21 @@ def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> Dat
     # side is that of the longer surface
     pairs = pairs.select("group.*", F.when(F.col("side") == 0, F.col("s")).otherwise(F.col("short")).alias("ours"), F.when(F.col("side") == 0, F.col("short")).otherwise(F.col("s")).alias("theirs"))
 
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        mine, taken, keep = set(), set(), []
-        for k, x, y in sorted(zip(range(len(f)), f["ours"], f["theirs"], strict=True), key=lambda p: p[1:]):
-            if x not in mine and y not in taken:
-                mine.add(x)
-                taken.add(y)
-                keep.append(k)
-        return f.iloc[keep]
-
-    partial = pairs.groupBy(*keys).applyInPandas(choose, pairs.schema).withColumn("kind", F.lit("partial"))
+    def choose(batches):
+        group, mine, taken = None, set(), set()
+        for b in batches:
+            keep = []
+            for k, (doc, kind, x, y) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if (doc, kind) != group:
+                    group, mine, taken = (doc, kind), set(), set()
+                if x not in mine and y not in taken:
+                    mine.add(x)
+                    taken.add(y)
+                    keep.append(k)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    # a stream of sorted pairs, as a call for each of very many small groups would cost more than their pairs
+    partial = pairs.repartition(*keys).sortWithinPartitions(*keys, "ours", "theirs").mapInArrow(choose, pairs.schema).withColumn("kind", F.lit("partial"))
     return exact.unionByName(partial)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.places import written
+
 #: Up to 2 to this power distinct values a sketch counts exactly; beyond, its relative standard error is about 1 / sqrt of that.
 SIZE = 16
 
@@ -24,7 +26,7 @@ def add_shards(spark: SparkSession, base: DataFrame, folder: str, shard: str = "
     """Sketches of all shards so far, after those of new shards were added to the table in the folder. Shards that it has
     are skipped by their ids, which are read from the table; none of their rows is counted again."""
     try:
-        done = spark.read.parquet(folder).select("shard").distinct()
+        done = written(spark.read.parquet(folder).select("shard").distinct(), "shards")  # of known size: mentions stay where they are
         base = base.join(done, F.col(shard).cast("string") == F.col("shard"), "left_anti")
     except AnalysisException:  # no table yet
         pass
