@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import regex
 
 import __spark_entry__ as entry
 from quillspark.functions import text as X
@@ -48,7 +49,7 @@ def test_clean_surface_takes_all_tokens(spark, folder):
 
 def test_dictionary_merge_takes_all_types(spark, folder):
     root, docs = folder
-    pairs = {(w, lang) for _, t, lang in docs for w in re.findall("[a-z]{3,}", (t or "").lower())}
+    pairs = {(w, lang) for _, t, lang in docs for w in regex.findall(r"\p{L}{3,}", (t or "").lower())}
     got = entry.queries()["dictionary_merge"](spark, root).collect()
     want = [(w, lang, f"D:{w}" if len(w) % 2 == 0 else None, "ok" if len(w) % 2 == 0 else "no_id") for w, lang in pairs]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and {None, "de", "es"} < {x[1] for x in want}
