@@ -364,7 +364,7 @@ def test_sql_of_operators(spark, sf):
     from quillspark.llm.queries import ORACLE, QUERIES
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLE.items():
         df = QUERIES[name](spark, sf)
