@@ -10,7 +10,7 @@ from ..functions import rules
 from ..functions import text as X
 from ..operators import compare, concept, evaluate, extract, known, linking, roles, sketches, tagging, usage, verify, windows
 from ..sources import articles, places, shards
-from ..streaming import incremental
+from ..streaming import incremental, usage_stream
 from . import inputs as I
 from .inputs import rows, tidy
 
@@ -693,16 +693,35 @@ def incremental_run(spark, d):
 FLAGSHIP_TEXT = I.DOCUMENT_TEXT
 
 
-def flagship(spark, d):
-    """Texts with accessions to usage counts: extract, gate, candidates, existence by a table, confirmed mentions, entries."""
+def _references(texts):
+    """Confirmed references of texts with accessions: extract, gate, candidates, existence by a table, confirmed mentions."""
     # texts are read once: the hits are written, as three branches start from them
-    hits = places.written(extract.extract(rows(spark, d, I.DOCUMENT_TEXT)).select("doc_id", "db", "surface", "offset", "confidence"), "hits")
+    hits = places.written(extract.extract(texts).select("doc_id", "db", "surface", "offset", "confidence"), "hits")
     gated = hits.withColumn("g", X.gate(F.col("db"), F.col("surface"))).filter("g.gate_pass").drop("g")
     found = usage.candidates(gated).filter(F.regexp_extract("surface", r"(\d)(?:\.\d+)?$", 1).try_cast("int") % 2 == 0)
     verified = verify.combine_graphs(usage.candidates(gated).withColumnsRenamed({"db": "dataset", "surface": "id"}), found.withColumnsRenamed({"db": "dataset", "surface": "id"}), found.limit(0).withColumnsRenamed({"db": "dataset", "surface": "id"}))
-    return usage.by_entry(usage.confirmed_mentions(usage.mentions(gated), verified, rules.db_classes(spark)))
+    return usage.confirmed_mentions(usage.mentions(gated), verified, rules.db_classes(texts.sparkSession))
+
+
+def flagship(spark, d):
+    """Texts with accessions to usage counts of entries."""
+    return usage.by_entry(_references(rows(spark, d, I.DOCUMENT_TEXT)))
 
 
 QUERIES["flagship"] = lambda spark, d: tidy(flagship(spark, d))
 ORACLE["flagship"] = f"""SELECT dataset, id, {_CLASS_SQL} AS class, 'togoid_label' AS oracle, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs
   FROM (SELECT doc_id, db AS dataset, surface AS id FROM ({ORACLE["regex_extract"]})) WHERE CAST(regexp_extract(id, '(\\d)(?:\\.\\d+)?$', 1) AS INTEGER) % 2 = 0 GROUP BY dataset, id"""
+
+
+def streamed_usage(spark, d):
+    """Three deliveries of documents, with repeats of earlier ones, each taken into the usage tables as it comes."""
+    out = places.scratch(spark, f"streamed-{uuid.uuid4().hex}")
+    texts = rows(spark, d, I.DOCUMENT_TEXT)
+    for delivery in ("doc_id % 3 = 2", "doc_id % 3 = 0 OR doc_id % 30 = 2", "doc_id % 3 = 1 OR doc_id % 20 = 0"):
+        texts.filter(delivery).write.mode("append").parquet(f"{out}/landing")
+        usage_stream.count_new(spark, f"{out}/landing", texts.schema, _references, f"{out}/usage", f"{out}/state").awaitTermination()
+    return usage_stream.by_entry(spark, f"{out}/usage")
+
+
+QUERIES["streamed_usage"] = lambda spark, d: tidy(streamed_usage(spark, d))
+ORACLE["streamed_usage"] = ORACLE["flagship"]
