@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as X
-from ..operators import compare, concept, evaluate, extract, known, linking, roles, sketches, tagging, usage, verify, windows
+from ..operators import compare, concept, evaluate, extract, known, linking, roles, sentences, sketches, tagging, usage, verify, windows
 from ..sources import articles, places, shards
 from ..streaming import incremental, usage_stream
 from . import inputs as I
@@ -690,6 +690,36 @@ def incremental_run(spark, d):
     return spark.read.parquet(f"{out}/rows")
 
 
+_BARE = """regexp_replace(regexp_replace({x}, '^["''(\\[]+', ''), '["'')\\],;:!?]+$', '')"""
+_KIND = "CASE WHEN regexp_matches(regexp_replace(lower({x}), '\\.$', ''), '^\\p{{L}}[\\p{{L}}.]*$') THEN regexp_replace(lower({x}), '\\.$', '') END"
+_TOKENS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+_COUNTS_SQL = f"SELECT {_KIND.format(x='w')} AS kind, count(*) AS n, count(*) FILTER (ends_with(w, '.')) AS n_period FROM (SELECT {_BARE.format(x='w')} AS w FROM (SELECT unnest({_TOKENS}) AS w FROM documents)) GROUP BY 1"
+_LOG = "CASE WHEN ({k}) = 0 THEN 0.0::DOUBLE ELSE ({k}) * ln({x}) END".format
+_ABBREVIATIONS_SQL = f"""SELECT kind, n, n_period, -2 * ({_LOG(k="n_period", x="c")} + {_LOG(k="n - n_period", x="1 - c")} - {_LOG(k="n_period", x="0.99::DOUBLE")} - {_LOG(k="n - n_period", x="1 - 0.99::DOUBLE")}) * exp(-l) * (length(kind) - l + 1) * pow(l, n_period - n) AS score
+  FROM (SELECT *, length(replace(kind, '.', '')) AS l, (SELECT sum(n_period)::DOUBLE / sum(n)::DOUBLE FROM words) AS c FROM words WHERE kind IS NOT NULL AND n_period > 0)"""
+
+
+@query(f"WITH words AS ({_COUNTS_SQL}) SELECT kind, n, n_period, round(score, 3) AS score FROM ({_ABBREVIATIONS_SQL}) WHERE score >= 0.3")
+def learned_abbreviations(spark, d):
+    counts = places.written(sentences.word_counts(rows(spark, d, "SELECT text FROM documents")), "words")
+    return sentences.abbreviations(counts).withColumn("score", F.round("score", 3))
+
+
+def _both(x, y):
+    return " + ".join(_LOG(k=k, x=v) for k, v in (("k", x), ("c - k", f"1 - {x}"), ("n - k", y), ("t - c - n + k", f"1 - {y}")))
+
+
+@query(f"""WITH words AS ({_COUNTS_SQL}), known AS (SELECT kind FROM ({_ABBREVIATIONS_SQL}) WHERE score >= 0.3), tokens AS (SELECT {_TOKENS} AS w FROM documents),
+  pairs AS (SELECT CASE WHEN NOT regexp_matches(p[1], '[!?]["'')\\]]*$') THEN {_BARE.format(x="p[1]")} END AS a, {_BARE.format(x="p[2]")} AS b FROM (SELECT unnest(list_zip(w, w[2:])) AS p FROM tokens) WHERE regexp_matches(p[1], '[.!?]["'')\\]]*$')),
+  breaks AS (SELECT CASE WHEN regexp_matches(b, '^\\p{{Lu}}') THEN {_KIND.format(x="b")} END AS kind, count(*) AS k FROM (SELECT b, {_KIND.format(x="a")} AS a FROM pairs) AS q WHERE a IS NULL OR length(a) > 1 AND a NOT IN (SELECT kind FROM known) GROUP BY 1),
+  r AS (SELECT kind, n, k, (SELECT sum(n)::DOUBLE FROM words) AS t, (SELECT sum(k)::DOUBLE FROM breaks) AS c FROM breaks JOIN words USING (kind))
+  SELECT kind, n, k AS n_start, round(score, 3) AS score FROM (SELECT *, -2 * (({_both("n / t", "n / t")}) - ({_both("(k / c)", "((n - k) / (t - c))")})) AS score FROM r) WHERE score >= 30 AND k * t > n * c""")
+def sentence_starters(spark, d):
+    docs = rows(spark, d, "SELECT text FROM documents")
+    counts = places.written(sentences.word_counts(docs), "words")
+    return sentences.sentence_starters(docs, counts, sentences.abbreviations(counts)).withColumn("score", F.round("score", 3))
+
+
 FLAGSHIP_TEXT = I.DOCUMENT_TEXT
 
 
