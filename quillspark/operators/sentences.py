@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.places import written
+
 # Limits of the published method.
 LEAST_ABBREVIATION, LEAST_STARTER, ALWAYS = 0.3, 30.0, 0.99
 # End of fixed values.
@@ -68,19 +70,22 @@ def sentence_starters(docs: DataFrame, counts: DataFrame, known: DataFrame, leas
     """(kind, n, n_start, score) of words with a capital behind an end mark, where these come together more often than chance has
     it, with a likelihood ratio of at least `least`. known: abbreviations; periods behind these and behind single letters are no end marks."""
     words = docs.select(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)).alias("w"))
-    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p")).select("p.a", "p.b")
+    both = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))
+    may_end = F.filter(both, lambda p: F.substr(p["a"], F.lit(-1)).isin(*".!?\"')]"))  # most pairs go before they become rows
+    pairs = words.select(F.explode(may_end).alias("p")).select("p.a", "p.b")
     pairs = pairs.filter(F.col("a").rlike(r"""[.!?]["')\]]*$""")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.select(F.when(~F.col("a").rlike(r"""[!?]["')\]]*$"""), kind(bare(F.col("a")))).alias("before"), bare(F.col("b")).alias("b"), "n")
     pairs = pairs.filter("before IS NULL OR length(before) > 1").join(known.select(F.col("kind").alias("before")), "before", "left_anti")
     breaks = pairs.groupBy(F.when(F.col("b").rlike(r"^\p{Lu}"), kind(F.col("b"))).alias("kind")).agg(F.sum("n").alias("n_start"))
+    breaks = written(breaks, "breaks")  # a row a word; its total is needed beside it
     words, ends = counts.agg(F.sum("n").cast("double")).scalar(), breaks.agg(F.sum("n_start").cast("double")).scalar()
     rows = breaks.filter("kind IS NOT NULL").join(counts.select("kind", "n"), "kind").withColumns({"_words": words, "_ends": ends})
     k, n, c, total = F.col("n_start"), F.col("n"), F.col("_ends"), F.col("_words")
 
-    def both(x: Column, y: Column) -> Column:
+    def likelihood(x: Column, y: Column) -> Column:
         return _log(k, x) + _log(c - k, 1 - x) + _log(n - k, y) + _log(total - c - n + k, 1 - y)
 
-    score = -2 * (both(n / total, n / total) - both(k / c, F.try_divide(n - k, total - c)))
+    score = -2 * (likelihood(n / total, n / total) - likelihood(k / c, F.try_divide(n - k, total - c)))
     return rows.select("kind", "n", "n_start", score.alias("score"), (k * total > n * c).alias("_more")).filter((F.col("score") >= least) & F.col("_more")).drop("_more")
 
 
@@ -100,8 +105,6 @@ def _few(df: DataFrame, most: int) -> frozenset[str]:
 def learn(docs: DataFrame, text: str = "text", least_abbreviation: float = LEAST_ABBREVIATION, least_starter: float = LEAST_STARTER, most: int = MOST_WORDS) -> Model:
     """The model of a corpus. It is sent to tasks, so more than `most` words of a kind are an error, not cut off. An empty corpus
     gives an empty model, with which every end mark before a capital or digit ends a sentence, but behind single letters."""
-    from ..sources.places import written
-
     counts = written(word_counts(docs, text), "words")
     known = written(abbreviations(counts, least_abbreviation), "abbreviations")
     return Model(_few(known, most), _few(sentence_starters(docs, counts, known, least_starter, text), most))

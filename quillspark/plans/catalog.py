@@ -717,7 +717,8 @@ def _both(x, y):
 def sentence_starters(spark, d):
     docs = rows(spark, d, "SELECT text FROM documents")
     counts = places.written(sentences.word_counts(docs), "words")
-    return sentences.sentence_starters(docs, counts, sentences.abbreviations(counts)).withColumn("score", F.round("score", 3))
+    known = places.written(sentences.abbreviations(counts), "abbreviations")
+    return sentences.sentence_starters(docs, counts, known).withColumn("score", F.round("score", 3))
 
 
 FLAGSHIP_TEXT = I.DOCUMENT_TEXT
