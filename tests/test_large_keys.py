@@ -30,3 +30,8 @@ def same(spark, tmp_path):
 def test_article_numbers_beyond_a_thousand_millions(same):
     got = dict(same("article_paths", orders="SELECT unnest([0, 5, 1003, 1003008, 1003010, 8999999]::BIGINT[]) AS o_orderkey"))
     assert got["PMC8972999003"] == "PMC897xxxxxx/PMC8972999003.xml" and got["PMC999991"] == "PMC000xxxxxx/PMC999991.xml"
+
+
+def test_ids_that_parts_share_with_absent_ones(same):
+    got = same("known_ids", part="SELECT unnest([0, 3, 4, 6, 7, 1000000, 1000002, 1000003, 1000005, 2000001]::BIGINT[]) AS p_partkey")
+    assert len(got) == 20 and [a for a, _, i in got if i == "A1000005"] == ["confirmed"] and [a for a, _, i in got if i == "A1000003"] == ["absent", "absent"]
