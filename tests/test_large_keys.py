@@ -19,8 +19,8 @@ def same(spark, tmp_path):
             c.sql(f"create or replace view {t} as select * from '{tmp_path}/{t}.parquet'")
         df = entry.queries()[name](spark, f"file://{tmp_path}")
         cols = sorted(df.columns)
-        got = sorted(tuple(plain(v) for v in r) for r in df.select(*cols).collect())
-        want = c.sql(f"select {', '.join(cols)} from ({entry.oracle_sql()[name]})").fetchall()
+        got = sorted(tuple(plain(v) for v in r) for r in df.select(*[f"`{x}`" for x in cols]).collect())
+        want = c.sql(f"select {', '.join(f'"{x}"' for x in cols)} from ({entry.oracle_sql()[name]})").fetchall()
         assert got == sorted(tuple(plain(v) for v in r) for r in want)
         return got
 
@@ -35,3 +35,11 @@ def test_article_numbers_beyond_a_thousand_millions(same):
 def test_ids_that_parts_share_with_absent_ones(same):
     got = same("known_ids", part="SELECT unnest([0, 3, 4, 6, 7, 1000000, 1000002, 1000003, 1000005, 2000001]::BIGINT[]) AS p_partkey")
     assert len(got) == 20 and [a for a, _, i in got if i == "A1000005"] == ["confirmed"] and [a for a, _, i in got if i == "A1000003"] == ["absent", "absent"]
+
+
+DOCUMENTS = "SELECT i AS doc_id, CASE WHEN i % 2 = 0 THEN 'plain words' END AS text FROM (SELECT unnest([0, 5, 99998, 99999, 100000, 100284, 999998, 1000000, 1002846, 12345678]::BIGINT[]) AS i)"
+
+
+@pytest.mark.parametrize("name", ["regex_extract", "flagship", "streamed_usage"])
+def test_numbers_longer_than_their_accessions(same, name):
+    assert not any("PF10028" in x for x in same(name, documents=DOCUMENTS))
