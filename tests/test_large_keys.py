@@ -43,3 +43,9 @@ DOCUMENTS = "SELECT i AS doc_id, CASE WHEN i % 2 = 0 THEN 'plain words' END AS t
 @pytest.mark.parametrize("name", ["regex_extract", "flagship", "streamed_usage"])
 def test_numbers_longer_than_their_accessions(same, name):
     assert not any("PF10028" in x for x in same(name, documents=DOCUMENTS))
+
+
+@pytest.mark.parametrize("name", ["usage_by_sketches", "shared_documents"])
+def test_more_documents_than_a_sketch_holds(same, name):
+    lines = "SELECT i // 2 AS l_orderkey, i % 700 AS l_partkey, (i * 7 + i // 5) % {} AS l_suppkey, 1 + i % 2 AS l_linenumber, CASE WHEN i % 3 = 0 THEN 'A' ELSE 'N' END AS l_returnflag FROM range({}) AS r(i)"
+    same(name, lineitem=lines.format(3, 450_000))
