@@ -45,6 +45,10 @@ def first_id(column):
     return F.regexp_replace(F.trim(F.regexp_extract(column, r"^([^,;|]*)", 1)), r"^[^:]*:", "")
 
 
+#: Surfaces of a document and type that are compared where they are gathered.
+SMALL = 32
+
+
 def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> DataFrame:
     """One-to-one matches (doc_id, entity_type, ours, theirs, kind) of surfaces of a document and type.
 
@@ -52,9 +56,10 @@ def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> Dat
     greedily, in the order of our and then their surface, so the result doesn't depend on the order of rows. Null surfaces
     match nothing.
 
-    A surface can only stand in those that have all of its n-grams. It is joined by that n-gram which the fewest surfaces of
-    the other side have, in its document and type, and not at all if none has it; so work follows the pairs that exist, not
-    the square of a document's surfaces. Only these pairs are gathered by document and type, for the greedy choice.
+    Most documents have few surfaces of a type; those that one side only has, at most SMALL in all, are compared where they are
+    gathered, by document and type, with one move. In larger groups a surface is joined by n-grams, as it can only stand in
+    those that have all of its own: by that one which the fewest surfaces of the other side have, and not at all if none has
+    it; so work follows the pairs that exist, not the square of a document's surfaces. Only these pairs are gathered.
     """
     keys = ["doc_id", "entity_type"]
     sides = [df.select(*keys, F.col("surface").alias("s"), F.lit(k).alias("side")) for k, df in enumerate((ours, theirs))]
@@ -63,7 +68,20 @@ def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> Dat
     exact = both.filter("side <> other").select(*keys, F.col("s").alias("ours"), F.col("s").alias("theirs"), F.lit("exact").alias("kind"))
 
     n = max(1, min(3, shortest))
-    left = both.filter("side = other").select(F.struct(*keys).alias("group"), "s", "side").filter(F.length("s") >= n)
+    left = both.filter("side = other").filter(F.length("s") >= n).select(F.struct(*keys).alias("group"), "s", "side")
+    large = written(left.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL).select("group"), "large")
+
+    mine, others = (F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("s")))).alias(x) for k, x in ((0, "mine"), (1, "others")))
+    small = left.join(large, "group", "left_anti").groupBy("group").agg(mine, others).filter((F.size("mine") > 0) & (F.size("others") > 0))
+
+    def inside(x, y):
+        return (F.length(y) >= shortest) & F.contains(x, y)
+
+    met = F.flatten(F.transform("mine", lambda x: F.transform(F.filter("others", lambda y: inside(x, y) | inside(y, x)), lambda y: F.struct(x.alias("ours"), y.alias("theirs")))))
+    # in order within a group, and a group's rows one after the other
+    few = small.select("group", F.explode(met).alias("pair")).select("group.*", "pair.*")
+
+    left = left.join(large, "group", "left_semi")
     grams = left.select("group", "side", "s", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - (n - 1)), lambda i: F.substr("s", i, F.lit(n))))).alias("gram"))
     grams = written(grams, "grams")
     numbers = grams.groupBy("group", "side", "gram").agg(F.count(F.lit(1)).alias("n")).select("group", (1 - F.col("side")).alias("side"), "gram", "n")
@@ -87,8 +105,9 @@ def match_surfaces(ours: DataFrame, theirs: DataFrame, shortest: int = 3) -> Dat
             yield b.take(pa.array(keep, pa.int64()))
 
     # a stream of sorted pairs, as a call for each of very many small groups would cost more than their pairs
-    partial = pairs.repartition(*keys).sortWithinPartitions(*keys, "ours", "theirs").mapInArrow(choose, pairs.schema).withColumn("kind", F.lit("partial"))
-    return exact.unionByName(partial)
+    pairs = pairs.repartition(*keys).sortWithinPartitions(*keys, "ours", "theirs")
+    partial = [p.mapInArrow(choose, pairs.schema).withColumn("kind", F.lit("partial")) for p in (few, pairs)]
+    return exact.unionByName(partial[0]).unionByName(partial[1])
 
 
 def match_scores(ours: DataFrame, theirs: DataFrame, matches: DataFrame) -> DataFrame:

@@ -202,3 +202,23 @@ def test_quota_sampler(spark, seed):
     got = evaluate.heldout(spark.createDataFrame(rows, "key int, stratum string, dataset string"), floors, quotas, caps).collect()
     want = slow_heldout(rows, floors, quotas, caps)
     assert sorted(map(tuple, got)) == want and all(sum(x[1] == s for x in want) <= q for s, q in quotas.items()) and not any(x[1] == "d" for x in want)
+
+
+@pytest.mark.parametrize("small", [0, 5, 32])
+def test_small_and_large_groups_of_surfaces(spark, monkeypatch, small):
+    monkeypatch.setattr(compare, "SMALL", small)
+    r = random.Random(3)
+    sides = [[(d, "g", "".join(r.choices("ab ", k=r.randrange(2, 9)))) for d in range(60) for _ in range(d)] for _ in range(2)]
+    got = {tuple(x) for x in compare.match_surfaces(*(spark.createDataFrame(x, "doc_id int, entity_type string, surface string") for x in sides)).collect()}
+    assert got == {(d, "g", *m) for d in range(60) for m in greedy(*({x[2] for x in side if x[0] == d} for side in sides))}
+
+
+def test_surfaces_of_small_documents_move_twice(spark):
+    def moved():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    sides = [spark.createDataFrame([(d, "g", f"{a}name {d} of {k}") for d in range(1_000) for k in range(6)], "doc_id int, entity_type string, surface string") for a in ("", "sur")]
+    before = moved()
+    assert compare.match_surfaces(*sides).count() == 6_000
+    assert moved() - before < 3 * 12_000  # once to be told apart, once to their document; not with each of their n-grams
