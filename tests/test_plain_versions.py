@@ -222,3 +222,13 @@ def test_surfaces_of_small_documents_move_twice(spark):
     before = moved()
     assert compare.match_surfaces(*sides).count() == 6_000
     assert moved() - before < 3 * 12_000  # once to be told apart, once to their document; not with each of their n-grams
+
+
+def test_strict_compare_joins_nothing(spark):
+    r = random.Random(5)
+    sides = [[(r.choice([1, 2, 3, None]), r.choice([" A", "a", "b", "C ", None]), r.choice(["g", "d", None])) for _ in range(n)] for n in (25, 40)]
+    out = compare.strict_compare(*(spark.createDataFrame(x, "doc_id int, surface string, entity_type string") for x in sides))
+    a, b = ({(d, s and s.strip().lower(), t) for d, s, t in side} for side in sides)
+    want = {d: tuple(sum(x[0] == d for x in some) for some in (a, b, {x for x in a & b if None not in x})) for d in {x[0] for x in a | b}}
+    assert {x.doc_id: (x.n_ours, x.n_theirs, x.n_both) for x in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # a join sorts both sides in one task
