@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,18 @@ class Vocabulary:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), whole)
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in pieces of at most CHARS bytes, or one text: what is held in Python doesn't grow with a batch."""
+    sizes, a, size = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for z, n in enumerate(sizes):
+        if z > a and size + n > CHARS:
+            yield texts.slice(a, z - a)
+            a, size = z, 0
+        size += n
+    if a < len(sizes):
+        yield texts.slice(a)
+
+
 class DictionaryTagger:
     """The vocabulary behind the annotator interface: text -> [(start, end, entity type, score)]. It stands in for a neural
     model, which is loaded in the same place: the first call in each worker."""
@@ -214,7 +227,8 @@ def tag_names(passages: DataFrame, names: DataFrame, text: str = "text", most_se
             if not held:
                 held.append(Vocabulary(list(zip(*(c.to_pylist() for c in sent.value.columns), strict=True))))
             for b in batches:
-                yield held[0].arrow(b.to_pylist())
+                for some in slices(b):
+                    yield held[0].arrow(some.to_pylist())
 
         met = passages.withColumn("_spans", find.asNondeterministic()(F.col(text).cast("string")))
     else:

@@ -83,3 +83,12 @@ def test_in_tables(spark, most):
     assert got == want and (120, 300_000, 300_012, "disease", "heart attack", "x") in got
     assert tagging.tag_names(passages.select("doc_id", "text"), names.limit(0), most_sent=most).count() == 0
     assert tagging.tag_names(passages.select("doc_id", "text").limit(0), names, most_sent=most).count() == 0
+
+
+def test_batches_are_tagged_in_pieces():
+    import pyarrow as pa
+
+    texts = ["x" * 400_000, None, "", "é" * 400_000, "y" * 3_000_000, "z", None]
+    parts = [p.to_pylist() for p in tagging.slices(pa.array(texts, pa.string()))]
+    assert sum(parts, []) == texts and len(parts) == 4 and list(tagging.slices(pa.array([], pa.string()))) == []
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= tagging.CHARS for p in parts)
